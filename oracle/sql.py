@@ -28,6 +28,11 @@ def div(a: str, b: str) -> str:
     return f"(({a}) / NULLIF({b}, 0))"
 
 
+def msum(x: str) -> str:
+    """Exact money sum (fixed point, 4 decimals), 0 over no values."""
+    return f"CAST(coalesce(sum(TRY_CAST({x} AS DECIMAL(38,4))), 0) AS DOUBLE)"
+
+
 def on(a: str, b: str, keys: list[str]) -> str:
     return " AND ".join(f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in keys)
 
@@ -155,8 +160,8 @@ SELECT CAST(serial AS VARCHAR) AS serial, {norm('shop_name')} AS shop_name,
 FROM t_bills WHERE submitted IS NOT NULL),
 payments AS (
 SELECT shop_name,
-  coalesce(sum(submitted), 0) AS corporate_submitted, coalesce(sum(approved), 0) AS corporate_approved,
-  coalesce(sum(paid), 0) AS corporate_paid, coalesce(sum(due), 0) AS corporate_due
+  {msum('submitted')} AS corporate_submitted, {msum('approved')} AS corporate_approved,
+  {msum('paid')} AS corporate_paid, {msum('due')} AS corporate_due
 FROM bills GROUP BY shop_name)"""
 
 
@@ -251,9 +256,10 @@ ORACLE_SQL["shop_invoice_status"] = one_query(
     + " AS refund_ratio FROM shop_inv",
 )
 
-SHOP_INVOICE_REPORT_CTE = (
-    SHOP_INVOICE_STATUS_CTE
-    + f""",
+def shop_invoice_report_cte(directory: str = "commercial") -> str:
+    return (
+        SHOP_INVOICE_STATUS_CTE
+        + f""",
 shop_invoice_report AS (
 SELECT c.category, c.cat_head, c.bdm, c.kam, c.mother_company, x.shop_name, x.campaign_date,
   CAST(month(x.campaign_date) AS INTEGER) AS month,
@@ -264,10 +270,13 @@ FROM (SELECT coalesce(u.shop_name, s.shop_name) AS shop_name, u.campaign_date,
         s.total_invoice, s.processing_invoice, s.picked_invoice, s.delivered_and_shipped_inv,
         s.refunded_invoice, s.undelivered_invoice
       FROM unq_shop u FULL JOIN shop_inv s ON {on('u', 's', ['shop_name'])}) x
-LEFT JOIN commercial c ON {on('x', 'c', ['shop_name'])}
+LEFT JOIN {directory} c ON {on('x', 'c', ['shop_name'])}
 LEFT JOIN payments p ON {on('x', 'p', ['shop_name'])}
 WHERE x.shop_name IS NOT NULL)"""
-)
+    )
+
+
+SHOP_INVOICE_REPORT_CTE = shop_invoice_report_cte()
 
 ORACLE_SQL["shop_invoice_report"] = one_query(
     SHOP_INVOICE_REPORT_CTE, select="SELECT * FROM shop_invoice_report"
@@ -333,8 +342,8 @@ def values_sql(alias: str, margin: bool) -> str:
 
 
 COST_SUM = (
-    "coalesce(sum(delivered_and_shipped_seller_price), 0) + coalesce(sum(undelivered_seller_price), 0)"
-    " + coalesce(sum(refund_value), 0)"
+    f"{msum('delivered_and_shipped_seller_price')} + {msum('undelivered_seller_price')}"
+    f" + {msum('refund_value')}"
 )
 
 HIER = "mother_company, kam, bdm, category, cat_head"
@@ -413,8 +422,8 @@ WHERE unit_mrp > 0 AND unit_seller_price > 0 AND unit_order_price > 0 AND unit_m
 NAGAD_CTE = f"""
 nagad AS (
 SELECT s.shop_name, s.order_item,
-  coalesce(sum(CASE WHEN s.order_quantity * e.unit_order_price * 0.1 > 2000 THEN 2000
-                    ELSE s.order_quantity * e.unit_order_price * 0.1 END), 0) AS nagad_discount_value
+  {msum("""CASE WHEN s.order_quantity * e.unit_order_price * 0.1 > 2000 THEN 2000
+                    ELSE s.order_quantity * e.unit_order_price * 0.1 END""")} AS nagad_discount_value
 FROM sales s JOIN price_table e ON {on('s', 'e', SI)}
 WHERE {grepl('s.payment_method', 'nagad', True)}
 GROUP BY s.shop_name, s.order_item)"""
@@ -478,3 +487,444 @@ WHERE v.shop_name IS NOT NULL AND v.total_quantity IS NOT NULL AND v.total_invoi
 )
 
 ORACLE_SQL["item_report_margin"] = one_query(ITEM_MARGIN_CTE, select="SELECT * FROM item_report_margin")
+
+# ---------------------------------------------------------------------------
+# Scalar functions over whole tables
+# ---------------------------------------------------------------------------
+
+
+def two(x: str) -> str:
+    return f"lpad(CAST({x} AS VARCHAR), 2, '0')"
+
+
+def txt(x: str) -> str:
+    return f"CAST({x} AS VARCHAR)"
+
+
+ORACLE_SQL["normalize_key"] = one_query(
+    select=f"SELECT {ORD}, {norm('shop_name')} AS shop_key, {norm(trunc('order_item'))} AS item_key "
+    "FROM t_sales"
+)
+ORACLE_SQL["truncate_at_newline"] = f"SELECT doc_id, {trunc('text')} AS first_line FROM documents"
+ORACLE_SQL["date_part_of_update"] = f"""
+SELECT l_orderkey, l_linenumber, last_update, update_text,
+  CAST(try_strptime(update_text, '%d-%m-%Y') AS DATE) AS update_date
+FROM (SELECT *, regexp_replace(last_update, '(?s),.*', '', 'g') AS update_text
+      FROM (SELECT l_orderkey, l_linenumber,
+              {two('day(l_shipdate)')} || '-' || {two('month(l_shipdate)')} || '-' || {txt('year(l_shipdate)')}
+              || ', ' || {two('l_linenumber + 3')} || ':' || {two('l_orderkey % 60')} || ' PM' AS last_update
+            FROM lineitem) a) b"""
+ORACLE_SQL["parse_dates"] = f"""
+SELECT o_orderkey, mdy_text, dmy_text,
+  CAST(coalesce(try_strptime(mdy_text, '%m-%d-%Y'), try_strptime(mdy_text, '%m/%d/%Y'),
+                try_strptime(mdy_text, '%B %d, %Y')) AS DATE) AS mdy_date,
+  CAST(try_strptime(dmy_text, '%d.%m.%Y') AS DATE) AS dmy_date
+FROM (SELECT o_orderkey,
+        CASE o_orderkey % 3
+          WHEN 0 THEN {two('month(o_orderdate)')} || '-' || {two('day(o_orderdate)')} || '-' || {txt('year(o_orderdate)')}
+          WHEN 1 THEN {txt('month(o_orderdate)')} || '/' || {txt('day(o_orderdate)')} || '/' || {txt('year(o_orderdate)')}
+          ELSE monthname(o_orderdate) || ' ' || {txt('day(o_orderdate)')} || ', ' || {txt('year(o_orderdate)')}
+        END AS mdy_text,
+        {txt('day(o_orderdate)')} || '.' || {txt('month(o_orderdate)')} || '.' || {txt('year(o_orderdate)')} AS dmy_text
+      FROM orders) a"""
+ORACLE_SQL["calendar_parts"] = """
+SELECT o_orderkey, CAST(month(o_orderdate) AS INTEGER) AS month,
+  CAST(dayofyear(o_orderdate) // 7 + 1 AS INTEGER) AS week,
+  CAST((dayofyear(o_orderdate) - 1) // 7 + 1 AS INTEGER) AS week_from_day1
+FROM orders"""
+ORACLE_SQL["refund_flag"] = one_query(select=f"SELECT {ORD}, note, {REFUND} AS refund FROM t_sales")
+ORACLE_SQL["parse_amount"] = one_query(
+    select="SELECT serial, "
+    + ", ".join(f"TRY_CAST(replace({c}, ',', '') AS DOUBLE) AS {c}_amount"
+                for c in ("submitted", "approved", "paid", "due"))
+    + " FROM t_bills"
+)
+ORACLE_SQL["parse_number"] = one_query(
+    select=f"SELECT {ORD}, order_quantity AS quantity_text, TRY_CAST(order_quantity AS DOUBLE) AS quantity "
+    "FROM t_sales"
+)
+
+# ---------------------------------------------------------------------------
+# Filters, grains, measures
+# ---------------------------------------------------------------------------
+
+ORACLE_SQL["paid_lines"] = one_query(select="SELECT * FROM sales")
+ORACLE_SQL["catalog_margin_filter"] = one_query(
+    select="SELECT * FROM product WHERE unit_mrp > 0 AND unit_seller_price > 0 AND unit_mrp > unit_seller_price"
+)
+ORACLE_SQL["shop_pattern_report"] = one_query(
+    f"directory_t10 AS (SELECT * FROM commercial WHERE {grepl('shop_name', 'T10|Priority', True)})",
+    shop_invoice_report_cte("directory_t10"),
+    select="SELECT * FROM shop_invoice_report",
+)
+ORACLE_SQL["first_line_per_invoice"] = one_query(select="SELECT * FROM unq_sales")
+ORACLE_SQL["campaign_date"] = one_query(select="SELECT * FROM unq_shop")
+ORACLE_SQL["sales_with_campaign"] = one_query(
+    select=f"SELECT s.* EXCLUDE (shop_name), coalesce(s.shop_name, u.shop_name) AS shop_name, u.campaign_date "
+    f"FROM sales s FULL JOIN unq_shop u ON {on('s', 'u', ['shop_name'])}"
+)
+ORACLE_SQL["e_price"] = one_query(E_PRICE_CTE, select="SELECT * FROM e_price")
+ORACLE_SQL["catalog_dedup"] = one_query(
+    select="SELECT shop_name, order_item, unit_mrp, unit_seller_price FROM sales_prod "
+    "QUALIFY row_number() OVER (PARTITION BY shop_name, order_item ORDER BY part_key) = 1"
+)
+ORACLE_SQL["catalog_fallback"] = one_query(PRICE_TABLE_CTE, select="SELECT * FROM catalog_fallback")
+ORACLE_SQL["price_table"] = one_query(PRICE_TABLE_CTE, select="SELECT * FROM price_table")
+ORACLE_SQL["key_uniqueness_check"] = one_query(
+    PRICE_TABLE_CTE,
+    select="""
+SELECT 'directory' AS source, shop_name, CAST(NULL AS VARCHAR) AS order_item, count(*) AS n_rows
+FROM commercial GROUP BY shop_name HAVING count(*) > 1
+UNION ALL
+SELECT 'catalog', shop_name, order_item, count(*) FROM product GROUP BY shop_name, order_item HAVING count(*) > 1
+UNION ALL
+SELECT 'override', shop_name, order_item, count(*) FROM override_prices GROUP BY shop_name, order_item
+HAVING count(*) > 1
+UNION ALL
+SELECT 'price_table', shop_name, order_item, count(*) FROM price_table GROUP BY shop_name, order_item
+HAVING count(*) > 1""",
+)
+ORACLE_SQL["payment_rollup"] = one_query(select="SELECT * FROM payments")
+ORACLE_SQL["item_quantity_status_basic"] = one_query(
+    status_ctes("iqb", "sales", SI, "basic", "order_quantity"), select="SELECT * FROM iqb"
+)
+ORACLE_SQL["item_quantity_status_strict"] = one_query(
+    status_ctes("iqs", "sales", SI, "strict", "order_quantity"), select="SELECT * FROM iqs"
+)
+ORACLE_SQL["item_invoice_status"] = one_query(
+    status_ctes("iis", "unq_sales", SI, "strict", None),
+    select=f"SELECT *, {div('refunded_invoice', 'total_invoice')} AS refund_ratio FROM iis",
+)
+ORACLE_SQL["delivery_days"] = one_query(DELIVERY_CTE, select="SELECT * FROM shop_deli_time")
+ORACLE_SQL["avg_delivery_time"] = one_query(AVG_DELIVERY_CTE, select="SELECT * FROM shop_delivery")
+ORACLE_SQL["capped_rebate"] = one_query(PRICE_TABLE_CTE, NAGAD_CTE, select="SELECT * FROM nagad")
+ORACLE_SQL["item_values"] = one_query(
+    status_ctes("qty_si", "sales", SI, "strict", "order_quantity"),
+    PRICE_TABLE_CTE,
+    select=f"""
+SELECT shop_name, order_item, unit_order_price, unit_seller_price, unit_mrp, {values_sql('z', True)}
+FROM (SELECT q.*, e.unit_order_price, e.unit_seller_price, e.unit_mrp
+      FROM qty_si q JOIN price_table e ON {on('q', 'e', SI)}) z""",
+)
+ORACLE_SQL["margin_rates"] = one_query(
+    ITEM_MARGIN_CTE,
+    select="SELECT shop_name, order_item, commission_rate, burn_rate, discount_rate, cost_ratio, avg_deli_time "
+    "FROM item_report_margin",
+)
+ORACLE_SQL["item_cost_window"] = one_query(
+    ITEM_BASIC_CTE,
+    select="SELECT shop_name, order_item, delivered_and_shipped_seller_price, undelivered_seller_price, "
+    "refund_value, cost FROM item_report_basic",
+)
+
+# ---------------------------------------------------------------------------
+# Management levels (S1:310-483): totals merged back, then per-level sums
+# ---------------------------------------------------------------------------
+
+LEVELS = {
+    "mc": ["cat_head", "bdm", "kam", "mother_company", "month"],
+    "kam": ["cat_head", "bdm", "kam", "month"],
+    "bdm": ["cat_head", "bdm", "month"],
+    "cathead": ["cat_head", "month"],
+}
+ALL_KEYS = LEVELS["mc"]
+
+
+def _totals_ctes() -> str:
+    ctes = []
+    for lvl, keys in LEVELS.items():
+        k = ", ".join(keys)
+        ctes.append(
+            f"{lvl}_tv AS (SELECT {k}, {msum('total_order_value')} AS {lvl}_total_value "
+            f"FROM item_report_basic GROUP BY {k})"
+        )
+        ctes.append(
+            f"{lvl}_dv AS (SELECT {k}, {msum('delivered_and_shipped_value')} AS {lvl}_delivered_value "
+            f"FROM item_report_basic GROUP BY {k})"
+        )
+    joins = []
+    sel = []
+    for lvl, keys in LEVELS.items():
+        for kind, col in (("tv", f"{lvl}_total_value"), ("dv", f"{lvl}_delivered_value")):
+            joins.append(f"LEFT JOIN {lvl}_{kind} ON {on('b', f'{lvl}_{kind}', keys)}")
+            sel.append(f"{lvl}_{kind}.{col}")
+    ctes.append(
+        "item_totals AS (SELECT b.*, " + ", ".join(sel) + " FROM item_report_basic b " + " ".join(joins) + ")"
+    )
+    return ",\n".join(ctes)
+
+
+TOTALS_CTE = _totals_ctes()
+
+
+def weighted(x: str, w: str, t: str) -> str:
+    """sum(x * (w / t), na.rm = TRUE); Inf (non-zero term over a zero total) -> NULL."""
+    return (
+        f"CASE WHEN bool_or({x} IS NOT NULL AND {w} IS NOT NULL AND {w} <> 0 AND {x} <> 0 AND {t} = 0) "
+        f"THEN NULL ELSE coalesce(sum({x} * ({w} / NULLIF({t}, 0))), 0) END"
+    )
+
+
+INVOICE_SUMS = [
+    ("total_invoice", "total_invoice"),
+    ("processing_invoice", "processing_invoice"),
+    ("picked_invoice", "picked_invoice"),
+    ("delivered_and_shipped_invoice", "delivered_and_shipped_inv"),
+    ("refunded_invoice", "refunded_invoice"),
+    ("submitted", "corporate_submitted"),
+    ("approved", "corporate_approved"),
+    ("paid", "corporate_paid"),
+    ("due", "corporate_due"),
+]
+ITEM_SUMS = [
+    ("revenue", "total_order_value"),
+    ("delivered_and_shipped_value", "delivered_and_shipped_value"),
+    ("undelivered_value", "undelivered_value"),
+    ("delivered_and_shipped_seller_price", "delivered_and_shipped_seller_price"),
+    ("undelivered_seller_price", "undelivered_seller_price"),
+    ("cost", "cost"),
+]
+LEVEL_REPORT_COLUMNS = [
+    "total_invoice", "processing_invoice", "picked_invoice", "delivered_and_shipped_invoice",
+    "refunded_invoice", "revenue", "delivered_and_shipped_value", "undelivered_value",
+    "delivered_and_shipped_seller_price", "undelivered_seller_price", "cost", "avg_commission",
+    "avg_cost_ratio", "avg_refund_ratio", "avg_deli_time", "submitted", "approved", "paid", "due",
+]
+
+
+def invoice_level_select(lvl: str) -> str:
+    keys = LEVELS[lvl]
+    sums = ", ".join(f"{msum(c)} AS {n}" for n, c in INVOICE_SUMS)
+    return (
+        f"SELECT {', '.join(keys)}, {sums} FROM shop_invoice_report GROUP BY {', '.join(keys)}"
+    )
+
+
+def item_level_select(lvl: str) -> str:
+    keys = LEVELS[lvl]
+    sums = ", ".join(f"{msum(c)} AS {n}" for n, c in ITEM_SUMS)
+    w = (
+        f"{weighted('commission', 'total_order_value', f'{lvl}_total_value')} AS avg_commission, "
+        f"{weighted('cost_ratio', 'total_order_value', f'{lvl}_total_value')} AS avg_cost_ratio, "
+        f"{weighted('avg_deli_time', 'total_order_value', f'{lvl}_delivered_value')} AS avg_deli_time"
+    )
+    return f"SELECT {', '.join(keys)}, {sums}, {w} FROM item_totals GROUP BY {', '.join(keys)}"
+
+
+LEVEL_BASE = [SHOP_INVOICE_REPORT_CTE, ITEM_BASIC_CTE, TOTALS_CTE]
+
+for _lvl, _keys in LEVELS.items():
+    _inv = f"{_lvl}_inv AS ({invoice_level_select(_lvl)})"
+    _item = f"{_lvl}_item AS ({item_level_select(_lvl)})"
+    _keysel = ", ".join(f"coalesce(a.{k}, b.{k}) AS {k}" for k in _keys)
+    _cols = []
+    for c in LEVEL_REPORT_COLUMNS:
+        if c == "avg_refund_ratio":
+            _cols.append(f"{div('a.refunded_invoice', 'a.total_invoice')} AS avg_refund_ratio")
+        elif c in dict(INVOICE_SUMS):
+            _cols.append(f"a.{c}")
+        else:
+            _cols.append(f"b.{c}")
+    ORACLE_SQL[f"{_lvl}_report"] = one_query(
+        *LEVEL_BASE,
+        _inv,
+        _item,
+        select=f"SELECT {_keysel}, {', '.join(_cols)} FROM {_lvl}_inv a FULL JOIN {_lvl}_item b "
+        f"ON {on('a', 'b', _keys)}",
+    )
+
+ORACLE_SQL["hierarchy_totals"] = one_query(
+    ITEM_BASIC_CTE, TOTALS_CTE, select="SELECT * FROM item_totals"
+)
+ORACLE_SQL["weighted_rates"] = one_query(
+    ITEM_BASIC_CTE,
+    TOTALS_CTE,
+    f"mc_item AS ({item_level_select('mc')})",
+    select="SELECT cat_head, bdm, kam, mother_company, month, avg_commission, avg_cost_ratio, avg_deli_time "
+    "FROM mc_item",
+)
+
+
+def _sets(select_for_level, measures: list[str]) -> str:
+    parts = []
+    for lvl, keys in LEVELS.items():
+        inner = select_for_level(lvl)
+        cols = []
+        for k in ALL_KEYS:
+            if k in keys:
+                cols.append(k)
+            else:
+                cols.append(f"CAST(NULL AS {'INTEGER' if k == 'month' else 'VARCHAR'}) AS {k}")
+        parts.append(f"SELECT '{lvl}' AS level, {', '.join(cols)}, {', '.join(measures)} FROM ({inner}) s_{lvl}")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE_SQL["invoice_rollup_sets"] = one_query(
+    SHOP_INVOICE_REPORT_CTE,
+    f"sets AS ({_sets(invoice_level_select, [n for n, _ in INVOICE_SUMS])})",
+    select=f"SELECT *, {div('refunded_invoice', 'total_invoice')} AS avg_refund_ratio FROM sets",
+)
+ORACLE_SQL["item_rollup_sets"] = one_query(
+    ITEM_BASIC_CTE,
+    TOTALS_CTE,
+    select=_sets(item_level_select, [n for n, _ in ITEM_SUMS] + ["avg_commission", "avg_cost_ratio",
+                                                                "avg_deli_time"]),
+)
+
+# ---------------------------------------------------------------------------
+# Campaign comparison and margin groupings (S2:320-440)
+# ---------------------------------------------------------------------------
+
+CAMPAIGNS = [
+    ("T10 July 2", "for t10 july 2", "for t10 july 23"),
+    ("T10 July 9", "for t10 july 9 2021", None),
+    ("T10 July 16", "for t10 july 16", None),
+    ("T10 July 23", "for t10 july 23", None),
+    ("T10 July 30", "for t10 july 30", None),
+]
+
+
+def _campaign_copy(name: str, include: str, exclude: str | None) -> str:
+    cond = grepl("shop_name", include)
+    if exclude:
+        cond += f" AND NOT {grepl('shop_name', exclude)}"
+    return f"SELECT '{name}' AS campaign_name, * FROM item_report_margin WHERE {cond}"
+
+
+CAMPAIGN_CTE = (
+    ITEM_MARGIN_CTE
+    + ",\ncampaigns AS ("
+    + "\nUNION ALL\n".join(_campaign_copy(*c) for c in CAMPAIGNS)
+    + ")"
+)
+
+MARGIN_SUMS = [
+    ("total_invoice", "total_invoice"),
+    ("processing_invoice", "processing_invoice"),
+    ("picked_invoice", "picked_invoice"),
+    ("delivered_and_shipped_invoice", "delivered_and_shipped_inv"),
+    ("refunded_invoice", "refunded_invoice"),
+    ("submitted", "corporate_submitted"),
+    ("approved", "corporate_approved"),
+    ("paid", "corporate_paid"),
+    ("due", "corporate_due"),
+    ("revenue", "total_order_value"),
+    ("cost", "cost"),
+    ("delivered_and_shipped_value", "delivered_and_shipped_value"),
+    ("undelivered_value", "undelivered_value"),
+    ("delivered_and_shipped_seller_price", "delivered_and_shipped_seller_price"),
+    ("undelivered_seller_price", "undelivered_seller_price"),
+    ("shop_item_deli_time", "shop_item_deli_time"),
+    ("total_market_value", "total_market_value"),
+    ("total_seller_price", "total_seller_price"),
+    ("nagad_discount_value", "nagad_discount_value"),
+]
+MARGIN_OUT = [
+    "total_invoice", "processing_invoice", "picked_invoice", "delivered_and_shipped_invoice",
+    "refunded_invoice", "revenue", "delivered_and_shipped_value", "undelivered_value", "cost",
+    "delivered_and_shipped_seller_price", "undelivered_seller_price", "total_market_value",
+    "total_seller_price", "nagad_discount_value",
+]
+MARGIN_RATIOS = [
+    f"{div('total_market_value - total_seller_price', 'total_market_value')} AS avg_commission_rate",
+    f"{div('total_seller_price - (revenue - nagad_discount_value)', 'total_market_value')} AS avg_burn_rate",
+    f"{div('total_market_value - (revenue - nagad_discount_value)', 'total_market_value')} AS avg_discount_rate",
+    f"{div('delivered_and_shipped_seller_price', 'paid')} AS credit_performance",
+    f"{div('refunded_invoice', 'total_invoice')} AS avg_refund_ratio",
+    f"{div('shop_item_deli_time', 'delivered_and_shipped_invoice')} AS avg_deli_time",
+    f"{div('cost', 'revenue')} AS avg_cost_ratio",
+    "submitted", "approved", "paid", "due",
+]
+
+MARGIN_GROUPINGS = {
+    "campaign_report": ["campaign_name"],
+    "margin_by_mc": ["category", "bdm", "kam", "mother_company"],
+    "margin_by_mc_month": ["category", "bdm", "kam", "mother_company", "month"],
+    "margin_by_mc_week": ["category", "bdm", "kam", "mother_company", "week"],
+    "margin_by_mc_campaign": ["category", "bdm", "kam", "mother_company", "campaign_name"],
+    "margin_by_kam_month": ["category", "bdm", "kam", "month"],
+    "margin_by_bdm_month": ["category", "bdm", "month"],
+    "margin_by_category": ["category"],
+    "margin_by_category_month": ["category", "month"],
+    "margin_by_category_week": ["category", "week"],
+    "margin_by_month": ["month"],
+    "margin_overall": [],
+}
+
+
+def margin_sql(keys: list[str], src: str) -> str:
+    k = ", ".join(keys)
+    sums = ", ".join(f"{msum(c)} AS {n}" for n, c in MARGIN_SUMS)
+    group = f" GROUP BY {k}" if keys else ""
+    lead = f"{k}, " if keys else ""
+    return (
+        f"SELECT {lead}{', '.join(MARGIN_OUT)}, {', '.join(MARGIN_RATIOS)} "
+        f"FROM (SELECT {lead}{sums} FROM {src}{group}) g"
+    )
+
+
+for _name, _keys in MARGIN_GROUPINGS.items():
+    _src = "campaigns" if "campaign_name" in _keys else "item_report_margin"
+    ORACLE_SQL[_name] = one_query(CAMPAIGN_CTE, select=margin_sql(_keys, _src))
+
+ORACLE_SQL["campaign_tag"] = one_query(CAMPAIGN_CTE, select="SELECT * FROM campaigns")
+ORACLE_SQL["group_total"] = one_query(
+    CAMPAIGN_CTE,
+    f"total_value AS (SELECT campaign_name, {msum('total_order_value')} AS total_value "
+    "FROM campaigns GROUP BY campaign_name)",
+    select=f"SELECT c.*, t.total_value FROM campaigns c LEFT JOIN total_value t ON {on('c', 't', ['campaign_name'])}",
+)
+_PAY = ("submitted", "approved", "paid", "due")
+ORACLE_SQL["campaign_report_shop_grain"] = one_query(
+    CAMPAIGN_CTE,
+    "body AS (SELECT campaign_name, "
+    + ", ".join(f"{msum(c)} AS {n}" for n, c in MARGIN_SUMS if n not in _PAY)
+    + " FROM campaigns GROUP BY campaign_name)",
+    "pays AS (SELECT campaign_name, "
+    + ", ".join(f"{msum('corporate_' + n)} AS {n}" for n in _PAY)
+    + " FROM (SELECT DISTINCT campaign_name, shop_name, corporate_submitted, corporate_approved, "
+    "corporate_paid, corporate_due FROM campaigns) d GROUP BY campaign_name)",
+    "shop_grain AS (SELECT b.*, p.submitted, p.approved, p.paid, p.due FROM body b "
+    f"LEFT JOIN pays p ON {on('b', 'p', ['campaign_name'])})",
+    select=f"SELECT campaign_name, {', '.join(MARGIN_OUT)}, {', '.join(MARGIN_RATIOS)} FROM shop_grain",
+)
+
+
+# ---------------------------------------------------------------------------
+# Report precision: every double output column at 4 decimals, as the Spark
+# side does (``sellerdesk.functions.report``).
+# ---------------------------------------------------------------------------
+
+# The double-valued output column names of all queries.
+DOUBLE_COLUMNS = (
+    "approved", "approved_amount", "avg_burn_rate", "avg_commission", "avg_commission_rate",
+    "avg_cost_ratio", "avg_deli_time", "avg_discount_rate", "avg_refund_ratio",
+    "bdm_delivered_value", "bdm_total_value", "burn_rate", "burn_value",
+    "cathead_delivered_value", "cathead_total_value", "commission", "commission_rate",
+    "commission_value", "corporate_approved", "corporate_due", "corporate_paid",
+    "corporate_submitted", "cost", "cost_ratio", "count", "credit_performance",
+    "delivered_and_shipped_inv", "delivered_and_shipped_invoice", "delivered_and_shipped_quantity",
+    "delivered_and_shipped_seller_price", "delivered_and_shipped_value", "discount_rate",
+    "discount_value", "due", "due_amount", "ext_price", "kam_delivered_value", "kam_total_value",
+    "mc_delivered_value", "mc_total_value", "nagad_discount_value", "order_quantity", "paid",
+    "paid_amount", "picked_invoice", "picked_quantity", "picked_seller_price", "picked_value",
+    "processing_invoice", "processing_quantity", "processing_seller_price", "processing_value",
+    "qty_raw", "quantity", "refund_ratio", "refund_value", "refunded_invoice", "refunded_quantity",
+    "revenue", "shop_item_deli_time", "submitted", "submitted_amount", "total_invoice",
+    "total_market_value", "total_order_value", "total_quantity", "total_seller_price", "total_value",
+    "undelivered_invoice", "undelivered_quantity", "undelivered_seller_price", "undelivered_value",
+    "unit_mrp", "unit_order_price", "unit_seller_price",
+)
+REPORT_DIGITS = 4
+
+
+def report_precision(sql: str) -> str:
+    names = ", ".join(f"'{c}'" for c in ("__pad", *DOUBLE_COLUMNS))
+    return (
+        f"SELECT * EXCLUDE (__pad, __keep) FROM (SELECT round(COLUMNS(lambda c: c IN ({names})), "
+        f"{REPORT_DIGITS}), COLUMNS(lambda c: c NOT IN ({names})) "
+        f"FROM (SELECT *, CAST(0 AS DOUBLE) AS __pad, 0 AS __keep FROM ({sql}) q0) q1) q2"
+    )
+
+
+ORACLE_SQL = {k: report_precision(v) for k, v in ORACLE_SQL.items()}

@@ -34,7 +34,7 @@ def _col(c: Column | str) -> Column:
 def parse_date(c: Column | str, formats: Sequence[str]) -> Column:
     """First format that parses wins; text no format accepts is null."""
     s = F.trim(_col(c))
-    return F.coalesce(*[F.try_to_date(s, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_date(s, f) for f in formats])
 
 
 def parse_mdy(c: Column | str) -> Column:

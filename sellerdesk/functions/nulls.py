@@ -33,6 +33,21 @@ def na_sum(c: Column | str) -> Column:
     return F.coalesce(F.sum(_col(c)), F.lit(0.0))
 
 
+# Money sums run in fixed point: 4 decimals (money arrives in cents) and 38
+# digits, so the sum is exact, independent of row order and partitioning,
+# and cannot overflow at any realistic scale.
+MONEY = "decimal(38,4)"
+
+
+def money_sum(c: Column | str) -> Column:
+    """Aggregate: exact sum of a money column, 0 over no values.
+
+    NaN or infinite inputs cannot be fixed-point and are skipped, as the
+    reference's ``na.rm`` skips NaN.
+    """
+    return F.coalesce(F.sum(_col(c).try_cast(MONEY)), F.lit(0).cast(MONEY)).cast("double")
+
+
 def count_where(cond: Column) -> Column:
     """Aggregate: number of rows where ``cond`` is true, as double."""
     return F.count_if(F.coalesce(cond, F.lit(False))).cast("double")
@@ -96,12 +111,12 @@ def weighted_share(x: Column, w: Column, den: Column) -> Column:
     ``den`` is a group total, constant in the group, so it factors out of
     the sum: ``sum(x * w) / den``.  That removes the merge-back of the
     totals.  A group with no usable term gives 0 (N1).  A zero (or
-    missing) denominator with a non-zero weight gives Inf in the reference
-    and null here (D17); zero-weight terms over a zero denominator are NaN
-    there and dropped, so they count as no term.
+    missing) denominator with a non-zero term gives Inf in the reference
+    and null here (D17); a zero term over a zero denominator is NaN there
+    and dropped, so only non-zero terms count.
     """
     term = x * w
-    live = F.count_if(term.isNotNull() & (w != F.lit(0.0)))
+    live = F.count_if(term.isNotNull() & (w != F.lit(0.0)) & (x != F.lit(0.0)))
     return F.when(live == 0, F.lit(0.0)).otherwise(F.try_divide(F.sum(term), den))
 
 

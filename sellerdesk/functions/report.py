@@ -1,0 +1,23 @@
+"""Output precision of the reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# Reported doubles carry 4 decimals: money is kept in cents upstream, so the
+# extra two absorb the last-bit noise of floating sums, whose order depends
+# on partitioning (two runs of one plan may differ in the 15th digit).
+REPORT_DIGITS = 4
+
+
+def to_report_precision(df: DataFrame, digits: int = REPORT_DIGITS) -> DataFrame:
+    """Round every double column to ``digits`` decimals (half away from zero)."""
+    cols = [
+        F.round(F.col(f.name), digits).alias(f.name)
+        if isinstance(f.dataType, DoubleType)
+        else F.col(f.name)
+        for f in df.schema.fields
+    ]
+    return df.select(*cols)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sellerdesk.functions.nulls import matches, na_sum, null_safe_join, ratio
+from sellerdesk.functions.nulls import matches, money_sum, null_safe_join, ratio
 
 # Campaign name, the pattern a normalised shop name must
 # contain, and the pattern it must not contain (case-sensitive, S2:320-329).
@@ -132,7 +132,7 @@ def margin_report(item_report: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Shop payments repeat on every item row of a shop and are summed as such
     (D5, kept; see ``margin_report_shop_grain``)."""
-    aggs = [na_sum(c).alias(n) for n, c in MARGIN_SUMS.items()]
+    aggs = [money_sum(c).alias(n) for n, c in MARGIN_SUMS.items()]
     out = item_report.groupBy(*keys).agg(*aggs)
     return _margin_ratios(out).select(*keys, *MARGIN_REPORT_COLUMNS)
 
@@ -144,11 +144,11 @@ def margin_report_shop_grain(item_report: DataFrame, keys: Sequence[str]) -> Dat
     g = [*keys, "__all"]
     df = item_report.withColumn("__all", F.lit(0))
     item_sums = {n: c for n, c in MARGIN_SUMS.items() if n not in PAYMENT_SUMS}
-    body = df.groupBy(*g).agg(*[na_sum(c).alias(n) for n, c in item_sums.items()])
+    body = df.groupBy(*g).agg(*[money_sum(c).alias(n) for n, c in item_sums.items()])
     per_shop = df.groupBy(*g, "shop_name").agg(
         *[F.max(MARGIN_SUMS[n]).alias(n) for n in PAYMENT_SUMS]
     )
-    pays = per_shop.groupBy(*g).agg(*[na_sum(n).alias(n) for n in PAYMENT_SUMS])
+    pays = per_shop.groupBy(*g).agg(*[money_sum(n).alias(n) for n in PAYMENT_SUMS])
     out = null_safe_join(body, pays, g, "left")
     return _margin_ratios(out).select(*keys, *MARGIN_REPORT_COLUMNS)
 
@@ -156,5 +156,5 @@ def margin_report_shop_grain(item_report: DataFrame, keys: Sequence[str]) -> Dat
 def group_total(item_report: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each row with its group's total order value.  The small group
     table joins back (AQE broadcasts it when small; skew-split otherwise)."""
-    totals = item_report.groupBy(*keys).agg(na_sum("total_order_value").alias("total_value"))
+    totals = item_report.groupBy(*keys).agg(money_sum("total_order_value").alias("total_value"))
     return null_safe_join(item_report, totals, list(keys), "left")

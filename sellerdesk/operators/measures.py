@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sellerdesk.functions.nulls import capped, matches, na_sum, null_safe_join, ratio
+from sellerdesk.functions.nulls import MONEY, capped, matches, money_sum, null_safe_join, ratio
 from sellerdesk.operators.status import BASIC
 
 SHOP_ITEM = ["shop_name", "order_item"]
@@ -21,10 +21,10 @@ REBATE_CAP = 2000.0
 def payment_rollup(bills: DataFrame) -> DataFrame:
     """A1: bill amounts per shop, missing amounts skipped."""
     return bills.groupBy("shop_name").agg(
-        na_sum("submitted").alias("corporate_submitted"),
-        na_sum("approved").alias("corporate_approved"),
-        na_sum("paid").alias("corporate_paid"),
-        na_sum("due").alias("corporate_due"),
+        money_sum("submitted").alias("corporate_submitted"),
+        money_sum("approved").alias("corporate_approved"),
+        money_sum("paid").alias("corporate_paid"),
+        money_sum("due").alias("corporate_due"),
     )
 
 
@@ -76,7 +76,7 @@ def capped_rebate(
     )
     j = null_safe_join(lines, prices.select(*SHOP_ITEM, "unit_order_price"), SHOP_ITEM, "inner")
     value = F.col("order_quantity") * F.col("unit_order_price") * F.lit(rate)
-    return j.groupBy(*SHOP_ITEM).agg(na_sum(capped(value, cap)).alias("nagad_discount_value"))
+    return j.groupBy(*SHOP_ITEM).agg(money_sum(capped(value, cap)).alias("nagad_discount_value"))
 
 
 def _q(name: str) -> Column:
@@ -124,7 +124,8 @@ def item_cost(df: DataFrame, name: str = "cost") -> DataFrame:
     w = Window.partitionBy(*SHOP_ITEM)
 
     def part(c: str) -> Column:
-        return F.coalesce(F.sum(c).over(w), F.lit(0.0))
+        exact = F.sum(F.col(c).try_cast(MONEY)).over(w)
+        return F.coalesce(exact, F.lit(0).cast(MONEY)).cast("double")
 
     total = (
         part("delivered_and_shipped_seller_price")

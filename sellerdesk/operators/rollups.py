@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sellerdesk.functions.nulls import na_sum, null_safe_join, ratio, weighted_share
+from sellerdesk.functions.nulls import money_sum, null_safe_join, ratio, weighted_share
 
 LEVELS: dict[str, list[str]] = {
     "mc": ["cat_head", "bdm", "kam", "mother_company", "month"],
@@ -83,19 +83,19 @@ def invoice_aggs() -> list[Column]:
         "paid": "corporate_paid",
         "due": "corporate_due",
     }
-    return [na_sum(c).alias(n) for n, c in src.items()]
+    return [money_sum(c).alias(n) for n, c in src.items()]
 
 
 def item_aggs() -> list[Column]:
     """Value sums and value-weighted rates of the item report."""
     tov = F.col("total_order_value")
     return [
-        na_sum(tov).alias("revenue"),
-        na_sum("delivered_and_shipped_value").alias("delivered_and_shipped_value"),
-        na_sum("undelivered_value").alias("undelivered_value"),
-        na_sum("delivered_and_shipped_seller_price").alias("delivered_and_shipped_seller_price"),
-        na_sum("undelivered_seller_price").alias("undelivered_seller_price"),
-        na_sum("cost").alias("cost"),
+        money_sum(tov).alias("revenue"),
+        money_sum("delivered_and_shipped_value").alias("delivered_and_shipped_value"),
+        money_sum("undelivered_value").alias("undelivered_value"),
+        money_sum("delivered_and_shipped_seller_price").alias("delivered_and_shipped_seller_price"),
+        money_sum("undelivered_seller_price").alias("undelivered_seller_price"),
+        money_sum("cost").alias("cost"),
         weighted_share(F.col("commission"), tov, F.sum(tov)).alias("avg_commission"),
         weighted_share(F.col("cost_ratio"), tov, F.sum(tov)).alias("avg_cost_ratio"),
         weighted_share(
@@ -174,15 +174,15 @@ def hierarchy_totals(item_report: DataFrame) -> DataFrame:
     """
     value, delivered = "total_order_value", "delivered_and_shipped_value"
     totals = item_report.groupBy(*LEVELS["mc"]).agg(
-        na_sum(value).alias("mc_total_value"), na_sum(delivered).alias("mc_delivered_value")
+        money_sum(value).alias("mc_total_value"), money_sum(delivered).alias("mc_delivered_value")
     )
     finer = totals
     prev = "mc"
     for level in ("kam", "bdm", "cathead"):
         keys = LEVELS[level]
         up = finer.groupBy(*keys).agg(
-            F.sum(f"{prev}_total_value").alias(f"{level}_total_value"),
-            F.sum(f"{prev}_delivered_value").alias(f"{level}_delivered_value"),
+            money_sum(f"{prev}_total_value").alias(f"{level}_total_value"),
+            money_sum(f"{prev}_delivered_value").alias(f"{level}_delivered_value"),
         )
         totals = null_safe_join(totals, up, keys, "left")
         finer, prev = up, level

@@ -10,18 +10,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from sellerdesk.functions.dates import month_of, parse_dmy, parse_mdy, week_of
+from sellerdesk.functions.nulls import null_safe_join
+from sellerdesk.functions.report import to_report_precision
+from sellerdesk.functions.text import (
+    date_part_of_update,
+    item_key,
+    normalize_key,
+    parse_amount,
+    parse_number,
+    truncate_at_newline,
+)
+from sellerdesk.operators import campaigns, grains, measures, pricing, rollups, status
 from sellerdesk.plans.inputs import inputs
-from sellerdesk.plans.reports import SHOP_ITEM, Reporting
+from sellerdesk.plans.reports import ITEM_MARGIN_COLUMNS, SHOP_ITEM, Reporting
+from sellerdesk.sources.fixtures import ORDER_KEY
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str):
+def query(name: str, **options):
+    """Register ``fn(Reporting) -> DataFrame`` under ``name``."""
+
     def register(fn: Callable[[Reporting], DataFrame]) -> Callable[[Reporting], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: fn(Reporting(inputs(spark, sf_dir)))
-        QUERIES[name].__doc__ = fn.__doc__
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return to_report_precision(fn(Reporting(inputs(spark, sf_dir), **options)))
+
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         return fn
 
     return register
@@ -48,4 +68,301 @@ def _item_report_margin(r: Reporting) -> DataFrame:
     return r.item_report_margin
 
 
+
+# ---- scalar functions over whole tables --------------------------------------
+@query("normalize_key")
+def _normalize_key(r: Reporting) -> DataFrame:
+    """Join keys of every order line (all payment statuses)."""
+    raw = r.inp.raw.sales
+    return raw.select(
+        *ORDER_KEY,
+        normalize_key("shop_name").alias("shop_key"),
+        item_key("order_item").alias("item_key"),
+    )
+
+
+@query("truncate_at_newline")
+def _truncate_at_newline(r: Reporting) -> DataFrame:
+    """P8 over whole document texts: the text before the first line break."""
+    docs = r.inp.raw.table("documents")
+    return docs.select("doc_id", truncate_at_newline("text").alias("first_line"))
+
+
+def _two(c) -> F.Column:
+    return F.lpad(c.cast("string"), 2, "0")
+
+
+@query("date_part_of_update")
+def _date_part_of_update(r: Reporting) -> DataFrame:
+    """P9 + P17: day-first 'last update' stamps cut at the comma and parsed."""
+    li = r.inp.raw.table("lineitem")
+    d = F.col("l_shipdate")
+    stamp = F.concat(
+        _two(F.dayofmonth(d)), F.lit("-"), _two(F.month(d)), F.lit("-"),
+        F.year(d).cast("string"), F.lit(", "), _two(F.col("l_linenumber") + 3),
+        F.lit(":"), _two(F.col("l_orderkey") % 60), F.lit(" PM"),
+    )
+    out = li.select("l_orderkey", "l_linenumber", stamp.alias("last_update"))
+    out = out.withColumn("update_text", date_part_of_update("last_update"))
+    return out.withColumn("update_date", parse_dmy("update_text"))
+
+
+@query("parse_dates")
+def _parse_dates(r: Reporting) -> DataFrame:
+    """Month-first and day-first date text in several spellings."""
+    o = r.inp.raw.table("orders")
+    d = F.col("o_orderdate")
+    k = F.col("o_orderkey") % 3
+    mdy = (
+        F.when(k == 0, F.concat(_two(F.month(d)), F.lit("-"), _two(F.dayofmonth(d)), F.lit("-"),
+                                F.year(d).cast("string")))
+        .when(k == 1, F.concat(F.month(d).cast("string"), F.lit("/"), F.dayofmonth(d).cast("string"),
+                               F.lit("/"), F.year(d).cast("string")))
+        .otherwise(F.concat(F.date_format(d, "MMMM"), F.lit(" "), F.dayofmonth(d).cast("string"),
+                            F.lit(", "), F.year(d).cast("string")))
+    )
+    dmy = F.concat(F.dayofmonth(d).cast("string"), F.lit("."), F.month(d).cast("string"),
+                   F.lit("."), F.year(d).cast("string"))
+    out = o.select("o_orderkey", mdy.alias("mdy_text"), dmy.alias("dmy_text"))
+    return out.withColumns({"mdy_date": parse_mdy("mdy_text"), "dmy_date": parse_dmy("dmy_text")})
+
+
+@query("calendar_parts")
+def _calendar_parts(r: Reporting) -> DataFrame:
+    """Month and week number (day-of-year div 7 + 1) of order dates."""
+    o = r.inp.raw.table("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    return o.select(
+        "o_orderkey",
+        month_of("d").alias("month"),
+        week_of("d", "yday_div7").alias("week"),
+        week_of("d", "yday_minus1_div7").alias("week_from_day1"),
+    )
+
+
+@query("refund_flag")
+def _refund_flag(r: Reporting) -> DataFrame:
+    """Refund note test, a missing note counts as no refund."""
+    return r.inp.raw.sales.select(*ORDER_KEY, "note", status.refund_flag("note").alias("refund"))
+
+
+@query("parse_amount")
+def _parse_amount(r: Reporting) -> DataFrame:
+    """P10: bill amounts with thousands separators to numbers."""
+    b = r.inp.raw.bills
+    return b.select(
+        "serial",
+        *[parse_amount(c).alias(f"{c}_amount") for c in ("submitted", "approved", "paid", "due")],
+    )
+
+
+@query("parse_number")
+def _parse_number(r: Reporting) -> DataFrame:
+    """Quantity text to number; 'n/a' becomes null."""
+    return r.inp.raw.sales.select(
+        *ORDER_KEY,
+        F.col("order_quantity").alias("quantity_text"),
+        parse_number("order_quantity").alias("quantity"),
+    )
+
+
+# ---- filters -------------------------------------------------------------------
+@query("paid_lines")
+def _paid_lines(r: Reporting) -> DataFrame:
+    """F1 + cleaning: typed, keyed paid order lines."""
+    return r.inp.sales
+
+
+@query("catalog_margin_filter")
+def _catalog_margin_filter(r: Reporting) -> DataFrame:
+    """catalog rows with positive prices and mrp above seller price."""
+    return r.catalog_basic
+
+
+@query("shop_pattern_report", shop_pattern="T10|Priority")
+def _shop_pattern_report(r: Reporting) -> DataFrame:
+    """F8: shop invoice report with the directory limited to matching shops."""
+    return r.shop_invoice_report
+
+
+# ---- grains --------------------------------------------------------------------
+@query("first_line_per_invoice")
+def _first_line_per_invoice(r: Reporting) -> DataFrame:
+    """W1."""
+    return r.unq_sales
+
+
+@query("campaign_date")
+def _campaign_date(r: Reporting) -> DataFrame:
+    """W2."""
+    return r.unq_shop
+
+
+@query("sales_with_campaign")
+def _sales_with_campaign(r: Reporting) -> DataFrame:
+    """J1."""
+    return grains.sales_with_campaign(r.inp.sales, r.unq_shop)
+
+
+@query("e_price")
+def _e_price(r: Reporting) -> DataFrame:
+    """W3."""
+    return grains.e_price(r.inp.sales)
+
+
+@query("catalog_dedup")
+def _catalog_dedup(r: Reporting) -> DataFrame:
+    """W4 on the order-derived prices alone (S2:127-128, keyed first, D15)."""
+    return grains.keep_first(r.inp.sales_prod, SHOP_ITEM, ["part_key"]).select(
+        *SHOP_ITEM, "unit_mrp", "unit_seller_price"
+    )
+
+
+@query("catalog_fallback")
+def _catalog_fallback(r: Reporting) -> DataFrame:
+    """Catalog first, order-derived prices fill the gaps."""
+    return r.catalog_fallback
+
+
+@query("price_table")
+def _price_table(r: Reporting) -> DataFrame:
+    return r.price_table
+
+
+@query("key_uniqueness_check")
+def _key_uniqueness_check(r: Reporting) -> DataFrame:
+    """Keys that occur more than once in a source meant to be keyed."""
+
+    def dup(df: DataFrame, source: str, keys: list[str]) -> DataFrame:
+        g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
+        if "order_item" not in keys:
+            g = g.withColumn("order_item", F.lit(None).cast("string"))
+        return g.select(F.lit(source).alias("source"), "shop_name", "order_item", "n_rows")
+
+    parts = [
+        dup(r.inp.commercial, "directory", ["shop_name"]),
+        dup(r.inp.catalog, "catalog", SHOP_ITEM),
+        dup(r.inp.override, "override", SHOP_ITEM),
+        dup(r.price_table, "price_table", SHOP_ITEM),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ---- measures ------------------------------------------------------------------
+@query("payment_rollup")
+def _payment_rollup(r: Reporting) -> DataFrame:
+    return r.payments
+
+
+@query("item_quantity_status_basic")
+def _item_quantity_status_basic(r: Reporting) -> DataFrame:
+    return status.quantity_status(r.inp.sales, SHOP_ITEM, "basic")
+
+
+@query("item_quantity_status_strict")
+def _item_quantity_status_strict(r: Reporting) -> DataFrame:
+    return r.item_quantity_strict
+
+
+@query("item_invoice_status")
+def _item_invoice_status(r: Reporting) -> DataFrame:
+    return r.item_invoice_status
+
+
+@query("delivery_days")
+def _delivery_days(r: Reporting) -> DataFrame:
+    return r.delivery_days
+
+
+@query("avg_delivery_time")
+def _avg_delivery_time(r: Reporting) -> DataFrame:
+    return r.avg_delivery_time
+
+
+@query("capped_rebate")
+def _capped_rebate(r: Reporting) -> DataFrame:
+    return r.rebate
+
+
+@query("item_values")
+def _item_values(r: Reporting) -> DataFrame:
+    """Value columns of strict quantities priced from the price table."""
+    j = measures.item_values(
+        null_safe_join(r.item_quantity_strict, r.price_table, SHOP_ITEM, "inner"), margin=True
+    )
+    cols = [c for c in j.columns if c not in r.item_quantity_strict.columns or c in SHOP_ITEM]
+    return j.select(*cols)
+
+
+@query("margin_rates")
+def _margin_rates(r: Reporting) -> DataFrame:
+    return r.item_report_margin.select(
+        *SHOP_ITEM, "commission_rate", "burn_rate", "discount_rate", "cost_ratio", "avg_deli_time"
+    )
+
+
+@query("item_cost_window")
+def _item_cost_window(r: Reporting) -> DataFrame:
+    """Cost per shop-item written onto every basic report row."""
+    return r.item_report_basic.select(
+        *SHOP_ITEM,
+        "delivered_and_shipped_seller_price",
+        "undelivered_seller_price",
+        "refund_value",
+        "cost",
+    )
+
+
+# ---- roll-ups ------------------------------------------------------------------
+@query("hierarchy_totals")
+def _hierarchy_totals(r: Reporting) -> DataFrame:
+    return rollups.hierarchy_totals(r.item_report_basic)
+
+
+@query("invoice_rollup_sets")
+def _invoice_rollup_sets(r: Reporting) -> DataFrame:
+    return rollups.invoice_rollup_sets(r.shop_invoice_report)
+
+
+@query("item_rollup_sets")
+def _item_rollup_sets(r: Reporting) -> DataFrame:
+    return rollups.item_rollup_sets(r.item_report_basic)
+
+
+@query("weighted_rates")
+def _weighted_rates(r: Reporting) -> DataFrame:
+    return rollups.weighted_rates(r.item_report_basic, "mc")
+
+
+for _level in rollups.LEVELS:
+    query(f"{_level}_report")(lambda r, _l=_level: r.level_report(_l))
+
+
+# ---- campaigns and margin groupings -------------------------------------------
+@query("campaign_tag")
+def _campaign_tag(r: Reporting) -> DataFrame:
+    """Margin report rows tagged with every campaign they belong to."""
+    return r.tagged_margin.select("campaign_name", *ITEM_MARGIN_COLUMNS)
+
+
+@query("group_total")
+def _group_total(r: Reporting) -> DataFrame:
+    """Tagged rows with their campaign's total order value."""
+    return campaigns.group_total(
+        r.tagged_margin.select("campaign_name", *ITEM_MARGIN_COLUMNS), ["campaign_name"]
+    )
+
+
+@query("campaign_report_shop_grain")
+def _campaign_report_shop_grain(r: Reporting) -> DataFrame:
+    """D5 variant: each shop's payments once per campaign."""
+    return campaigns.margin_report_shop_grain(r.tagged_margin, ["campaign_name"])
+
+
+for _name in campaigns.MARGIN_GROUPINGS:
+    query(_name)(lambda r, _n=_name: r.margin_grouping(_n))
+
+
 __all__ = ["QUERIES", "SHOP_ITEM"]

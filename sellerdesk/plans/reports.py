@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sellerdesk.functions.dates import month_of, week_of
-from sellerdesk.functions.nulls import null_safe_join, ratio
+from sellerdesk.functions.nulls import matches, null_safe_join, ratio
 from sellerdesk.operators import campaigns, grains, measures, pricing, rollups, status
 from sellerdesk.plans.inputs import Inputs
 
@@ -121,6 +121,15 @@ ITEM_MARGIN_COLUMNS = [
 class Reporting:
     inp: Inputs
     week_rule: str = "yday_div7"
+    # Optional case-insensitive pattern the directory's shop names must
+    # match (the commented-out shop filter of the reference, F8).
+    shop_pattern: str | None = None
+
+    @cached_property
+    def commercial(self) -> DataFrame:
+        if self.shop_pattern is None:
+            return self.inp.commercial
+        return self.inp.commercial.where(matches("shop_name", self.shop_pattern, ignore_case=True))
 
     # ---- grains ---------------------------------------------------------
     @cached_property
@@ -172,7 +181,7 @@ class Reporting:
         # unq_shop and the status table cover the same shops (both come from
         # the invoice-first rows), so the full outer merge is an inner join.
         j = null_safe_join(self.shop_invoice_status, self.unq_shop, SHOP, "inner")
-        j = null_safe_join(j, self.inp.commercial, SHOP, "left")
+        j = null_safe_join(j, self.commercial, SHOP, "left")
         j = null_safe_join(j, self.payments, SHOP, "left")
         j = j.withColumn("month", month_of("campaign_date"))
         return j.where(F.col("shop_name").isNotNull()).select(*SHOP_INVOICE_COLUMNS)
@@ -187,7 +196,7 @@ class Reporting:
         j = null_safe_join(j, self.avg_delivery_time, SHOP_ITEM, "left")
         j = null_safe_join(j, grains.e_price(self.inp.sales), SHOP_ITEM, "left")
         j = null_safe_join(j, self.catalog_basic.drop("part_key"), SHOP_ITEM, "left")
-        j = null_safe_join(j, self.inp.commercial, SHOP, "left")
+        j = null_safe_join(j, self.commercial, SHOP, "left")
         j = measures.item_values(j, margin=False)
         j = measures.item_cost(j)
         j = j.withColumns(
@@ -217,7 +226,7 @@ class Reporting:
         j = null_safe_join(j, self.rebate, SHOP_ITEM, "left")
         shops = null_safe_join(self.unq_shop, self.payments, SHOP, "left")
         j = null_safe_join(j, shops, SHOP, "inner")
-        j = null_safe_join(j, self.inp.commercial, SHOP, "left")
+        j = null_safe_join(j, self.commercial, SHOP, "left")
         j = measures.item_values(j, margin=True)
         j = measures.item_cost(j)
         j = j.withColumns(
@@ -249,5 +258,5 @@ class Reporting:
         return campaigns.margin_report(src, keys)
 
 
-def reporting(inp: Inputs, week_rule: str = "yday_div7") -> Reporting:
-    return Reporting(inp, week_rule)
+def reporting(inp: Inputs, week_rule: str = "yday_div7", shop_pattern: str | None = None) -> Reporting:
+    return Reporting(inp, week_rule, shop_pattern)
