@@ -890,6 +890,32 @@ ORACLE_SQL["campaign_report_shop_grain"] = one_query(
 )
 
 
+# ---------------------------------------------------------------------------
+# Sources and sinks: a landed-and-scanned input equals its stand-in
+# ---------------------------------------------------------------------------
+
+ORACLE_SQL["scan_orders"] = one_query(select="SELECT * FROM sales_all")
+ORACLE_SQL["scan_tsv"] = one_query(
+    select="SELECT shop_name, order_item, brand, part_key, unit_mrp, unit_seller_price FROM t_product"
+)
+ORACLE_SQL["scan_union_by_name"] = ORACLE_SQL["scan_tsv"]
+ORACLE_SQL["scan_csv"] = one_query(select="SELECT * FROM t_override")
+ORACLE_SQL["scan_seller_directory"] = one_query(select="SELECT * FROM t_commercial")
+ORACLE_SQL["scan_bills"] = one_query(
+    select="SELECT serial, shop_name, CAST(NULL AS VARCHAR) AS payment_date, "
+    + ", ".join(f"TRY_CAST(replace({c}, ',', '') AS DOUBLE) AS {c}" for c in ("submitted", "approved", "paid", "due"))
+    + " FROM t_bills WHERE submitted IS NOT NULL"
+)
+ORACLE_SQL["sink_report"] = ORACLE_SQL["item_report_basic"]
+ORACLE_SQL["bdm_extract_invoice"] = one_query(
+    SHOP_INVOICE_REPORT_CTE,
+    select="SELECT * FROM shop_invoice_report WHERE bdm IN (SELECT n_name FROM nation)",
+)
+ORACLE_SQL["bdm_extract_item"] = one_query(
+    ITEM_BASIC_CTE,
+    select="SELECT * FROM item_report_basic WHERE bdm IN (SELECT n_name FROM nation)",
+)
+
 # ---------------------------------------------------------------------------
 # Report precision: every double output column at 4 decimals, as the Spark
 # side does (``sellerdesk.functions.report``).

@@ -24,8 +24,10 @@ from sellerdesk.functions.text import (
     truncate_at_newline,
 )
 from sellerdesk.operators import campaigns, grains, measures, pricing, rollups, status
-from sellerdesk.plans.inputs import inputs
+from sellerdesk.plans.inputs import clean_sales, inputs
 from sellerdesk.plans.reports import ITEM_MARGIN_COLUMNS, SHOP_ITEM, Reporting
+from sellerdesk.session import scratch_path
+from sellerdesk.sources import files, landing, sinks
 from sellerdesk.sources.fixtures import ORDER_KEY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,4 +367,132 @@ for _name in campaigns.MARGIN_GROUPINGS:
     query(_name)(lambda r, _n=_name: r.margin_grouping(_n))
 
 
+
+# ---- sources and sinks ---------------------------------------------------------
+# Each query lands the stand-in input as the files a source system delivers
+# (a fresh folder under the session's checkpoint folder), scans it back and
+# returns the typed rows: the round trip must give the stand-in table.
+
+
+def source_query(name: str):
+    def register(fn: Callable[[Reporting, str], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            r = Reporting(inputs(spark, sf_dir))
+            return to_report_precision(fn(r, scratch_path(spark, name)))
+
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
+        return fn
+
+    return register
+
+
+ORDER_EXTRA = {c: c for c in ORDER_KEY if c != "order_date"}
+ORDER_KEY_TYPES = {"o_key": "bigint", "line_no": "int", "part_key": "bigint", "supp_key": "bigint",
+                   "qty_raw": "double", "ext_price": "double"}
+
+
+@source_query("scan_orders")
+def _scan_orders(r: Reporting, folder: str) -> DataFrame:
+    """O1/O3/O4 + P9/P16/P17: order exports (two header layouts, quoted line
+    breaks, date text) scanned back and cleaned to typed, keyed order lines."""
+    landing.land_orders(r.inp.raw, folder)
+    rows = files.scan_orders(r.spark, folder, ORDER_EXTRA)
+    rows = rows.withColumns({c: F.col(c).cast(t) for c, t in ORDER_KEY_TYPES.items()})
+    return clean_sales(rows)
+
+
+def _typed_catalog(df: DataFrame) -> DataFrame:
+    return df.select(
+        "shop_name",
+        "order_item",
+        "brand",
+        F.col("part_key").cast("bigint").alias("part_key"),
+        parse_number("unit_mrp").alias("unit_mrp"),
+        parse_number("unit_seller_price").alias("unit_seller_price"),
+    )
+
+
+@source_query("scan_tsv")
+def _scan_tsv(r: Reporting, folder: str) -> DataFrame:
+    """O2: catalog as tab-separated '.csv' files with a declared header."""
+    landing.land_catalog(r.inp.raw, folder, layouts=1)
+    export_cols = landing.catalog_export(r.inp.raw).columns
+    df = files.scan_tsv(r.spark, f"{folder}/layout_a", files.string_schema(export_cols))
+    renamed = df.select(*[F.col(f"`{h}`").alias(n) for h, n in files.CATALOG_HEADERS.items()])
+    return _typed_catalog(renamed)
+
+
+@source_query("scan_union_by_name")
+def _scan_union_by_name(r: Reporting, folder: str) -> DataFrame:
+    """Catalog folder with two header layouts bound by name."""
+    landing.land_catalog(r.inp.raw, folder, layouts=2)
+    df = files.scan_union_by_name(r.spark, folder, files.CATALOG_HEADERS, sep="\t")
+    return _typed_catalog(df)
+
+
+@source_query("scan_csv")
+def _scan_csv(r: Reporting, folder: str) -> DataFrame:
+    """The price override file, header checked against the schema."""
+    landing.land_override(r.inp.raw, folder)
+    df = files.scan_csv(r.spark, folder, files.string_schema(landing.OVERRIDE_HEADER))
+    out = ["shop_name", "order_item", "unit_order_price", "unit_seller_price", "unit_mrp"]
+    return df.select(
+        *[
+            (parse_number(f"`{h}`") if n.startswith("unit") else F.col(f"`{h}`")).alias(n)
+            for h, n in zip(landing.OVERRIDE_HEADER, out)
+        ]
+    )
+
+
+@source_query("scan_seller_directory")
+def _scan_seller_directory(r: Reporting, folder: str) -> DataFrame:
+    """Directory export with extra columns; blank cells are null."""
+    landing.land_directory(r.inp.raw, folder)
+    return files.scan_seller_directory(r.spark, folder)
+
+
+@source_query("scan_bills")
+def _scan_bills(r: Reporting, folder: str) -> DataFrame:
+    """O7 + P10: bill trackers named by a tracker list; bills without a
+    submitted amount are skipped; amounts lose their thousands commas."""
+    tracker_list, trackers = landing.land_bills(r.inp.raw, folder)
+    bills = files.scan_bills(r.spark, tracker_list, trackers)
+    return bills.withColumns({c: parse_amount(c) for c in ("submitted", "approved", "paid", "due")})
+
+
+@source_query("sink_report")
+def _sink_report(r: Reporting, folder: str) -> DataFrame:
+    """The basic item report written as CSV ('NA' for missing) and
+    read back with its own schema."""
+    report = to_report_precision(r.item_report_basic)
+    sinks.write_report(report, folder)
+    return files.scan_csv(r.spark, folder, report.schema, null_value=sinks.REPORT_NULL)
+
+
+def _bdm_targets(r: Reporting) -> DataFrame:
+    """The BDM target list: every BDM of the nation table with its extract name."""
+    n = r.inp.raw.table("nation")
+    return n.select(F.col("n_name").alias("bdm"), F.concat(F.lit("extract_"), "n_name").alias("target"))
+
+
+def _bdm_extract(r: Reporting, report: DataFrame, folder: str) -> DataFrame:
+    report = to_report_precision(report)
+    sinks.write_bdm_extracts(report, _bdm_targets(r), folder)
+    back = r.spark.read.schema(report.schema).parquet(folder)
+    return back.select(*report.columns)
+
+
+@source_query("bdm_extract_invoice")
+def _bdm_extract_invoice(r: Reporting, folder: str) -> DataFrame:
+    """Shop invoice report, one extract folder per listed BDM."""
+    return _bdm_extract(r, r.shop_invoice_report, folder)
+
+
+@source_query("bdm_extract_item")
+def _bdm_extract_item(r: Reporting, folder: str) -> DataFrame:
+    """Basic item report, one extract folder per listed BDM."""
+    return _bdm_extract(r, r.item_report_basic, folder)
+
+
 __all__ = ["QUERIES", "SHOP_ITEM"]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sellerdesk.functions.dates import month_of, week_of
@@ -125,6 +125,10 @@ class Reporting:
     # match (the commented-out shop filter of the reference, F8).
     shop_pattern: str | None = None
 
+    @property
+    def spark(self) -> SparkSession:
+        return self.inp.spark
+
     @cached_property
     def commercial(self) -> DataFrame:
         if self.shop_pattern is None:

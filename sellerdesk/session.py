@@ -21,10 +21,18 @@ DEFAULT_CONF = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "12g", **conf: str
+) -> SparkSession:
     """A local session for tests and the bench (a cluster brings its own)."""
     b = SparkSession.builder.master(f"local[{cores}]").appName("sellerdesk")
-    for k, v in {**DEFAULT_CONF, "spark.sql.shuffle.partitions": str(shuffle_partitions), **conf}.items():
+    settings = {
+        **DEFAULT_CONF,
+        "spark.driver.memory": driver_memory,
+        "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        **conf,
+    }
+    for k, v in settings.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
