@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sellerdesk.functions.dates import month_of
 from sellerdesk.functions.text import item_key, normalize_key, parse_amount, parse_number
+from sellerdesk.session import stage
 from sellerdesk.sources.fixtures import ORDER_KEY, RawInputs
 
 SALES_COLUMNS = (
@@ -117,9 +118,16 @@ def clean_bills(raw: DataFrame) -> DataFrame:
 
 @dataclass
 class Inputs:
-    """Cleaned inputs; lazy DataFrames built once per object."""
+    """Cleaned inputs; DataFrames built once per object.
+
+    With ``staged`` (the default) the cleaned paid order lines, the one
+    line-grain table every report reads several times, are written once to
+    the shared folder (``sellerdesk.session.stage``) instead of being
+    re-derived in each branch of a plan.
+    """
 
     raw: RawInputs
+    staged: bool = True
 
     @property
     def spark(self) -> SparkSession:
@@ -131,7 +139,8 @@ class Inputs:
 
     @cached_property
     def sales(self) -> DataFrame:
-        return paid_lines(self.all_sales)
+        lines = paid_lines(self.all_sales)
+        return stage(lines, "paid_lines") if self.staged else lines
 
     @cached_property
     def commercial(self) -> DataFrame:
@@ -154,5 +163,5 @@ class Inputs:
         return clean_bills(self.raw.bills)
 
 
-def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    return Inputs(RawInputs(spark, sf_dir))
+def inputs(spark: SparkSession, sf_dir: str, staged: bool = True) -> Inputs:
+    return Inputs(RawInputs(spark, sf_dir, staged), staged)

@@ -18,6 +18,7 @@ from sellerdesk.functions.dates import month_of, week_of
 from sellerdesk.functions.nulls import matches, null_safe_join, ratio
 from sellerdesk.operators import campaigns, grains, measures, pricing, rollups, status
 from sellerdesk.plans.inputs import Inputs
+from sellerdesk.session import stage
 
 SHOP = ["shop_name"]
 SHOP_ITEM = ["shop_name", "order_item"]
@@ -138,7 +139,8 @@ class Reporting:
     # ---- grains ---------------------------------------------------------
     @cached_property
     def unq_sales(self) -> DataFrame:
-        return grains.first_line_per_invoice(self.inp.sales)
+        first = grains.first_line_per_invoice(self.inp.sales)
+        return stage(first, "invoice_first_lines") if self.inp.staged else first
 
     @cached_property
     def unq_shop(self) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the reporting plans rely on.  AQE re-plans joins from measured
 # shuffle sizes (broadcast only what turned out small, split skewed
@@ -63,5 +63,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    A stage boundary for an intermediate that several branches of one plan
+    read: it is computed once, survives the loss of any executor (it is in
+    the shared folder, not in executor memory or local disk) and cuts the
+    lineage; readers get column pruning and filter pushdown on it.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def bench_cpus() -> str:
     return os.environ.get("BENCH_CPUS", "8")

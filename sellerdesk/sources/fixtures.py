@@ -111,6 +111,30 @@ JOIN {shop} ON l_suppkey = s_suppkey
 
 DRIVER_TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem")
 
+# Fact tables and the key their rows are spread on when a scan yields too
+# few splits (see ``spread``).
+FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id"}
+
+
+_SPLITS: dict[str, int] = {}
+
+
+def spread(df: DataFrame, key: str, path: str) -> DataFrame:
+    """Hash-spread a scan that yields fewer splits than the session has cores.
+
+    A Parquet file is split by row group; a small file written as one row
+    group scans in one task, and every broadcast join and per-row function
+    after it then runs on one core.  On a cluster reading many files the
+    scan already has more splits than cores and this is a no-op.  The split
+    count is looked up once per path (it costs a scan planning).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if path not in _SPLITS:
+        _SPLITS[path] = df.rdd.getNumPartitions()
+    if _SPLITS[path] >= cores:
+        return df
+    return df.repartition(cores, key)
+
 
 @dataclass
 class RawInputs:
@@ -121,9 +145,13 @@ class RawInputs:
 
     spark: SparkSession
     sf_dir: str
+    staged: bool = False
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+        path = f"{self.sf_dir.rstrip('/')}/{name}.parquet"
+        df = self.spark.read.parquet(path)
+        key = FACT_KEYS.get(name)
+        return spread(df, key, path) if key else df
 
     def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
         return self.spark.sql(text, **frames)
@@ -153,9 +181,16 @@ class RawInputs:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return self._sql(
+        """Shop-part pairs that sold; source of the three price tables.  With
+        ``staged`` it is written once to the shared folder (three readers)."""
+        df = self._sql(
             PAIRS_SQL, lineitem=self.table("lineitem"), shop=self.shop, part=self.table("part")
         )
+        if not self.staged:
+            return df
+        from sellerdesk.session import stage
+
+        return stage(df, "shop_part_pairs")
 
     @cached_property
     def product(self) -> DataFrame:
@@ -174,5 +209,5 @@ class RawInputs:
         return self._sql(BILLS_SQL, lineitem=self.table("lineitem"), shop=self.shop)
 
 
-def raw_inputs(spark: SparkSession, sf_dir: str) -> RawInputs:
-    return RawInputs(spark, sf_dir)
+def raw_inputs(spark: SparkSession, sf_dir: str, staged: bool = False) -> RawInputs:
+    return RawInputs(spark, sf_dir, staged)
