@@ -217,7 +217,7 @@ def merge_chain(prefix: str, tables: list[tuple[str, list[str]]], keys: list[str
 
 
 def status_ctes(name: str, src: str, keys: list[str], policy: str, measure: str | None) -> str:
-    """Six filtered aggregates and five full outer merges (S1:154-170 etc.)."""
+    """Six filtered aggregates and five full outer merges ( etc.)."""
     names = INVOICE_NAMES if measure is None else QUANTITY_NAMES
     agg = (
         "CAST(count(*) AS DOUBLE)"
@@ -284,7 +284,7 @@ ORACLE_SQL["shop_invoice_report"] = one_query(
 
 SI = ["shop_name", "order_item"]
 
-# Delivery days at line grain after the campaign-date merge (S1:214-217).
+# Delivery days at line grain after the campaign-date merge.
 DELIVERY_CTE = f"""
 sales_campaign AS (
 SELECT s.*, u.campaign_date FROM sales s LEFT JOIN unq_shop u ON {on('s', 'u', ['shop_name'])}),
@@ -394,7 +394,7 @@ FROM item_valued v JOIN item_cost k ON {on('v', 'k', SI)})"""
 
 ORACLE_SQL["item_report_basic"] = one_query(ITEM_BASIC_CTE, select="SELECT * FROM item_report_basic")
 
-# Price table of the second script (S2:142-183), in its own order: join all
+# Price table of the second script, in its own order: join all
 # lines to the catalog, then keep the first line per shop-item.
 PRICE_TABLE_CTE = f"""
 catalog_all AS (
@@ -618,7 +618,7 @@ ORACLE_SQL["item_cost_window"] = one_query(
 )
 
 # ---------------------------------------------------------------------------
-# Management levels (S1:310-483): totals merged back, then per-level sums
+# Management levels: totals merged back, then per-level sums
 # ---------------------------------------------------------------------------
 
 LEVELS = {
@@ -772,7 +772,7 @@ ORACLE_SQL["item_rollup_sets"] = one_query(
 )
 
 # ---------------------------------------------------------------------------
-# Campaign comparison and margin groupings (S2:320-440)
+# Campaign comparison and margin groupings
 # ---------------------------------------------------------------------------
 
 CAMPAIGNS = [

@@ -39,13 +39,19 @@ def na_sum(c: Column | str) -> Column:
 MONEY = "decimal(38,4)"
 
 
-def money_sum(c: Column | str) -> Column:
+def money_sum(c: Column | str, times: Column | str | None = None) -> Column:
     """Aggregate: exact sum of a money column, 0 over no values.
 
-    NaN or infinite inputs cannot be fixed-point and are skipped, as the
+    ``times`` weights each row by a count of identical rows it stands for;
+    in fixed point ``n * v`` equals ``v`` summed n times exactly, so rows can
+    be pre-aggregated before a join without changing the result.  NaN or
+    infinite inputs cannot be fixed-point and are skipped, as the
     reference's ``na.rm`` skips NaN.
     """
-    return F.coalesce(F.sum(_col(c).try_cast(MONEY)), F.lit(0).cast(MONEY)).cast("double")
+    v = _col(c).try_cast(MONEY)
+    if times is not None:
+        v = v * _col(times)
+    return F.coalesce(F.sum(v), F.lit(0).cast(MONEY)).cast("double")
 
 
 def count_where(cond: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sellerdesk.functions.nulls import matches, money_sum, null_safe_join, ratio
 
 # Campaign name, the pattern a normalised shop name must
-# contain, and the pattern it must not contain (case-sensitive, S2:320-329).
+# contain, and the pattern it must not contain (case-sensitive).
 # 'for t10 july 2' also matches the 20s except 23 (kept as is, D18).
 CAMPAIGN_RULES: tuple[tuple[str, str, str | None], ...] = (
     ("T10 July 2", "for t10 july 2", "for t10 july 23"),
@@ -20,7 +20,7 @@ CAMPAIGN_RULES: tuple[tuple[str, str, str | None], ...] = (
     ("T10 July 30", "for t10 july 30", None),
 )
 
-# Groupings of the margin report (S2:399-410); the campaign ones need tags.
+# Groupings of the margin report; the campaign ones need tags.
 MARGIN_GROUPINGS: dict[str, list[str]] = {
     "campaign_report": ["campaign_name"],
     "margin_by_mc": ["category", "bdm", "kam", "mother_company"],

@@ -25,7 +25,7 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 
 
 def first_line_per_invoice(sales: DataFrame) -> DataFrame:
-    """The first paid line of each invoice, with ``count = 1`` (S1:83-84)."""
+    """The first paid line of each invoice, with ``count = 1``."""
     return keep_first(sales, ["invoice"], ORDER_KEY).withColumn("count", F.lit(1.0))
 
 
@@ -46,7 +46,7 @@ def sales_with_campaign(sales: DataFrame, unq_shop: DataFrame) -> DataFrame:
 
 
 def e_price(sales: DataFrame) -> DataFrame:
-    """Order price of the first line of each shop-item (S1:229-233)."""
+    """Order price of the first line of each shop-item."""
     return keep_first(sales, ["shop_name", "order_item"], ORDER_KEY).select(
         "shop_name", "order_item", "unit_order_price"
     )

@@ -70,13 +70,22 @@ def capped_rebate(
     cap: float = REBATE_CAP,
 ) -> DataFrame:
     """Per shop-item sum of min(qty * price * rate, cap) over lines paid by
-    ``method`` (any order status, D9), priced from the price table."""
-    lines = sales.where(matches("payment_method", method, ignore_case=True)).select(
-        *SHOP_ITEM, "order_quantity"
-    )
-    j = null_safe_join(lines, prices.select(*SHOP_ITEM, "unit_order_price"), SHOP_ITEM, "inner")
+    ``method`` (any order status, D9), priced from the price table.
+
+    The cap applies per line, so lines cannot be summed before pricing; but
+    lines of one shop-item with the same quantity have the same rebate.  They
+    are counted per (shop, item, quantity) first, with map-side partial
+    aggregation, and only that small table meets the price table: the join
+    never sees line grain, and a hot shop costs one row per quantity value.
+    The fixed-point sum makes ``n * rebate`` exactly the sum of n rebates.
+    """
+    lines = sales.where(matches("payment_method", method, ignore_case=True))
+    per_qty = lines.groupBy(*SHOP_ITEM, "order_quantity").agg(F.count(F.lit(1)).alias("__n"))
+    j = null_safe_join(per_qty, prices.select(*SHOP_ITEM, "unit_order_price"), SHOP_ITEM, "inner")
     value = F.col("order_quantity") * F.col("unit_order_price") * F.lit(rate)
-    return j.groupBy(*SHOP_ITEM).agg(money_sum(capped(value, cap)).alias("nagad_discount_value"))
+    return j.groupBy(*SHOP_ITEM).agg(
+        money_sum(capped(value, cap), times="__n").alias("nagad_discount_value")
+    )
 
 
 def _q(name: str) -> Column:
@@ -136,7 +145,7 @@ def item_cost(df: DataFrame, name: str = "cost") -> DataFrame:
 
 
 def margin_rates(df: DataFrame) -> DataFrame:
-    """Row-level rates of the margin report (S2:274-279); a missing rebate
+    """Row-level rates of the margin report; a missing rebate
     gives missing burn and discount rates (N7, D10)."""
     tmv, tsp, tov = _q("total_market_value"), _q("total_seller_price"), _q("total_order_value")
     net = tov - _q("nagad_discount_value")

@@ -12,7 +12,7 @@ from sellerdesk.operators.grains import e_price, keep_first
 SHOP_ITEM = ["shop_name", "order_item"]
 
 # Shops whose prices come from the override file only
-# (case-sensitive patterns on normalised shop names, S2:162).
+# (case-sensitive patterns on normalised shop names).
 OVERRIDE_SHOP_PATTERNS = ("for t10 july 30", "for t10 july 23")
 
 

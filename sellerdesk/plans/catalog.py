@@ -213,7 +213,7 @@ def _e_price(r: Reporting) -> DataFrame:
 
 @query("catalog_dedup")
 def _catalog_dedup(r: Reporting) -> DataFrame:
-    """W4 on the order-derived prices alone (S2:127-128, keyed first, D15)."""
+    """W4 on the order-derived prices alone (, keyed first, D15)."""
     return grains.keep_first(r.inp.sales_prod, SHOP_ITEM, ["part_key"]).select(
         *SHOP_ITEM, "unit_mrp", "unit_seller_price"
     )

@@ -72,7 +72,7 @@ def clean_commercial(raw: DataFrame) -> DataFrame:
 
 
 def clean_catalog(raw: DataFrame) -> DataFrame:
-    """Catalog rows keyed like the order lines (squish + lower, S1:41-44)."""
+    """Catalog rows keyed like the order lines (squish + lower)."""
     return raw.select(
         normalize_key("shop_name").alias("shop_name"),
         normalize_key("order_item").alias("order_item"),
@@ -105,7 +105,7 @@ def clean_override(raw: DataFrame) -> DataFrame:
 
 
 def clean_bills(raw: DataFrame) -> DataFrame:
-    """Bill tracker rows: a bill without a submitted amount is skipped (S1:121)."""
+    """Bill tracker rows: a bill without a submitted amount is skipped."""
     return raw.where(F.col("submitted").isNotNull()).select(
         F.col("serial").cast("string").alias("serial"),
         normalize_key("shop_name").alias("shop_name"),

@@ -177,7 +177,7 @@ class Reporting:
     def rebate(self) -> DataFrame:
         return measures.capped_rebate(self.inp.sales, self.price_table)
 
-    # ---- shop invoice report (S1:154-180) -------------------------------
+    # ---- shop invoice report -------------------------------
     @cached_property
     def shop_invoice_status(self) -> DataFrame:
         return status.invoice_status(self.unq_sales, SHOP, "basic")
@@ -192,7 +192,7 @@ class Reporting:
         j = j.withColumn("month", month_of("campaign_date"))
         return j.where(F.col("shop_name").isNotNull()).select(*SHOP_INVOICE_COLUMNS)
 
-    # ---- basic shop-item report (S1:194-256) ----------------------------
+    # ---- basic shop-item report ----------------------------
     @cached_property
     def item_report_basic(self) -> DataFrame:
         q = status.quantity_status(self.inp.sales, SHOP_ITEM, "basic")
@@ -213,7 +213,7 @@ class Reporting:
         )
         return j.select(*ITEM_BASIC_COLUMNS)
 
-    # ---- margin shop-item report (S2:187-306) ---------------------------
+    # ---- margin shop-item report ---------------------------
     @cached_property
     def item_invoice_status(self) -> DataFrame:
         return status.invoice_status(self.unq_sales, SHOP_ITEM, "strict")
@@ -249,11 +249,11 @@ class Reporting:
         )
         return j.select(*ITEM_MARGIN_COLUMNS)
 
-    # ---- management levels (S1:310-483) ---------------------------------
+    # ---- management levels ---------------------------------
     def level_report(self, level: str) -> DataFrame:
         return rollups.level_report(self.shop_invoice_report, self.item_report_basic, level)
 
-    # ---- campaign comparison (S2:320-440) -------------------------------
+    # ---- campaign comparison -------------------------------
     @cached_property
     def tagged_margin(self) -> DataFrame:
         return campaigns.tag_campaigns(self.item_report_margin)
