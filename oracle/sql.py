@@ -895,6 +895,7 @@ ORACLE_SQL["campaign_report_shop_grain"] = one_query(
 # ---------------------------------------------------------------------------
 
 ORACLE_SQL["scan_orders"] = one_query(select="SELECT * FROM sales_all")
+ORACLE_SQL["scan_orders_incremental"] = ORACLE_SQL["scan_orders"]
 ORACLE_SQL["scan_tsv"] = one_query(
     select="SELECT shop_name, order_item, brand, part_key, unit_mrp, unit_seller_price FROM t_product"
 )

@@ -28,6 +28,7 @@ from sellerdesk.plans.inputs import clean_sales, inputs
 from sellerdesk.plans.reports import ITEM_MARGIN_COLUMNS, SHOP_ITEM, Reporting
 from sellerdesk.session import scratch_path
 from sellerdesk.sources import files, landing, sinks
+from sellerdesk.streaming import ingest
 from sellerdesk.sources.fixtures import ORDER_KEY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -402,6 +403,26 @@ def _scan_orders(r: Reporting, folder: str) -> DataFrame:
     return clean_sales(rows)
 
 
+@source_query("scan_orders_incremental")
+def _scan_orders_incremental(r: Reporting, folder: str) -> DataFrame:
+    """O1/O3 as an incremental file stream: two export drops land one after
+    the other; each availableNow run appends only the files it has not
+    seen, and the table then holds every line exactly once."""
+    exports, table = f"{folder}/exports", f"{folder}/order_lines"
+    checkpoint = f"{folder}/checkpoint"
+    landing.land_orders(r.inp.raw, f"{folder}/staging", layouts=1)
+    moved = r.spark.read.option("header", True).option("multiLine", True)
+    for drop in ("drop_1", "drop_2"):
+        # Each drop arrives as its own files; the stream picks up new ones only.
+        landing._writer(
+            moved.option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(f"{folder}/staging/{drop}")
+        ).csv(f"{exports}/{drop}")
+        ingest.ingest_order_exports(r.spark, exports, table, checkpoint).awaitTermination()
+    return r.spark.read.parquet(table)
+
+
 def _typed_catalog(df: DataFrame) -> DataFrame:
     return df.select(
         "shop_name",
