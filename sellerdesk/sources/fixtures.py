@@ -113,7 +113,7 @@ DRIVER_TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem")
 
 # Fact tables and the key their rows are spread on when a scan yields too
 # few splits (see ``spread``).
-FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id"}
+FACT_KEYS = {"lineitem": "l_orderkey", "documents": "doc_id"}
 
 
 _SPLITS: dict[str, int] = {}
