@@ -139,10 +139,16 @@ def null_safe_join(
     r = right.withColumnsRenamed(renamed)
     cond = [left[k].eqNullSafe(r[renamed[k]]) for k in keys]
     joined = left.join(r, on=cond, how=how)
+    if how in ("left_semi", "leftsemi", "semi", "left_anti", "leftanti", "anti"):
+        return joined
+    # Resolve by name after the join: the right keys are renamed, so every
+    # name is unique even when both sides come from the same table.
     if how in ("full", "full_outer", "outer", "fullouter"):
-        joined = joined.withColumns(
-            {k: F.coalesce(left[k], r[renamed[k]]) for k in keys}
-        )
+        key_cols = [F.coalesce(F.col(k), F.col(renamed[k])).alias(k) for k in keys]
     elif how in ("right", "right_outer", "rightouter"):
-        joined = joined.withColumns({k: r[renamed[k]] for k in keys})
-    return joined.drop(*renamed.values())
+        key_cols = [F.col(renamed[k]).alias(k) for k in keys]
+    else:
+        key_cols = [F.col(k) for k in keys]
+    rest = [F.col(c) for c in left.columns if c not in keys]
+    rest += [F.col(c) for c in r.columns if c not in renamed.values()]
+    return joined.select(*key_cols, *rest)

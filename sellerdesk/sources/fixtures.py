@@ -148,10 +148,16 @@ class RawInputs:
     staged: bool = False
 
     def table(self, name: str) -> DataFrame:
-        path = f"{self.sf_dir.rstrip('/')}/{name}.parquet"
-        df = self.spark.read.parquet(path)
-        key = FACT_KEYS.get(name)
-        return spread(df, key, path) if key else df
+        """One DataFrame per table and input set: a Parquet read lists files
+        and reads footers, so repeated reads of the same table cost planning
+        time on the driver for nothing."""
+        cache = self.__dict__.setdefault("_tables", {})
+        if name not in cache:
+            path = f"{self.sf_dir.rstrip('/')}/{name}.parquet"
+            df = self.spark.read.parquet(path)
+            key = FACT_KEYS.get(name)
+            cache[name] = spread(df, key, path) if key else df
+        return cache[name]
 
     def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
         return self.spark.sql(text, **frames)
