@@ -38,11 +38,23 @@ def delivery_days(sales: DataFrame, unq_shop: DataFrame) -> DataFrame:
     never joined on the (possibly very skewed) shop key.  A missing campaign
     date makes every term missing, which sums to 0 (N1).
     """
-    lines = sales.where(BASIC.buckets["delivered_and_shipped"]())
-    per_item = lines.groupBy(*SHOP_ITEM).agg(
-        F.sum(F.unix_date("last_update_date")).alias("__lu_days"),
-        F.count("last_update_date").alias("__n"),
-    )
+    return delivery_days_from(sales.groupBy(*SHOP_ITEM).agg(*delivery_aggs()), unq_shop)
+
+
+def delivery_aggs() -> list[Column]:
+    """Conditional aggregates behind ``delivery_days``, so they can ride along
+    in another per shop-item aggregation over the same lines (one pass)."""
+    cond = F.coalesce(BASIC.buckets["delivered_and_shipped"](), F.lit(False))
+    return [
+        F.sum(F.when(cond, F.unix_date("last_update_date"))).alias("__lu_days"),
+        F.count_if(cond & F.col("last_update_date").isNotNull()).alias("__n"),
+        F.count_if(cond).alias("__n_lines"),
+    ]
+
+
+def delivery_days_from(per_item: DataFrame, unq_shop: DataFrame) -> DataFrame:
+    """Finish ``delivery_days`` from per shop-item ``delivery_aggs`` columns."""
+    per_item = per_item.where(F.col("__n_lines") > 0).select(*SHOP_ITEM, "__lu_days", "__n")
     j = null_safe_join(per_item, unq_shop, ["shop_name"], "left")
     days = F.col("__lu_days") - F.col("__n") * F.unix_date("campaign_date")
     return j.select(

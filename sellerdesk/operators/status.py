@@ -128,10 +128,13 @@ def quantity_status(
     keys: Sequence[str],
     policy: str | Policy = "basic",
     quantity: str = "order_quantity",
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """Quantities per bucket over all lines (A3a basic, A3b strict)."""
+    """Quantities per bucket over all lines (A3a basic, A3b strict).
+
+    ``extra`` aggregates over the same rows join the same pass."""
     p = _policy(policy)
     df = sales if p.keep is None else sales.where(p.keep())
     aggs = [na_sum(quantity).alias(QUANTITY_NAMES["total"])]
     aggs += [bucket_sum(p.buckets[b](), quantity).alias(QUANTITY_NAMES[b]) for b in BUCKETS]
-    return df.groupBy(*keys).agg(*aggs)
+    return df.groupBy(*keys).agg(*aggs, *extra)

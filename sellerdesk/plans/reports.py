@@ -164,9 +164,27 @@ class Reporting:
         return pricing.price_table(self.inp.sales, self.catalog_fallback, self.inp.override)
 
     # ---- measures -------------------------------------------------------
+    # One pass over the line table per policy: bucket quantities and the
+    # delivery-day sums share the shop-item aggregation.  Delivery lines are
+    # shipped or delivered, never cancelled, so either policy's row filter
+    # leaves their sums unchanged.
+    def line_facts(self, policy: str) -> DataFrame:
+        cache = self.__dict__.setdefault("_line_facts", {})
+        if policy not in cache:
+            cache[policy] = status.quantity_status(
+                self.inp.sales, SHOP_ITEM, policy, extra=measures.delivery_aggs()
+            )
+        return cache[policy]
+
+    def quantities(self, policy: str) -> DataFrame:
+        return self.line_facts(policy).select(*SHOP_ITEM, *QUANTITY_COLUMNS)
+
+    def delivery_days_for(self, policy: str) -> DataFrame:
+        return measures.delivery_days_from(self.line_facts(policy), self.unq_shop)
+
     @cached_property
     def delivery_days(self) -> DataFrame:
-        return measures.delivery_days(self.inp.sales, self.unq_shop)
+        return self.delivery_days_for("basic")
 
     @cached_property
     def avg_delivery_time(self) -> DataFrame:
@@ -195,7 +213,7 @@ class Reporting:
     # ---- basic shop-item report ----------------------------
     @cached_property
     def item_report_basic(self) -> DataFrame:
-        q = status.quantity_status(self.inp.sales, SHOP_ITEM, "basic")
+        q = self.quantities("basic")
         # Every shop of unq_shop has lines, so 'unq_shop full-join status'
         # is 'status left-join unq_shop'.
         j = null_safe_join(q, self.unq_shop, SHOP, "left")
@@ -220,7 +238,7 @@ class Reporting:
 
     @cached_property
     def item_quantity_strict(self) -> DataFrame:
-        return status.quantity_status(self.inp.sales, SHOP_ITEM, "strict")
+        return self.quantities("strict")
 
     @cached_property
     def item_report_margin(self) -> DataFrame:
@@ -228,7 +246,7 @@ class Reporting:
         # then the shop-grain tables (small; broadcast when AQE sees that).
         j = null_safe_join(self.item_quantity_strict, self.price_table, SHOP_ITEM, "inner")
         j = null_safe_join(j, self.item_invoice_status, SHOP_ITEM, "inner")
-        j = null_safe_join(j, self.delivery_days, SHOP_ITEM, "left")
+        j = null_safe_join(j, self.delivery_days_for("strict"), SHOP_ITEM, "left")
         j = null_safe_join(j, self.rebate, SHOP_ITEM, "left")
         shops = null_safe_join(self.unq_shop, self.payments, SHOP, "left")
         j = null_safe_join(j, shops, SHOP, "inner")
