@@ -55,4 +55,19 @@ SELECT query_id, rank, vec_id, score FROM (
 WHERE rank <= 5
 """
 
-ORACLE_SQL = {"op6_mixing": MIXING, "op10_topk": TOPK}
+WARC = r"""
+WITH p AS (
+  SELECT page_id, sha1(encode(coalesce(html, ''))) AS sha,
+         octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes
+  FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY sha, payload_bytes) AS winner FROM p)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(sha, (i // 4) * 5 + 1, 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM winner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM winner THEN winner END AS refers_to
+FROM w
+"""
+
+ORACLE_SQL = {"op7_warc": WARC, "op6_mixing": MIXING, "op10_topk": TOPK}

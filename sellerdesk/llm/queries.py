@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sellerdesk.llm import mixing, sharding, topk
+from sellerdesk.llm import mixing, quality, sharding, simhash, topk, warc
 from sellerdesk.llm.common import table
 
 
+def op1_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("times")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(table(spark, sf_dir, "documents"))
     return sharding.interleave_shards(rows).select(
@@ -32,7 +44,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_cleaning": op1_line_cleaning,
+    "op4_simhash": op4_simhash,
     "op6_mixing": op6_mixing,
+    "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
     "op10_topk": op10_topk,
 }
