@@ -1,7 +1,7 @@
 """Line-first cleaning with document rejection.
 
-Each line with a word is judged by itself: it must end in terminal
-punctuation, must not be a row of navigation links, and must hold no
+Each line with a word is judged by itself: it must end a sentence and not be
+strewn with symbols, must not be a row of navigation links, and must hold no
 boilerplate phrase.  Failing lines are removed; a document is rejected if that
 removes too large a share of its words, or if it fails the base rules on the
 whole text (too few words, too much repetition).  One pass over the texts,
@@ -23,6 +23,7 @@ WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 NOT_A_CODE_POINT = bytes(range(0x80, 0xC0))  # continuation bytes of UTF-8
 TERMINAL = tuple(x.encode() for x in ". ! ? … 。 ！ ？ : ; \" ' ” ’ » ) ]".split())
+SENTENCE_ENDS = (b". ", b"! ", b"? ")
 SEPARATORS = tuple(x.encode() for x in ("|", "»", "›", "•", "·", " > ", " / "))
 _LINKS = (
     "home about contact login logout register search menu sitemap next previous back top "
@@ -42,7 +43,7 @@ PHRASES = tuple(
 RESULT = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, base_failed boolean, kept boolean, n_lines long, "
-    "no_punctuation long, navigation long, boilerplate long, n_removed_words long"
+    "bad_punctuation long, navigation long, boilerplate long, n_removed_words long"
 )
 
 
@@ -80,8 +81,13 @@ def repeat_words(words: list[bytes], window: int = 5) -> int:
     return int(np.count_nonzero(np.cumsum(edge[:-1])))
 
 
+def unpunctuated(line: bytes) -> bool:
+    """Neither ends in terminal punctuation nor holds the end of a sentence."""
+    return not (line.rstrip(WHITE).endswith(TERMINAL) or any(x in line for x in SENTENCE_ENDS))
+
+
 def line_fault(line: bytes) -> int:
-    """0: keep; 1: no terminal punctuation, 2: navigation, 3: boilerplate phrase."""
+    """0: keep; 1: punctuation, 2: navigation, 3: boilerplate phrase."""
     words = line.split()
     links = sum(w in LINK_WORDS for w in words)
     seps = sum(map(line.count, SEPARATORS))
@@ -90,7 +96,8 @@ def line_fault(line: bytes) -> int:
     low = line.lower()
     if any(x in low for x in PHRASES):
         return 3
-    return 0 if line.rstrip(WHITE).endswith(TERMINAL) else 1
+    symbols = len(line) - len(line.translate(None, SYMBOLS))
+    return int(unpunctuated(line) or 2 * symbols > len(words))
 
 
 def line_faults(text: bytes, words: list[bytes], lines: list[bytes]) -> list[int]:
@@ -100,9 +107,10 @@ def line_faults(text: bytes, words: list[bytes], lines: list[bytes]) -> list[int
         any(x in text for x in SEPARATORS)
         or not LINK_WORDS.isdisjoint(words)
         or any(x in low for x in PHRASES)
+        or len(text) > len(text.translate(None, SYMBOLS))
     ):
         return [line_fault(x) for x in lines]
-    return [0 if x.rstrip(WHITE).endswith(TERMINAL) else 1 for x in lines]
+    return [int(unpunctuated(x)) for x in lines]
 
 
 def measure(text: bytes, max_removed: float) -> tuple:
