@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sellerdesk.llm import mixing, quality, sharding, simhash, topk, warc
+from sellerdesk.llm import mixing, packing, quality, sharding, simhash, topk, warc
 from sellerdesk.llm.common import table
 
 
@@ -13,6 +13,17 @@ def op1_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def byte_bpe() -> packing.Tokenizers:
+    import public_tokenizers as public
+
+    path = public.path
+    return packing.Tokenizers(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public.PATTERN)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), 2048).drop("ids")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
@@ -45,6 +56,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_cleaning": op1_line_cleaning,
+    "op2_packing": op2_packing,
     "op4_simhash": op4_simhash,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
