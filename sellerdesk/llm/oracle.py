@@ -70,4 +70,24 @@ SELECT page_id, payload_bytes,
 FROM w
 """
 
-ORACLE_SQL = {"op7_warc": WARC, "op6_mixing": MIXING, "op10_topk": TOPK}
+SUBSTRING = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+p AS (SELECT r, w, unnest(range(len(w))) AS i FROM d),
+g AS (SELECT r, i, md5(array_to_string(w[i + 1 : i + 35], ' ')) AS h FROM p WHERE i + 35 <= len(w)),
+f AS (SELECT r, i, count(*) OVER (PARTITION BY h) > 1 AS repeated FROM g),
+c AS (
+  SELECT p.r, p.i, p.w[p.i + 1] AS word,
+         coalesce(bool_or(f.repeated) OVER (PARTITION BY p.r ORDER BY p.i
+           ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS removed
+  FROM p LEFT JOIN f USING (r, i)),
+k AS (SELECT r, count(*) FILTER (removed) AS n_removed,
+             string_agg(word, ' ' ORDER BY i) FILTER (NOT removed) AS kept FROM c GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+ORACLE_SQL = {"op5_substring": SUBSTRING, "op7_warc": WARC, "op6_mixing": MIXING, "op10_topk": TOPK}

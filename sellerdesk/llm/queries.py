@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sellerdesk.llm import mixing, packing, quality, sharding, simhash, topk, warc
+from sellerdesk.llm import mixing, packing, quality, sharding, simhash, substring, topk, warc
 from sellerdesk.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_digests(table(spark, sf_dir, "documents"), min_words=35)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("times")
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op1_line_cleaning": op1_line_cleaning,
     "op2_packing": op2_packing,
     "op4_simhash": op4_simhash,
+    "op5_substring": op5_substring,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
