@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sellerdesk.llm import mixing, packing, quality, sharding, simhash, substring, topk, warc
+from sellerdesk.llm import mixing, packing, quality, sharding, simhash, substring, topk, toxicity, warc
 from sellerdesk.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), 2048).drop("ids")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit_chain(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
@@ -61,6 +66,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_cleaning": op1_line_cleaning,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_substring": op5_substring,
     "op6_mixing": op6_mixing,
