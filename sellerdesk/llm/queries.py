@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sellerdesk.llm import mixing, packing, quality, sharding, simhash, substring, topk, toxicity, warc
+from sellerdesk.llm import (
+    language_model,
+    mixing,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    substring,
+    topk,
+    toxicity,
+    warc,
+)
 from sellerdesk.llm.common import table
 
 
@@ -59,6 +70,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"), order=2)
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -72,5 +87,6 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
+    "op9_language_model": op9_language_model,
     "op10_topk": op10_topk,
 }

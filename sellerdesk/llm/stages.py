@@ -1,14 +1,56 @@
-"""The stages of corpus_pipeline.py: (spark, docs, sf_dir) -> DataFrame."""
+"""The stages of corpus_pipeline.py: (spark, docs, sf_dir) -> DataFrame.
+
+All but the last return the columns of ``documents`` in their order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sellerdesk.llm import mixing, packing, simhash, substring, toxicity
+from sellerdesk.llm.common import table
+from sellerdesk.llm.queries import byte_bpe
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain, fitted on the labelled ones, does not reject."""
+    chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, chain)
+
 
-from sellerdesk.llm import mixing
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of every group (rows repeating that id stay with it)."""
+    groups = simhash.near_duplicates(docs, shingle=3, max_bits=2)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 35 words and more that occur elsewhere.
+
+    Texts that lose words are joined by single spaces and counted anew; a
+    document that loses all of them stays, with an empty text.
+    """
+    cut = substring.deduped_text(docs, min_words=35)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out as the mix of their sources wants."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("mixing", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences, with their token ids."""
+    return packing.pack(docs, byte_bpe(), 2048)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("substring dedup", drop_repeated_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack_sequences),
+]
