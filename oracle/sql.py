@@ -29,8 +29,11 @@ def div(a: str, b: str) -> str:
 
 
 def msum(x: str) -> str:
-    """Exact money sum (fixed point, 4 decimals), 0 over no values."""
-    return f"CAST(coalesce(sum(TRY_CAST({x} AS DECIMAL(38,4))), 0) AS DOUBLE)"
+    """Money sum without order effects, 0 over no values; NaN is skipped.
+
+    Fixed point of 9 decimals, converted back through text, which rounds once."""
+    value = f"CASE WHEN NOT isnan(CAST({x} AS DOUBLE)) THEN CAST(CAST({x} AS DOUBLE) AS DECIMAL(38,9)) END"
+    return f"CAST(CAST(coalesce(sum({value}), 0) AS VARCHAR) AS DOUBLE)"
 
 
 def on(a: str, b: str, keys: list[str]) -> str:
@@ -657,11 +660,17 @@ def _totals_ctes() -> str:
 TOTALS_CTE = _totals_ctes()
 
 
+def large_sum(x: str) -> str:
+    """As ``msum`` for terms of more than 2^53 billionths, which enter through text."""
+    return msum(x).replace(f"CAST(CAST({x} AS DOUBLE) AS DECIMAL(38,9))", f"CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,9))")
+
+
 def weighted(x: str, w: str, t: str) -> str:
     """sum(x * (w / t), na.rm = TRUE); Inf (non-zero term over a zero total) -> NULL."""
     return (
         f"CASE WHEN bool_or({x} IS NOT NULL AND {w} IS NOT NULL AND {w} <> 0 AND {x} <> 0 AND {t} = 0) "
-        f"THEN NULL ELSE coalesce(sum({x} * ({w} / NULLIF({t}, 0))), 0) END"
+        f"THEN NULL WHEN {large_sum(f'({x} * {w})')} = 0 THEN 0 "
+        f"ELSE {large_sum(f'({x} * {w})')} / NULLIF(max({t}), 0) END"
     )
 
 
@@ -921,37 +930,3 @@ ORACLE_SQL["bdm_extract_item"] = one_query(
 # Report precision: every double output column at 4 decimals, as the Spark
 # side does (``sellerdesk.functions.report``).
 # ---------------------------------------------------------------------------
-
-# The double-valued output column names of all queries.
-DOUBLE_COLUMNS = (
-    "approved", "approved_amount", "avg_burn_rate", "avg_commission", "avg_commission_rate",
-    "avg_cost_ratio", "avg_deli_time", "avg_discount_rate", "avg_refund_ratio",
-    "bdm_delivered_value", "bdm_total_value", "burn_rate", "burn_value",
-    "cathead_delivered_value", "cathead_total_value", "commission", "commission_rate",
-    "commission_value", "corporate_approved", "corporate_due", "corporate_paid",
-    "corporate_submitted", "cost", "cost_ratio", "count", "credit_performance",
-    "delivered_and_shipped_inv", "delivered_and_shipped_invoice", "delivered_and_shipped_quantity",
-    "delivered_and_shipped_seller_price", "delivered_and_shipped_value", "discount_rate",
-    "discount_value", "due", "due_amount", "ext_price", "kam_delivered_value", "kam_total_value",
-    "mc_delivered_value", "mc_total_value", "nagad_discount_value", "order_quantity", "paid",
-    "paid_amount", "picked_invoice", "picked_quantity", "picked_seller_price", "picked_value",
-    "processing_invoice", "processing_quantity", "processing_seller_price", "processing_value",
-    "qty_raw", "quantity", "refund_ratio", "refund_value", "refunded_invoice", "refunded_quantity",
-    "revenue", "shop_item_deli_time", "submitted", "submitted_amount", "total_invoice",
-    "total_market_value", "total_order_value", "total_quantity", "total_seller_price", "total_value",
-    "undelivered_invoice", "undelivered_quantity", "undelivered_seller_price", "undelivered_value",
-    "unit_mrp", "unit_order_price", "unit_seller_price",
-)
-REPORT_DIGITS = 4
-
-
-def report_precision(sql: str) -> str:
-    names = ", ".join(f"'{c}'" for c in ("__pad", *DOUBLE_COLUMNS))
-    return (
-        f"SELECT * EXCLUDE (__pad, __keep) FROM (SELECT round(COLUMNS(lambda c: c IN ({names})), "
-        f"{REPORT_DIGITS}), COLUMNS(lambda c: c NOT IN ({names})) "
-        f"FROM (SELECT *, CAST(0 AS DOUBLE) AS __pad, 0 AS __keep FROM ({sql}) q0) q1) q2"
-    )
-
-
-ORACLE_SQL = {k: report_precision(v) for k, v in ORACLE_SQL.items()}

@@ -7,33 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted spellings, month first (month-day-year stamps of
-# the order export) and day first (the 'last update' stamps).
-MDY_FORMATS: tuple[str, ...] = (
-    "M-d-yyyy",
-    "M/d/yyyy",
-    "M.d.yyyy",
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "MMddyyyy",
-)
-DMY_FORMATS: tuple[str, ...] = (
-    "d-M-yyyy",
-    "d/M/yyyy",
-    "d.M.yyyy",
-    "d MMMM yyyy",
-    "d MMM yyyy",
-    "ddMMyyyy",
-)
+# Orders of the parts, month first (month-day-year stamps of the order export)
+# and day first (the 'last update' stamps).  Any separators, or none beside a
+# month's name, and years of two or four digits are read.
+MDY_FORMATS: tuple[str, ...] = ("M d yyyy", "MMMM d yyyy", "MMM d yyyy", "MMddyyyy")
+DMY_FORMATS: tuple[str, ...] = ("d M yyyy", "d MMMM yyyy", "d MMM yyyy", "ddMMyyyy")
+# Two-digit years up to this one are of this century, later ones of the last.
+LAST_SHORT_YEAR = 68
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def spaced_date(c: Column | str) -> Column:
+    """Date text with single spaces between its parts and a four-digit year."""
+    s = F.trim(F.regexp_replace(_col(c), r"[^\p{L}\p{N}]+", " "))
+    s = F.regexp_replace(s, r"(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})", " ")
+    head = F.regexp_extract(s, r"^(.* |\d{4})\d{2}$", 1)
+    year = F.regexp_extract(s, r"(\d{2})$", 1)
+    short = s.rlike(r"^(.*\D |\D* ?\d{1,2} )?(\d{1,2}|\p{L}+) \d{2}$") | s.rlike(r"^\d{6}$")
+    century = F.when(F.try_to_number(year, F.lit("99")) <= LAST_SHORT_YEAR, "20").otherwise("19")
+    return F.when(short, F.concat(head, century, year)).otherwise(s)
+
+
 def parse_date(c: Column | str, formats: Sequence[str]) -> Column:
     """First format that parses wins; text no format accepts is null."""
-    s = F.trim(_col(c))
+    s = spaced_date(c)
     return F.coalesce(*[F.try_to_date(s, f) for f in formats])
 
 

@@ -33,10 +33,17 @@ def na_sum(c: Column | str) -> Column:
     return F.coalesce(F.sum(_col(c)), F.lit(0.0))
 
 
-# Money sums run in fixed point: 4 decimals (money arrives in cents) and 38
-# digits, so the sum is exact, independent of row order and partitioning,
-# and cannot overflow at any realistic scale.
-MONEY = "decimal(38,4)"
+# Money sums run in fixed point: 9 decimals and 38 digits, so a sum does not
+# depend on row order or partitioning; what does not fit raises.
+MONEY = "decimal(38,9)"
+# A value that counts several times: the product still has 38 digits.
+MONEY_ONCE, TIMES = "decimal(27,9)", "decimal(10,0)"
+
+
+def fixed(c: Column | str, kind: str = MONEY) -> Column:
+    """A double in fixed point; NaN is missing, what does not fit raises (ANSI)."""
+    v = _col(c).cast("double")
+    return F.when(~F.isnan(v), v).cast(kind)
 
 
 def money_sum(c: Column | str, times: Column | str | None = None) -> Column:
@@ -44,13 +51,13 @@ def money_sum(c: Column | str, times: Column | str | None = None) -> Column:
 
     ``times`` weights each row by a count of identical rows it stands for;
     in fixed point ``n * v`` equals ``v`` summed n times exactly, so rows can
-    be pre-aggregated before a join without changing the result.  NaN or
-    infinite inputs cannot be fixed-point and are skipped, as the
-    reference's ``na.rm`` skips NaN.
+    be pre-aggregated before a join without changing the result.  NaN is
+    skipped, as the reference's ``na.rm`` skips it; infinite values and
+    overflow raise.
     """
-    v = _col(c).try_cast(MONEY)
+    v = fixed(c)
     if times is not None:
-        v = v * _col(times)
+        v = fixed(c, MONEY_ONCE) * _col(times).cast(TIMES)
     return F.coalesce(F.sum(v), F.lit(0).cast(MONEY)).cast("double")
 
 
@@ -123,7 +130,7 @@ def weighted_share(x: Column, w: Column, den: Column) -> Column:
     """
     term = x * w
     live = F.count_if(term.isNotNull() & (w != F.lit(0.0)) & (x != F.lit(0.0)))
-    return F.when(live == 0, F.lit(0.0)).otherwise(F.try_divide(F.sum(term), den))
+    return F.when(live == 0, F.lit(0.0)).otherwise(F.try_divide(money_sum(term), den))
 
 
 def null_safe_join(

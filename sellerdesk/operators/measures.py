@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sellerdesk.functions.nulls import MONEY, capped, matches, money_sum, null_safe_join, ratio
+from sellerdesk.functions.nulls import MONEY, capped, fixed, matches, money_sum, null_safe_join, ratio
 from sellerdesk.operators.status import BASIC
 
 SHOP_ITEM = ["shop_name", "order_item"]
@@ -139,13 +139,12 @@ def item_cost(df: DataFrame, name: str = "cost") -> DataFrame:
     price and refund value over all report rows of the shop-item (copies from
     a non-unique catalog included, D8), written back onto each row.
 
-    A window over the shop-item keys: the report rows are already clustered
-    by those keys, so no extra exchange is planned and no join is needed.
+    A window over the shop-item keys instead of an aggregation and a join.
     """
     w = Window.partitionBy(*SHOP_ITEM)
 
     def part(c: str) -> Column:
-        exact = F.sum(F.col(c).try_cast(MONEY)).over(w)
+        exact = F.sum(fixed(c)).over(w)
         return F.coalesce(exact, F.lit(0).cast(MONEY)).cast("double")
 
     total = (

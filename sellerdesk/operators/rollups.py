@@ -96,10 +96,10 @@ def item_aggs() -> list[Column]:
         money_sum("delivered_and_shipped_seller_price").alias("delivered_and_shipped_seller_price"),
         money_sum("undelivered_seller_price").alias("undelivered_seller_price"),
         money_sum("cost").alias("cost"),
-        weighted_share(F.col("commission"), tov, F.sum(tov)).alias("avg_commission"),
-        weighted_share(F.col("cost_ratio"), tov, F.sum(tov)).alias("avg_cost_ratio"),
+        weighted_share(F.col("commission"), tov, money_sum(tov)).alias("avg_commission"),
+        weighted_share(F.col("cost_ratio"), tov, money_sum(tov)).alias("avg_cost_ratio"),
         weighted_share(
-            F.col("avg_deli_time"), tov, F.sum("delivered_and_shipped_value")
+            F.col("avg_deli_time"), tov, money_sum("delivered_and_shipped_value")
         ).alias("avg_deli_time"),
     ]
 

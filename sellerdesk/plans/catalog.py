@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from sellerdesk.functions.dates import month_of, parse_dmy, parse_mdy, week_of
 from sellerdesk.functions.nulls import null_safe_join
-from sellerdesk.functions.report import to_report_precision
 from sellerdesk.functions.text import (
     date_part_of_update,
     item_key,
@@ -41,7 +40,7 @@ def query(name: str, **options):
 
     def register(fn: Callable[[Reporting], DataFrame]) -> Callable[[Reporting], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return to_report_precision(fn(Reporting(inputs(spark, sf_dir), **options)))
+            return fn(Reporting(inputs(spark, sf_dir), **options))
 
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -379,7 +378,7 @@ def source_query(name: str):
     def register(fn: Callable[[Reporting, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             r = Reporting(inputs(spark, sf_dir))
-            return to_report_precision(fn(r, scratch_path(spark, name)))
+            return fn(r, scratch_path(spark, name))
 
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -414,7 +413,7 @@ def _scan_orders_incremental(r: Reporting, folder: str) -> DataFrame:
     moved = r.spark.read.option("header", True).option("multiLine", True)
     for drop in ("drop_1", "drop_2"):
         # Each drop arrives as its own files; the stream picks up new ones only.
-        landing._writer(
+        landing.csv_writer(
             moved.option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False)
             .csv(f"{folder}/staging/{drop}")
@@ -486,7 +485,7 @@ def _scan_bills(r: Reporting, folder: str) -> DataFrame:
 def _sink_report(r: Reporting, folder: str) -> DataFrame:
     """The basic item report written as CSV ('NA' for missing) and
     read back with its own schema."""
-    report = to_report_precision(r.item_report_basic)
+    report = r.item_report_basic
     sinks.write_report(report, folder)
     return files.scan_csv(r.spark, folder, report.schema, null_value=sinks.REPORT_NULL)
 
@@ -498,7 +497,6 @@ def _bdm_targets(r: Reporting) -> DataFrame:
 
 
 def _bdm_extract(r: Reporting, report: DataFrame, folder: str) -> DataFrame:
-    report = to_report_precision(report)
     sinks.write_bdm_extracts(report, _bdm_targets(r), folder)
     back = r.spark.read.schema(report.schema).parquet(folder)
     return back.select(*report.columns)

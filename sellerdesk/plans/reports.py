@@ -281,6 +281,3 @@ class Reporting:
         src = self.tagged_margin if "campaign_name" in keys else self.item_report_margin
         return campaigns.margin_report(src, keys)
 
-
-def reporting(inp: Inputs, week_rule: str = "yday_div7", shop_pattern: str | None = None) -> Reporting:
-    return Reporting(inp, week_rule, shop_pattern)

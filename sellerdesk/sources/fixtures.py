@@ -111,36 +111,13 @@ JOIN {shop} ON l_suppkey = s_suppkey
 
 DRIVER_TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem")
 
-# Fact tables and the key their rows are spread on when a scan yields too
-# few splits (see ``spread``).
-FACT_KEYS = {"lineitem": "l_orderkey", "documents": "doc_id"}
-
-
-_SPLITS: dict[str, int] = {}
-
-
-def spread(df: DataFrame, key: str, path: str) -> DataFrame:
-    """Hash-spread a scan that yields fewer splits than the session has cores.
-
-    A Parquet file is split by row group; a small file written as one row
-    group scans in one task, and every broadcast join and per-row function
-    after it then runs on one core.  On a cluster reading many files the
-    scan already has more splits than cores and this is a no-op.  The split
-    count is looked up once per path (it costs a scan planning).
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if path not in _SPLITS:
-        _SPLITS[path] = df.rdd.getNumPartitions()
-    if _SPLITS[path] >= cores:
-        return df
-    return df.repartition(cores, key)
-
 
 @dataclass
 class RawInputs:
     """Raw stand-in inputs for one scale-factor directory.
 
-    Properties are lazy DataFrames; nothing runs until an action.
+    Properties are lazy DataFrames, but for ``pairs`` of staged inputs, which is
+    written when first used.
     """
 
     spark: SparkSession
@@ -154,9 +131,7 @@ class RawInputs:
         cache = self.__dict__.setdefault("_tables", {})
         if name not in cache:
             path = f"{self.sf_dir.rstrip('/')}/{name}.parquet"
-            df = self.spark.read.parquet(path)
-            key = FACT_KEYS.get(name)
-            cache[name] = spread(df, key, path) if key else df
+            cache[name] = self.spark.read.parquet(path)
         return cache[name]
 
     def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
@@ -214,6 +189,3 @@ class RawInputs:
     def bills(self) -> DataFrame:
         return self._sql(BILLS_SQL, lineitem=self.table("lineitem"), shop=self.shop)
 
-
-def raw_inputs(spark: SparkSession, sf_dir: str, staged: bool = False) -> RawInputs:
-    return RawInputs(spark, sf_dir, staged)

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sellerdesk.functions import dates, nulls, text
@@ -129,3 +131,24 @@ def test_null_safe_join_matches_null_keys(spark):
     assert [(r.k, r.a, r.b) for r in inner] == [(None, 1, 10)]
     full = {(r.k, r.a, r.b) for r in nulls.null_safe_join(a, b, ["k"], "full").collect()}
     assert full == {(None, 1, 10), ("x", 2, None), ("y", None, 20)}
+
+
+def test_dates_in_many_spellings(spark):
+    from sellerdesk.functions.dates import parse_dmy, parse_mdy
+
+    mdy = ["07-02-21", "7/2/2021", "Jul 2 2021", "July 2, 2021", "07022021", "070221", "7.2.21", "Jul-02-21"]
+    dmy = ["02-07-21", "2/7/2021", "2-Jul-2021", "2 July, 2021", "02072021", "020721", "2.7.21", "2Jul21"]
+    df = spark.createDataFrame(list(zip(mdy, dmy)), "m string, d string")
+    rows = df.select(parse_mdy("m").alias("m"), parse_dmy("d").alias("d"), "m", "d").collect()
+    assert [str(r[0]) for r in rows] == ["2021-07-02"] * 8
+    assert [str(r[1]) for r in rows] == ["2021-07-02"] * 8
+    odd = spark.createDataFrame([("31-12-69",), ("13-13-21",), ("soon",), ("",), (None,)], "d string")
+    got = [r[0] and str(r[0]) for r in odd.select(parse_dmy("d")).collect()]
+    assert got == ["1969-12-31", None, None, None, None]
+
+
+def test_money_sum_keeps_small_fractions_and_raises_on_overflow(spark):
+    small = spark.createDataFrame([(0.00004,)] * 3 + [(float("nan"),), (None,)], "v double")
+    assert small.agg(nulls.money_sum("v")).first()[0] == 0.00012
+    with pytest.raises(Exception):
+        spark.createDataFrame([(1e35,), (5.0,)], "v double").agg(nulls.money_sum("v")).collect()

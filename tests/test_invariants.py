@@ -38,12 +38,11 @@ def test_cost_constant_per_shop_item(spark):
 
 
 def test_result_independent_of_partitioning(spark):
-    from sellerdesk.functions.report import to_report_precision
 
     def run(parts):
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))
         try:
-            df = to_report_precision(Reporting(inputs(spark, SF)).level_report("bdm"))
+            df = Reporting(inputs(spark, SF)).level_report("bdm")
             return sorted(map(tuple, df.collect()), key=str)
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "8")
