@@ -111,13 +111,14 @@ t_bills AS (
 SELECT cast(l_orderkey AS string) AS serial,
   CASE WHEN l_orderkey % 2 = 0 THEN upper(shop_name) ELSE shop_name END AS shop_name,
   CASE WHEN l_partkey % 11 = 0 THEN NULL
+       WHEN k = 0 THEN cast(r AS string)
        ELSE cast(k AS string) || ',' || lpad(cast(r AS string), 3, '0') END AS submitted,
-  cast(k AS string) || ',000' AS approved,
-  CASE WHEN l_linestatus = 'F' THEN cast(k AS string) || ',000' ELSE NULL END AS paid,
-  CASE WHEN l_linestatus = 'F' THEN '0' ELSE cast(k AS string) || ',000' END AS due
+  CASE WHEN k = 0 THEN '0' ELSE cast(k AS string) || ',000' END AS approved,
+  CASE WHEN l_linestatus <> 'F' THEN NULL WHEN k = 0 THEN '0' ELSE cast(k AS string) || ',000' END AS paid,
+  CASE WHEN l_linestatus = 'F' OR k = 0 THEN '0' ELSE cast(k AS string) || ',000' END AS due
 FROM (SELECT *, cast(floor(l_extendedprice / 1e3) AS bigint) AS k,
              cast(floor(l_extendedprice) AS bigint) % 1000 AS r
-      FROM lineitem WHERE l_linenumber = 1 AND l_extendedprice >= 1e3) x
+      FROM lineitem) x
 JOIN t_shop ON l_suppkey = s_suppkey)"""
 
 CLEAN_CTES = f"""
@@ -910,6 +911,7 @@ ORACLE_SQL["scan_tsv"] = one_query(
 )
 ORACLE_SQL["scan_union_by_name"] = ORACLE_SQL["scan_tsv"]
 ORACLE_SQL["scan_csv"] = one_query(select="SELECT * FROM t_override")
+ORACLE_SQL["scan_sales_prod"] = one_query(select="SELECT * FROM t_sales_prod")
 ORACLE_SQL["scan_seller_directory"] = one_query(select="SELECT * FROM t_commercial")
 ORACLE_SQL["scan_bills"] = one_query(
     select="SELECT serial, shop_name, CAST(NULL AS VARCHAR) AS payment_date, "
@@ -926,7 +928,15 @@ ORACLE_SQL["bdm_extract_item"] = one_query(
     select="SELECT * FROM item_report_basic WHERE bdm IN (SELECT n_name FROM nation)",
 )
 
-# ---------------------------------------------------------------------------
-# Report precision: every double output column at 4 decimals, as the Spark
-# side does (``sellerdesk.functions.report``).
-# ---------------------------------------------------------------------------
+# The extracts carry their target's name and the date of the update (today).
+for _extract in ("bdm_extract_invoice", "bdm_extract_item"):
+    ORACLE_SQL[_extract] = (
+        f"SELECT *, 'extract_' || bdm AS target, true AS updated_today FROM ({ORACLE_SQL[_extract]}) q"
+    )
+
+ORACLE_SQL["level_reports_sink"] = " UNION ALL BY NAME ".join(
+    f"SELECT '{_lvl}' AS level, * FROM ({ORACLE_SQL[f'{_lvl}_report']}) q" for _lvl in LEVELS
+)
+ORACLE_SQL["campaign_report_sink"] = ORACLE_SQL["campaign_report"]
+ORACLE_SQL["item_report_margin_from_files"] = ORACLE_SQL["item_report_margin"]
+ORACLE_SQL["shop_invoice_report_from_files"] = ORACLE_SQL["shop_invoice_report"]

@@ -133,6 +133,29 @@ def weighted_share(x: Column, w: Column, den: Column) -> Column:
     return F.when(live == 0, F.lit(0.0)).otherwise(F.try_divide(money_sum(term), den))
 
 
+# Stands for a missing shop or item inside a plan (keys never hold a NUL), so
+# that aggregations, windows and joins on the keys share one partitioning: a
+# null-safe join has to shuffle by its own form of the key.
+NO_KEY = "\0"
+KEYS = ("shop_name", "order_item")
+
+
+def with_keys(df: DataFrame) -> DataFrame:
+    """Missing shop and item keys as ``NO_KEY``; the columns are then not nullable."""
+    found = [k for k in KEYS if k in df.columns]
+    return df.withColumns({k: F.coalesce(F.col(k), F.lit(NO_KEY)) for k in found})
+
+
+def without_keys(df: DataFrame) -> DataFrame:
+    """``NO_KEY`` back to missing."""
+    found = [k for k in KEYS if k in df.columns]
+    return df.withColumns({k: F.nullif(F.col(k), F.lit(NO_KEY)) for k in found})
+
+
+def _never_null(df: DataFrame, keys: Sequence[str]) -> bool:
+    return not any(df.schema[k].nullable for k in keys)
+
+
 def null_safe_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:
@@ -140,8 +163,12 @@ def null_safe_join(
 
     Output has one column per key, like ``join(on=keys)``.  Spark rewrites
     the null-safe equality into a hashable key pair, so the join still
-    plans as a broadcast or sort-merge equi-join.
+    plans as a broadcast or sort-merge equi-join.  Where neither side's keys
+    can be null (``with_keys``) it is a plain equi-join, which needs no shuffle
+    on sides that are aggregated by the keys.
     """
+    if _never_null(left, keys) and _never_null(right, keys):
+        return left.join(right, list(keys), how)
     renamed = {k: f"__r_{k}" for k in keys}
     r = right.withColumnsRenamed(renamed)
     cond = [left[k].eqNullSafe(r[renamed[k]]) for k in keys]

@@ -155,6 +155,14 @@ def item_rollup_sets(item_report: DataFrame) -> DataFrame:
     return rollup_sets(item_report, item_aggs()).select("level", *ALL_LEVEL_KEYS, *ITEM_MEASURES)
 
 
+def level_reports(shop_report: DataFrame, item_report: DataFrame) -> DataFrame:
+    """All four management levels in one plan (column ``level``): each report is
+    read and aggregated once, and the two meet on level and keys (J20)."""
+    keys = ["level", *ALL_LEVEL_KEYS]
+    both = null_safe_join(invoice_rollup_sets(shop_report), item_rollup_sets(item_report), keys, "full")
+    return both.select(*keys, *LEVEL_REPORT_COLUMNS)
+
+
 def weighted_rates(item_report: DataFrame, level: str = "mc") -> DataFrame:
     """A13/A14 alone: value-weighted commission, cost ratio and delivery time."""
     keys = LEVELS[level]

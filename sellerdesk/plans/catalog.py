@@ -1,7 +1,8 @@
 """Named queries: ``name -> f(spark, sf_dir) -> DataFrame``.
 
 Each query reads the driver tables under ``sf_dir`` (through the stand-in
-views of ``sellerdesk.sources.fixtures``) and returns a lazy DataFrame.
+views of ``sellerdesk.sources.fixtures``) and returns a DataFrame.  Tables that
+a plan reads several times are written while it is built.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sellerdesk.functions.dates import month_of, parse_dmy, parse_mdy, week_of
-from sellerdesk.functions.nulls import null_safe_join
+from sellerdesk.functions.nulls import null_safe_join, without_keys
 from sellerdesk.functions.text import (
     date_part_of_update,
     item_key,
@@ -23,9 +25,10 @@ from sellerdesk.functions.text import (
     truncate_at_newline,
 )
 from sellerdesk.operators import campaigns, grains, measures, pricing, rollups, status
+from sellerdesk.plans.from_files import ORDER_KEY_TYPES, Folders, file_inputs
 from sellerdesk.plans.inputs import clean_sales, inputs
 from sellerdesk.plans.reports import ITEM_MARGIN_COLUMNS, SHOP_ITEM, Reporting
-from sellerdesk.session import scratch_path
+from sellerdesk.session import scratch_path, stage
 from sellerdesk.sources import files, landing, sinks
 from sellerdesk.streaming import ingest
 from sellerdesk.sources.fixtures import ORDER_KEY
@@ -35,12 +38,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str, **options):
-    """Register ``fn(Reporting) -> DataFrame`` under ``name``."""
+def query(name: str, staged: bool = True, **options):
+    """Register ``fn(Reporting) -> DataFrame`` under ``name``.
+
+    ``staged``: the plan reads the order lines (or the shop-part pairs) more than
+    once, so they are written once; ``stage_first``: likewise the invoice-first
+    lines.
+    """
 
     def register(fn: Callable[[Reporting], DataFrame]) -> Callable[[Reporting], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Reporting(inputs(spark, sf_dir), **options))
+            return without_keys(fn(Reporting(inputs(spark, sf_dir, staged), **options)))
 
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -49,13 +57,13 @@ def query(name: str, **options):
     return register
 
 
-@query("shop_invoice_status")
+@query("shop_invoice_status", staged=False, stage_first=False)
 def _shop_invoice_status(r: Reporting) -> DataFrame:
     """A2: invoice counts per shop, basic policy, with refund ratio."""
     return r.shop_invoice_status
 
 
-@query("shop_invoice_report")
+@query("shop_invoice_report", staged=False)
 def _shop_invoice_report(r: Reporting) -> DataFrame:
     return r.shop_invoice_report
 
@@ -168,44 +176,44 @@ def _parse_number(r: Reporting) -> DataFrame:
 
 
 # ---- filters -------------------------------------------------------------------
-@query("paid_lines")
+@query("paid_lines", staged=False)
 def _paid_lines(r: Reporting) -> DataFrame:
     """F1 + cleaning: typed, keyed paid order lines."""
     return r.inp.sales
 
 
-@query("catalog_margin_filter")
+@query("catalog_margin_filter", staged=False)
 def _catalog_margin_filter(r: Reporting) -> DataFrame:
     """catalog rows with positive prices and mrp above seller price."""
     return r.catalog_basic
 
 
-@query("shop_pattern_report", shop_pattern="T10|Priority")
+@query("shop_pattern_report", staged=False, shop_pattern="T10|Priority")
 def _shop_pattern_report(r: Reporting) -> DataFrame:
     """F8: shop invoice report with the directory limited to matching shops."""
     return r.shop_invoice_report
 
 
 # ---- grains --------------------------------------------------------------------
-@query("first_line_per_invoice")
+@query("first_line_per_invoice", staged=False, stage_first=False)
 def _first_line_per_invoice(r: Reporting) -> DataFrame:
     """W1."""
     return r.unq_sales
 
 
-@query("campaign_date")
+@query("campaign_date", staged=False, stage_first=False)
 def _campaign_date(r: Reporting) -> DataFrame:
     """W2."""
     return r.unq_shop
 
 
-@query("sales_with_campaign")
+@query("sales_with_campaign", staged=False)
 def _sales_with_campaign(r: Reporting) -> DataFrame:
     """J1."""
     return grains.sales_with_campaign(r.inp.sales, r.unq_shop)
 
 
-@query("e_price")
+@query("e_price", staged=False)
 def _e_price(r: Reporting) -> DataFrame:
     """W3."""
     return grains.e_price(r.inp.sales)
@@ -253,22 +261,22 @@ def _key_uniqueness_check(r: Reporting) -> DataFrame:
 
 
 # ---- measures ------------------------------------------------------------------
-@query("payment_rollup")
+@query("payment_rollup", staged=False)
 def _payment_rollup(r: Reporting) -> DataFrame:
     return r.payments
 
 
-@query("item_quantity_status_basic")
+@query("item_quantity_status_basic", staged=False)
 def _item_quantity_status_basic(r: Reporting) -> DataFrame:
     return status.quantity_status(r.inp.sales, SHOP_ITEM, "basic")
 
 
-@query("item_quantity_status_strict")
+@query("item_quantity_status_strict", staged=False)
 def _item_quantity_status_strict(r: Reporting) -> DataFrame:
     return r.item_quantity_strict
 
 
-@query("item_invoice_status")
+@query("item_invoice_status", staged=False, stage_first=False)
 def _item_invoice_status(r: Reporting) -> DataFrame:
     return r.item_invoice_status
 
@@ -323,7 +331,7 @@ def _hierarchy_totals(r: Reporting) -> DataFrame:
     return rollups.hierarchy_totals(r.item_report_basic)
 
 
-@query("invoice_rollup_sets")
+@query("invoice_rollup_sets", staged=False)
 def _invoice_rollup_sets(r: Reporting) -> DataFrame:
     return rollups.invoice_rollup_sets(r.shop_invoice_report)
 
@@ -351,16 +359,18 @@ def _campaign_tag(r: Reporting) -> DataFrame:
 
 @query("group_total")
 def _group_total(r: Reporting) -> DataFrame:
-    """Tagged rows with their campaign's total order value."""
-    return campaigns.group_total(
-        r.tagged_margin.select("campaign_name", *ITEM_MARGIN_COLUMNS), ["campaign_name"]
-    )
+    """Each campaign-tagged row with its campaign's total order value.
+
+    The report is written once, as the totals and the rows both read it."""
+    tagged = r.tagged_margin.select("campaign_name", *ITEM_MARGIN_COLUMNS)
+    return campaigns.group_total(stage(tagged, "tagged_margin"), ["campaign_name"])
 
 
 @query("campaign_report_shop_grain")
 def _campaign_report_shop_grain(r: Reporting) -> DataFrame:
-    """D5 variant: each shop's payments once per campaign."""
-    return campaigns.margin_report_shop_grain(r.tagged_margin, ["campaign_name"])
+    """D5 variant: each shop's payments once per campaign (two readers, as above)."""
+    tagged = r.tagged_margin.select("campaign_name", *ITEM_MARGIN_COLUMNS)
+    return campaigns.margin_report_shop_grain(stage(tagged, "tagged_margin"), ["campaign_name"])
 
 
 for _name in campaigns.MARGIN_GROUPINGS:
@@ -378,7 +388,7 @@ def source_query(name: str):
     def register(fn: Callable[[Reporting, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             r = Reporting(inputs(spark, sf_dir))
-            return fn(r, scratch_path(spark, name))
+            return without_keys(fn(r, scratch_path(spark, name)))
 
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -388,8 +398,6 @@ def source_query(name: str):
 
 
 ORDER_EXTRA = {c: c for c in ORDER_KEY if c != "order_date"}
-ORDER_KEY_TYPES = {"o_key": "bigint", "line_no": "int", "part_key": "bigint", "supp_key": "bigint",
-                   "qty_raw": "double", "ext_price": "double"}
 
 
 @source_query("scan_orders")
@@ -455,14 +463,41 @@ def _scan_union_by_name(r: Reporting, folder: str) -> DataFrame:
 def _scan_csv(r: Reporting, folder: str) -> DataFrame:
     """The price override file, header checked against the schema."""
     landing.land_override(r.inp.raw, folder)
-    df = files.scan_csv(r.spark, folder, files.string_schema(landing.OVERRIDE_HEADER))
-    out = ["shop_name", "order_item", "unit_order_price", "unit_seller_price", "unit_mrp"]
-    return df.select(
-        *[
-            (parse_number(f"`{h}`") if n.startswith("unit") else F.col(f"`{h}`")).alias(n)
-            for h, n in zip(landing.OVERRIDE_HEADER, out)
-        ]
+    return files.scan_override(r.spark, folder)
+
+
+@source_query("scan_sales_prod")
+def _scan_sales_prod(r: Reporting, folder: str) -> DataFrame:
+    """Price exports whose 25th header is blank."""
+    return files.scan_sales_prod(r.spark, landing.land_sales_prod(r.inp.raw, folder))
+
+
+def _from_files(r: Reporting, folder: str) -> Reporting:
+    """Land every source as its exports and report from the files alone."""
+    raw = r.inp.raw
+    trackers, bills = landing.land_bills(raw, f"{folder}/bills")
+    folders = Folders(
+        orders=landing.land_orders(raw, f"{folder}/orders"),
+        catalog=landing.land_catalog(raw, f"{folder}/catalog"),
+        price_orders=landing.land_sales_prod(raw, f"{folder}/price_orders"),
+        override=landing.land_override(raw, f"{folder}/override"),
+        directory=landing.land_directory(raw, f"{folder}/directory"),
+        trackers=trackers,
+        bills=bills,
     )
+    return Reporting(file_inputs(r.spark, folders))
+
+
+@source_query("item_report_margin_from_files")
+def _item_report_margin_from_files(r: Reporting, folder: str) -> DataFrame:
+    """The margin report from scanned exports; equal to the table-fed one."""
+    return _from_files(r, folder).item_report_margin
+
+
+@source_query("shop_invoice_report_from_files")
+def _shop_invoice_report_from_files(r: Reporting, folder: str) -> DataFrame:
+    """The shop report from scanned exports; equal to the table-fed one."""
+    return _from_files(r, folder).shop_invoice_report
 
 
 @source_query("scan_seller_directory")
@@ -497,9 +532,14 @@ def _bdm_targets(r: Reporting) -> DataFrame:
 
 
 def _bdm_extract(r: Reporting, report: DataFrame, folder: str) -> DataFrame:
+    """The extracts read back: rows, the target that names their folder, and whether
+    they carry today's update date (P21)."""
     sinks.write_bdm_extracts(report, _bdm_targets(r), folder)
-    back = r.spark.read.schema(report.schema).parquet(folder)
-    return back.select(*report.columns)
+    added = [T.StructField("update_date", T.DateType()), T.StructField("target", T.StringType())]
+    schema = T.StructType([*report.schema.fields, *added])
+    back = r.spark.read.schema(schema).parquet(folder)
+    updated = (F.col("update_date") == F.current_date()).alias("updated_today")
+    return back.select(*report.columns, "target", updated)
 
 
 @source_query("bdm_extract_invoice")
@@ -514,4 +554,21 @@ def _bdm_extract_item(r: Reporting, folder: str) -> DataFrame:
     return _bdm_extract(r, r.item_report_basic, folder)
 
 
+@source_query("level_reports_sink")
+def _level_reports_sink(r: Reporting, folder: str) -> DataFrame:
+    """The reports of all four levels, computed in one plan, written in a folder
+    per level and read back."""
+    report = r.level_reports
+    sinks.write_partitioned(report, "level", folder)
+    return r.spark.read.schema(report.schema).parquet(folder).select(*report.columns)
+
+
+@source_query("campaign_report_sink")
+def _campaign_report_sink(r: Reporting, folder: str) -> DataFrame:
+    """The campaign report written as CSV and read back."""
+    report = r.margin_grouping("campaign_report")
+    sinks.write_report(report, folder)
+    return files.scan_csv(r.spark, folder, report.schema, null_value=sinks.REPORT_NULL)
+
+
 __all__ = ["QUERIES", "SHOP_ITEM"]

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sellerdesk.functions.dates import month_of
+from sellerdesk.functions.nulls import with_keys
 from sellerdesk.functions.text import item_key, normalize_key, parse_amount, parse_number
 from sellerdesk.session import stage
 from sellerdesk.sources.fixtures import ORDER_KEY, RawInputs
@@ -120,10 +121,14 @@ def clean_bills(raw: DataFrame) -> DataFrame:
 class Inputs:
     """Cleaned inputs; DataFrames built once per object.
 
+    Shop and item keys are never null here (``with_keys``); reports turn
+    ``NO_KEY`` back into missing at their end.
+
     With ``staged`` (the default) the cleaned paid order lines, the one
-    line-grain table every report reads several times, are written once to
+    line-grain table that item reports read several times, are written once to
     the shared folder (``sellerdesk.session.stage``) instead of being
-    re-derived in each branch of a plan.
+    re-derived in each branch of a plan.  Plans that read the lines once are
+    built without.
     """
 
     raw: RawInputs
@@ -140,27 +145,29 @@ class Inputs:
     @cached_property
     def sales(self) -> DataFrame:
         lines = paid_lines(self.all_sales)
-        return stage(lines, "paid_lines") if self.staged else lines
+        if self.staged:
+            lines = stage(lines.drop("payment_status", "month"), "paid_lines")
+        return with_keys(lines)
 
     @cached_property
     def commercial(self) -> DataFrame:
-        return clean_commercial(self.raw.commercial)
+        return with_keys(clean_commercial(self.raw.commercial))
 
     @cached_property
     def catalog(self) -> DataFrame:
-        return clean_catalog(self.raw.product)
+        return with_keys(clean_catalog(self.raw.product))
 
     @cached_property
     def sales_prod(self) -> DataFrame:
-        return clean_sales_prod(self.raw.sales_prod)
+        return with_keys(clean_sales_prod(self.raw.sales_prod))
 
     @cached_property
     def override(self) -> DataFrame:
-        return clean_override(self.raw.override)
+        return with_keys(clean_override(self.raw.override))
 
     @cached_property
     def bills(self) -> DataFrame:
-        return clean_bills(self.raw.bills)
+        return with_keys(clean_bills(self.raw.bills))
 
 
 def inputs(spark: SparkSession, sf_dir: str, staged: bool = True) -> Inputs:

@@ -15,7 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sellerdesk.functions.dates import month_of, week_of
-from sellerdesk.functions.nulls import matches, null_safe_join, ratio
+from sellerdesk.functions.nulls import (
+    NO_KEY,
+    matches,
+    null_safe_join,
+    ratio,
+    with_keys,
+    without_keys,
+)
 from sellerdesk.operators import campaigns, grains, measures, pricing, rollups, status
 from sellerdesk.plans.inputs import Inputs
 from sellerdesk.session import stage
@@ -125,6 +132,8 @@ class Reporting:
     # Optional case-insensitive pattern the directory's shop names must
     # match (the commented-out shop filter of the reference, F8).
     shop_pattern: str | None = None
+    # Whether the invoice-first lines have several readers in the plan.
+    stage_first: bool = True
 
     @property
     def spark(self) -> SparkSession:
@@ -140,7 +149,7 @@ class Reporting:
     @cached_property
     def unq_sales(self) -> DataFrame:
         first = grains.first_line_per_invoice(self.inp.sales)
-        return stage(first, "invoice_first_lines") if self.inp.staged else first
+        return with_keys(stage(first, "invoice_first_lines")) if self.stage_first else first
 
     @cached_property
     def unq_shop(self) -> DataFrame:
@@ -208,7 +217,7 @@ class Reporting:
         j = null_safe_join(j, self.commercial, SHOP, "left")
         j = null_safe_join(j, self.payments, SHOP, "left")
         j = j.withColumn("month", month_of("campaign_date"))
-        return j.where(F.col("shop_name").isNotNull()).select(*SHOP_INVOICE_COLUMNS)
+        return without_keys(j.where(F.col("shop_name") != NO_KEY).select(*SHOP_INVOICE_COLUMNS))
 
     # ---- basic shop-item report ----------------------------
     @cached_property
@@ -216,20 +225,22 @@ class Reporting:
         q = self.quantities("basic")
         # Every shop of unq_shop has lines, so 'unq_shop full-join status'
         # is 'status left-join unq_shop'.
-        j = null_safe_join(q, self.unq_shop, SHOP, "left")
-        j = null_safe_join(j, self.avg_delivery_time, SHOP_ITEM, "left")
+        # Shop-item tables first: they share the aggregation's partitioning, as
+        # does the cost window; then the shop-grain tables.
+        j = null_safe_join(q, self.avg_delivery_time, SHOP_ITEM, "left")
         j = null_safe_join(j, grains.e_price(self.inp.sales), SHOP_ITEM, "left")
         j = null_safe_join(j, self.catalog_basic.drop("part_key"), SHOP_ITEM, "left")
-        j = null_safe_join(j, self.commercial, SHOP, "left")
         j = measures.item_values(j, margin=False)
         j = measures.item_cost(j)
+        j = null_safe_join(j, self.unq_shop, SHOP, "left")
+        j = null_safe_join(j, self.commercial, SHOP, "left")
         j = j.withColumns(
             {
                 "month": month_of("campaign_date"),
                 "cost_ratio": ratio("cost", "total_order_value"),
             }
         )
-        return j.select(*ITEM_BASIC_COLUMNS)
+        return without_keys(j.select(*ITEM_BASIC_COLUMNS))
 
     # ---- margin shop-item report ---------------------------
     @cached_property
@@ -242,17 +253,17 @@ class Reporting:
 
     @cached_property
     def item_report_margin(self) -> DataFrame:
-        # Shop-item tables first (they share the shop-item partitioning),
-        # then the shop-grain tables (small; broadcast when AQE sees that).
+        # Shop-item tables first (they share the shop-item partitioning, as does
+        # the cost window), then the shop-grain tables.
         j = null_safe_join(self.item_quantity_strict, self.price_table, SHOP_ITEM, "inner")
         j = null_safe_join(j, self.item_invoice_status, SHOP_ITEM, "inner")
         j = null_safe_join(j, self.delivery_days_for("strict"), SHOP_ITEM, "left")
         j = null_safe_join(j, self.rebate, SHOP_ITEM, "left")
+        j = measures.item_values(j, margin=True)
+        j = measures.item_cost(j)
         shops = null_safe_join(self.unq_shop, self.payments, SHOP, "left")
         j = null_safe_join(j, shops, SHOP, "inner")
         j = null_safe_join(j, self.commercial, SHOP, "left")
-        j = measures.item_values(j, margin=True)
-        j = measures.item_cost(j)
         j = j.withColumns(
             {
                 "month": month_of("campaign_date"),
@@ -261,16 +272,20 @@ class Reporting:
         )
         j = measures.margin_rates(j)
         j = j.where(
-            F.col("shop_name").isNotNull()
+            (F.col("shop_name") != NO_KEY)
             & F.col("total_quantity").isNotNull()
             & F.col("total_invoice").isNotNull()
         )
-        return j.select(*ITEM_MARGIN_COLUMNS)
+        return without_keys(j.select(*ITEM_MARGIN_COLUMNS))
 
     # ---- management levels ---------------------------------
     def level_report(self, level: str) -> DataFrame:
         return rollups.level_report(self.shop_invoice_report, self.item_report_basic, level)
 
+    @cached_property
+    def level_reports(self) -> DataFrame:
+        return rollups.level_reports(self.shop_invoice_report, self.item_report_basic)
+
     # ---- campaign comparison -------------------------------
     @cached_property
     def tagged_margin(self) -> DataFrame:

@@ -99,13 +99,14 @@ BILLS_SQL = """
 SELECT cast(l_orderkey AS string) AS serial,
   CASE WHEN l_orderkey % 2 = 0 THEN upper(shop_name) ELSE shop_name END AS shop_name,
   CASE WHEN l_partkey % 11 = 0 THEN NULL
+       WHEN k = 0 THEN cast(r AS string)
        ELSE cast(k AS string) || ',' || lpad(cast(r AS string), 3, '0') END AS submitted,
-  cast(k AS string) || ',000' AS approved,
-  CASE WHEN l_linestatus = 'F' THEN cast(k AS string) || ',000' ELSE NULL END AS paid,
-  CASE WHEN l_linestatus = 'F' THEN '0' ELSE cast(k AS string) || ',000' END AS due
+  CASE WHEN k = 0 THEN '0' ELSE cast(k AS string) || ',000' END AS approved,
+  CASE WHEN l_linestatus <> 'F' THEN NULL WHEN k = 0 THEN '0' ELSE cast(k AS string) || ',000' END AS paid,
+  CASE WHEN l_linestatus = 'F' OR k = 0 THEN '0' ELSE cast(k AS string) || ',000' END AS due
 FROM (SELECT *, cast(floor(l_extendedprice / 1e3) AS bigint) AS k,
              cast(floor(l_extendedprice) AS bigint) % 1000 AS r
-      FROM {lineitem} WHERE l_linenumber = 1 AND l_extendedprice >= 1e3) x
+      FROM {lineitem}) x
 JOIN {shop} ON l_suppkey = s_suppkey
 """
 

@@ -30,23 +30,30 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
     return path
 
 
+def write_partitioned(df: DataFrame, column: str, path: str) -> str:
+    """One folder per value of ``column``, Parquet; a hot value has several writers."""
+    df.hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(path)
+    return path
+
+
 def write_bdm_extracts(
     report: DataFrame, targets: DataFrame, path: str, max_records_per_file: int = 1_000_000
 ) -> str:
-    """One extract folder per BDM named in ``targets`` (column ``bdm``).
+    """One extract folder per ``target`` of ``targets(bdm, target)``, in it the rows
+    of the target's BDM and the date of the update.
 
-    Rows without a BDM never match a target (N14).  The target list is a
-    semi-join, not a driver loop.  ``rebalance`` on the BDM lets AQE split a
-    BDM that holds a large share of the rows over several writers, so no
-    single task writes a hot manager's whole extract.
+    Rows without a BDM never match a target (N14).  The target list is a join,
+    not a driver loop.  ``rebalance`` on the target lets AQE split a BDM that
+    holds a large share of the rows over several writers, so no single task
+    writes a hot manager's whole extract.
     """
-    rows = report.join(targets.select("bdm").distinct(), "bdm", "left_semi")
+    rows = report.join(targets.select("bdm", "target").distinct(), "bdm")
     rows = rows.withColumn("update_date", F.current_date())
     (
-        rows.hint("rebalance", "bdm")
+        rows.hint("rebalance", "target")
         .write.mode("overwrite")
         .option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy("bdm")
+        .partitionBy("target")
         .parquet(path)
     )
     return path
