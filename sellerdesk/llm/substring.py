@@ -22,10 +22,10 @@ match:
    that occurs at least twice.  Matches of min_words and more are the spans.
 5. Spans go back to their documents, whose words are then removed.
 
-An anchor with more than ``CROWDED`` distinct contexts (a common line in texts
-that differ around it) makes no shard: its contexts are put through steps 1 to 3
-again with another hash, which mostly picks anchors outside the common line,
-where nothing repeats.  What is crowded after ``ROUNDS`` is dealt out by whole
+An anchor that occurs more than ``CROWDED`` times (in copies, or in a common line
+of texts that differ around it) makes no shard: its folded contexts are put through
+steps 1 to 3 again with another hash, which mostly picks anchors outside the common
+line, where nothing repeats; copies have become one by then.  What is crowded after ``ROUNDS`` is dealt out by whole
 windows, equal ones folded, so no shard holds an unbounded group.
 """
 
@@ -44,7 +44,7 @@ from sellerdesk.llm.common import bounded_batches, drop_used_shuffles
 from sellerdesk.session import stage
 
 GRAM = 8  # words whose hash can be an anchor; any number below min_words is exact
-CROWDED = 512  # distinct contexts of an anchor, above which it makes no shard
+CROWDED = 512  # occurrences of an anchor (texts folded), above which it makes no shard
 ROUNDS = 3
 SHARD_WORDS = 40_000  # words of an automaton, but for one whole anchor
 PLACE_BITS = 26  # of a gram's place while minima are taken; longer texts go in chunks
@@ -179,9 +179,15 @@ def shard_spans(contexts: list[tuple[list[bytes], int]], min_words: int) -> list
 
 
 ANCHOR = "anchor long, key binary, first int, windows int, times long"
-CONTEXT = "anchor long, ctx binary, key binary, first int, words binary, times long"
+CONTEXT = "anchor long, ctx binary, key binary, first int, words binary, times long, crowded boolean"
 SPAN = "ctx binary, start int, stop int"
-KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+KINDS = {
+    "long": pa.int64(),
+    "int": pa.int32(),
+    "binary": pa.binary(),
+    "string": pa.string(),
+    "boolean": pa.bool_(),
+}
 
 
 def _record(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -230,7 +236,8 @@ def _cut(texts: DataFrame, min_words: int) -> DataFrame:
                 for r in runs:
                     first = r["first"]
                     ctx = b" ".join(words[first : first + r["windows"] + min_words - 1])
-                    rows.append((r["anchor"], xxh3_128_digest(ctx), key, first, ctx, times))
+                    digest = xxh3_128_digest(ctx)
+                    rows.append((r["anchor"], digest, key, first, ctx, times, r["crowded"]))
                     if len(rows) >= 8192:
                         yield _record(CONTEXT, rows)
                         rows = []
@@ -317,22 +324,21 @@ def _by_windows(crowded: DataFrame, min_words: int) -> DataFrame:
 def _spans(texts: DataFrame, min_words: int, seed: int = 0) -> DataFrame:
     """Repeated spans (key, start, stop) of ``texts(key, text, times)``."""
     rows = stage(_anchor_rows(texts, min_words, seed), "anchors")
-    twice = rows.groupBy(F.col("anchor").alias("a")).agg(F.sum("times").alias("n"))
-    twice = twice.where(F.col("n") > 1).select("a")
+    twice = rows.groupBy(F.col("anchor").alias("a")).agg(
+        F.sum("times").alias("n"), (F.count("*") > CROWDED).alias("crowded")
+    )
+    twice = twice.where(F.col("n") > 1).drop("n")
     runs = (
         rows.join(twice, F.col("anchor") == F.col("a"))
         .groupBy(F.col("key").alias("k"))
-        .agg(F.collect_set(F.struct("anchor", "first", "windows")).alias("runs"))
+        .agg(F.collect_set(F.struct("anchor", "first", "windows", "crowded")).alias("runs"))
     )
     contexts = stage(_cut(texts.join(runs, F.col("key") == F.col("k")), min_words), "contexts")
-    distinct = contexts.select(F.col("anchor").alias("a"), "ctx").distinct()
-    crowded = distinct.groupBy("a").count().where(F.col("count") > CROWDED).select("a")
-    crowded = stage(crowded, "crowded")
-    at_crowd = F.col("anchor") == F.col("a")
-    normal = _fold(contexts.join(crowded, at_crowd, "left_anti"))
+    normal = _fold(contexts.where(~F.col("crowded")))
     spans = _match(normal.withColumnRenamed("anchor", "shard"), min_words)
-    if not crowded.isEmpty():
-        hard = _fold(contexts.join(crowded, at_crowd, "left_semi"))
+    crowd = contexts.where("crowded")
+    if not crowd.isEmpty():
+        hard = _fold(crowd)
         if seed + 1 < ROUNDS:
             again = hard.select(F.col("ctx").alias("key"), F.col("words").alias("text"), "times")
             again = _spans(stage(again, "crowd"), min_words, seed + 1)
