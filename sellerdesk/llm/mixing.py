@@ -176,7 +176,11 @@ def mixed_documents(docs: DataFrame, max_epochs: int = 3, seed: int = SEED) -> D
     """``docs`` with every document repeated as often as the mix takes it."""
     rows = stage(narrow(docs, seed), "mix-rows")
     plan = mixing_plan(rows, max_epochs)
-    keyed = docs.withColumn("draw", draw(seed, F.col("doc_id"), F.col("text")))
+    keyed = docs.select(  # the row apart, as its columns may have any names
+        F.struct(*docs.columns).alias("row"),
+        "source",
+        draw(seed, F.col("doc_id"), F.col("text")).alias("draw"),
+    )
     taken = take_counts(keyed, plan).where(F.col("times") > 0)
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
-    return taken.withColumn("_copy", copies).select(*docs.columns)
+    return taken.withColumn("copy", copies).select("row.*")

@@ -374,7 +374,8 @@ def with_spans(docs: DataFrame, min_words: int = 35) -> DataFrame:
     """``docs`` plus ``_spans``: the repeated spans (start, stop) of each text, or null.
 
     The key of a row is its doc_id and a hash of its text: rows equal in both
-    have equal spans, and each counts as an occurrence.
+    have equal spans, and each counts as an occurrence.  Other columns of
+    ``docs`` may have any names but _key, _k and _spans.
     """
     if min_words <= GRAM:
         raise ValueError(f"a window needs more than {GRAM} words")

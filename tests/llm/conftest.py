@@ -16,8 +16,8 @@ DOCS = T.StructType(
         # names that operators use for their own columns
         T.StructField("size", T.StringType()),
         T.StructField("key", T.StringType()),
-        T.StructField("shard", T.StringType()),
-        T.StructField("words", T.StringType()),
+        T.StructField("draw", T.StringType()),
+        T.StructField("target", T.StringType()),
     ]
 )
 
