@@ -129,13 +129,16 @@ def mixing_plan(rows: DataFrame, max_epochs: int = 3) -> DataFrame:
         )
         .select(F.col("_s").alias("_cs"), F.coalesce("_cut", "_under").alias("_c"))
     )
-    return plan.join(cuts, F.col("source").eqNullSafe(F.col("_cs")), "left").select(
+    found = plan.join(cuts, F.col("source").eqNullSafe(F.col("_cs")), "left").select(
         "source",
         "source_size",
         "target",
         F.col("whole").cast("long").alias("whole"),
         F.coalesce(F.col("_c"), F.lit(-1)).alias("cut"),
     )
+    # written: its size is then known, so documents meet it by a broadcast if it is
+    # small, else by a join whose hot sources AQE can split
+    return stage(found, "mix-plan")
 
 
 def take_counts(rows: DataFrame, plan: DataFrame) -> DataFrame:

@@ -327,7 +327,9 @@ def _spans(texts: DataFrame, min_words: int, seed: int = 0) -> DataFrame:
     twice = rows.groupBy(F.col("anchor").alias("a")).agg(
         F.sum("times").alias("n"), (F.count("*") > CROWDED).alias("crowded")
     )
-    twice = twice.where(F.col("n") > 1).drop("n")
+    # written, as AQE splits a hot join key only where both sides come from a shuffle
+    # of their own, not from an aggregation by that key
+    twice = stage(twice.where(F.col("n") > 1).drop("n"), "repeated")
     runs = (
         rows.join(twice, F.col("anchor") == F.col("a"))
         .groupBy(F.col("key").alias("k"))
@@ -349,6 +351,7 @@ def _spans(texts: DataFrame, min_words: int, seed: int = 0) -> DataFrame:
     spans = spans.groupBy(F.col("ctx").alias("c")).agg(
         F.collect_set(F.struct("start", "stop")).alias("found")  # of one short context
     )
+    spans = stage(spans, "context-spans")  # as above
     placed = contexts.select("key", "first", "ctx").join(spans, F.col("ctx") == F.col("c"))
     placed = placed.select("key", "first", F.explode("found").alias("s"))
     return stage(

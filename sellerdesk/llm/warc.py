@@ -152,7 +152,7 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     Equal payloads of at least ``min_bytes`` are compared by SHA-1 and length.
     The winner of a group is found by a maximum (partial, so a hot payload
-    costs a row per task); the join back is one AQE can split.
+    costs a row per task) and written, so the join back is one AQE can split.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(
@@ -165,6 +165,7 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     winners = rows.groupBy(F.col("sha").alias("w_sha"), F.col("size").alias("w_size")).agg(
         F.max("page_id").alias("winner")
     )
+    winners = stage(winners, "winners")
     joined = rows.join(winners, (F.col("sha") == F.col("w_sha")) & (F.col("size") == F.col("w_size")))
     revisit = (F.col("size") >= min_bytes) & ~F.col("winner").eqNullSafe(F.col("page_id"))
     return joined.select(
