@@ -31,8 +31,9 @@ def div(a: str, b: str) -> str:
 def msum(x: str) -> str:
     """Money sum without order effects, 0 over no values; NaN is skipped.
 
-    Fixed point of 9 decimals, converted back through text, which rounds once."""
-    value = f"CASE WHEN NOT isnan(CAST({x} AS DOUBLE)) THEN CAST(CAST({x} AS DOUBLE) AS DECIMAL(38,9)) END"
+    Fixed point of 9 decimals, entered and left through text: both conversions
+    then round the written number once, whatever its size."""
+    value = f"CASE WHEN NOT isnan(CAST({x} AS DOUBLE)) THEN CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,9)) END"
     return f"CAST(CAST(coalesce(sum({value}), 0) AS VARCHAR) AS DOUBLE)"
 
 
@@ -661,17 +662,12 @@ def _totals_ctes() -> str:
 TOTALS_CTE = _totals_ctes()
 
 
-def large_sum(x: str) -> str:
-    """As ``msum`` for terms of more than 2^53 billionths, which enter through text."""
-    return msum(x).replace(f"CAST(CAST({x} AS DOUBLE) AS DECIMAL(38,9))", f"CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,9))")
-
-
 def weighted(x: str, w: str, t: str) -> str:
     """sum(x * (w / t), na.rm = TRUE); Inf (non-zero term over a zero total) -> NULL."""
     return (
         f"CASE WHEN bool_or({x} IS NOT NULL AND {w} IS NOT NULL AND {w} <> 0 AND {x} <> 0 AND {t} = 0) "
-        f"THEN NULL WHEN {large_sum(f'({x} * {w})')} = 0 THEN 0 "
-        f"ELSE {large_sum(f'({x} * {w})')} / NULLIF(max({t}), 0) END"
+        f"THEN NULL WHEN {msum(f'({x} * {w})')} = 0 THEN 0 "
+        f"ELSE {msum(f'({x} * {w})')} / NULLIF(max({t}), 0) END"
     )
 
 
