@@ -71,7 +71,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score_documents(table(spark, sf_dir, "documents"), order=2)
+    return language_model.score_documents(table(spark, sf_dir, "documents"), order=3)
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
