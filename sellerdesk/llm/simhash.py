@@ -50,18 +50,21 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(first)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) of every row, and its ``carried`` longs; fp is the fingerprint as a signed long."""
+    names = ["doc_id", "fp", *carried]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
             fp = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, *batch.columns[2:]], names=names)
 
     bounded_batches(docs.sparkSession)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary"))
-    return narrow.mapInArrow(compute, "doc_id long, fp long")
+    narrow = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary"), *carried
+    )
+    return narrow.mapInArrow(compute, ", ".join(f"{n} long" for n in names))
 
 
 def _segment(fp: Column, seg: Column) -> Column:
@@ -150,6 +153,15 @@ def linked_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     ).select("u", "v")
 
 
+def _rooted(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """``distinct(fp, least)`` plus ``root``, one fingerprint that stands for the component."""
+    links = stars(linked_pairs(distinct.select("fp"), max_bits))
+    member = links.select(F.col("v").alias("m"), F.col("u").alias("root"))
+    return distinct.join(member, F.col("fp") == F.col("m"), "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``.
 
@@ -162,11 +174,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     fps = stage(fingerprints(docs, shingle), "simhash")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     distinct = stage(distinct, "simhash-distinct")
-    links = stars(linked_pairs(distinct.select("fp"), max_bits))
-    member = links.select(F.col("v").alias("m"), F.col("u").alias("root"))
-    rooted = distinct.join(member, F.col("fp") == F.col("m"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(distinct, max_bits)
     # only roots that have members need the smallest id over several fingerprints
     least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, F.col("root") == F.col("r")).select(
@@ -177,3 +185,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def text_hash() -> Column:
+    """Hash of the text; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+
+
+def survivors(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """doc_id and text_hash of one row per component of near-duplicates.
+
+    The row of the smallest doc_id, null ids last, then of the smallest hash of
+    its text.  Components are those of the fingerprints, whatever ids they
+    share; rows equal in both columns are in the same component.
+    """
+    narrow = docs.select("doc_id", "text", text_hash().alias("text_hash"))
+    fps = stage(fingerprints(narrow, shingle, ("text_hash",)), "simhash")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    distinct = stage(fps.groupBy("fp").agg(F.min(row).alias("least")), "simhash-distinct")
+    least = _rooted(distinct, max_bits).groupBy("root").agg(F.min("least").alias("least"))
+    return least.select("least.doc_id", "least.text_hash")

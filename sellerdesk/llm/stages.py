@@ -5,12 +5,13 @@ All but the last return the columns of ``documents`` in their order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sellerdesk.llm import mixing, packing, simhash, substring, toxicity
-from sellerdesk.llm.common import table
+from sellerdesk.llm.common import row_of, table
 from sellerdesk.llm.queries import byte_bpe
+from sellerdesk.session import stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +21,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group (rows repeating that id stay with it)."""
-    groups = simhash.near_duplicates(docs, shingle=3, max_bits=2)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of every group: of the smallest id (null ids last), then of the smallest text hash.
+
+    Among rows equal in id and text, the least by the columns that have an order.
+    """
+    first = stage(simhash.survivors(docs, shingle=3, max_bits=2), "survivors")
+    first = first.select(
+        F.coalesce("doc_id", F.lit(-1)).alias("kept_id"), F.col("text_hash").alias("kept_hash")
+    )
+    rows = docs.select(  # the row apart, as its columns may have any names
+        row_of(docs).alias("row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"),
+        simhash.text_hash().alias("hash"),
+    )
+    kept = rows.join(
+        first, (F.col("id") == F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi"
+    )
+    order = [F.col("row.doc_id").asc_nulls_last()]
+    for f in docs.schema:
+        if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant", "interval")):
+            order.append(F.col("row").getField(f.name))
+    place = F.row_number().over(Window.partitionBy("id", "hash").orderBy(*order))
+    return kept.withColumn("place", place).where("place = 1").select("row.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
