@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from sellerdesk.llm.common import bounded_batches, drop_used_shuffles
+from sellerdesk.llm.common import bounded_batches, drop_used_shuffles, row_of
 from sellerdesk.session import stage
 
 GRAM = 8  # words whose hash can be an anchor; any number below min_words is exact
@@ -374,11 +374,12 @@ def kept_words(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
 
 
 def with_spans(docs: DataFrame, min_words: int = 35) -> DataFrame:
-    """``docs`` plus ``_spans``: the repeated spans (start, stop) of each text, or null.
+    """``row`` (a row of ``docs`` as a struct) and ``spans``: the repeated spans
+    (start, stop) of its text, or null.
 
     The key of a row is its doc_id and a hash of its text: rows equal in both
     have equal spans, and each counts as an occurrence.  Other columns of
-    ``docs`` may have any names but _key, _k and _spans.
+    ``docs`` may have any names.
     """
     if min_words <= GRAM:
         raise ValueError(f"a window needs more than {GRAM} words")
@@ -392,11 +393,11 @@ def with_spans(docs: DataFrame, min_words: int = 35) -> DataFrame:
         key.alias("key"), text.cast("binary").alias("text"), F.lit(1).cast("long").alias("times")
     )
     spans = _spans(texts, min_words)
-    lists = spans.groupBy(F.col("key").alias("_k")).agg(
-        F.collect_set(F.struct("start", "stop")).alias("_spans")
+    lists = spans.groupBy(F.col("key").alias("k")).agg(
+        F.collect_set(F.struct("start", "stop")).alias("spans")
     )
-    keyed = docs.withColumn("_key", key)
-    return keyed.join(lists, F.col("_key") == F.col("_k"), "left").drop("_key", "_k")
+    keyed = docs.select(row_of(docs).alias("row"), key.alias("key"))
+    return keyed.join(lists, F.col("key") == F.col("k"), "left").select("row", "spans")
 
 
 def _pairs(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -425,22 +426,27 @@ def dedup_digests(docs: DataFrame, min_words: int = 35) -> DataFrame:
                 yield _record(result, rows)
 
     found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words)
-    return found.select("doc_id", F.col("text").cast("binary"), "_spans").mapInArrow(run, result)
+    return found.select(
+        "row.doc_id", F.col("row.text").cast("binary").alias("text"), "spans"
+    ).mapInArrow(run, result)
 
 
 def deduped_text(docs: DataFrame, min_words: int = 35) -> DataFrame:
     """``docs`` with repeated spans cut from ``text``; texts without any stay as they are."""
 
+    names = docs.columns
+    at = [n.lower() for n in names].index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            columns = batch.column(0).flatten()
+            texts = columns[at].cast(pa.binary()).to_pylist()
             out = [
                 b" ".join(kept_words(t.split(), _pairs(s))) if s else t
-                for t, s in zip(*(batch.column(c).to_pylist() for c in ("text", "_spans")), strict=True)
+                for t, s in zip(texts, batch.column(1).to_pylist(), strict=True)
             ]
-            at = batch.schema.get_field_index("text")
-            text = pa.array(out, pa.binary()).cast(pa.string())
-            yield batch.set_column(at, "text", text).drop_columns(["_spans"])
+            columns[at] = pa.array(out, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    found = with_spans(docs, min_words).withColumn("text", F.col("text").cast("binary"))
     schema = docs.withColumn("text", F.col("text").cast("string")).schema
-    return found.mapInArrow(run, schema)
+    return with_spans(docs, min_words).mapInArrow(run, schema)

@@ -2,6 +2,8 @@
 
 import collections
 
+from pyspark.sql import functions as F
+
 from sellerdesk.llm import stages
 
 from .conftest import DOCS, doc_rows
@@ -41,3 +43,15 @@ def test_near_duplicates_keep_one_row_of_each_group(spark, docs, no_docs, sf):
     for choices in wanted:
         assert sum(found[r] for r in set(choices)) == 1
     assert stages.drop_near_duplicates(spark, no_docs, sf).collect() == []
+
+
+def test_stages_take_columns_of_any_names(spark, docs, sf):
+    names = ["_kept", "_key", "_k", "_spans", "row", "id", "hash", "place", "kept_id", "spans", "k", "a.b"]
+    wide = docs
+    for i, n in enumerate(names):
+        wide = wide.withColumn(n, F.lit(f"{i}"))
+    for step in (stages.drop_near_duplicates, stages.drop_repeated_passages):
+        plain, found = step(spark, docs, sf), step(spark, wide, sf)
+        assert found.columns == wide.columns
+        values = tuple(f"{i}" for i in range(len(names)))
+        assert rows_of(found) == collections.Counter({r + values: n for r, n in rows_of(plain).items()})
