@@ -90,4 +90,97 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM d LEFT JOIN k USING (r)
 """
 
-ORACLE_SQL = {"op5_substring": SUBSTRING, "op7_warc": WARC, "op6_mixing": MIXING, "op10_topk": TOPK}
+def _merkle(levels: int = 7) -> str:
+    """Both trees, level by level (16 ** levels leaves a tree), and every leaf's path through them."""
+    field = "coalesce(octet_length(encode({0}))::VARCHAR || ':' || {0}, '-')"
+    fields = [field.format(f"{c}::VARCHAR") for c in ("doc_id", "source", "lang", "n_chars")]
+    upper = "".join(map(chr, range(65, 91)))
+    lower = f"translate(text, '{upper}', '{upper.lower()}')"
+    leaf = " || ".join([*fields, field.format("text")])
+    changed = " || ".join([*fields, field.format(lower)])
+    # CRC-32 of the decimal id: a byte enters before its eight shifts
+    crc = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(8 * len(doc_id::VARCHAR)),
+      lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, i // 8 + 1, 1))::BIGINT ELSE 0 END),
+      lambda c, x: xor(xor(c, x) >> 1, CASE WHEN xor(c, x) & 1 = 1 THEN 3988292384 ELSE 0 END)::BIGINT))"""
+    out = [
+        f"""WITH d AS (
+  SELECT doc_id, source, sha256({leaf}) AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND ({crc}) % 5 = 0 THEN sha256({changed}) ELSE sha256({leaf}) END AS attacked
+  FROM documents),
+s0 AS (
+  SELECT *, leaf AS node, attacked AS folded, '' AS proof,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS n FROM d)"""
+    ]
+
+    def climb(name: str, k: int, by: str) -> None:
+        out.append(f"""{name}g{k} AS (
+  SELECT {by or "0 AS one"}, pos // 16 AS g, list(node ORDER BY pos) AS run
+  FROM (SELECT DISTINCT {by + "," if by else ""} pos, node FROM {name}{k}) GROUP BY ALL),
+{name}{k + 1} AS (
+  SELECT a.* EXCLUDE (node, folded, proof, pos, n),
+         CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE node END AS node,
+         CASE WHEN n > 1 THEN sha256(array_to_string(run[:pos % 16], '') || folded || array_to_string(run[pos % 16 + 2:], ''))
+              ELSE folded END AS folded,
+         CASE WHEN n > 1 THEN proof || array_to_string(run[:pos % 16], '') || array_to_string(run[pos % 16 + 2:], '')
+              ELSE proof END AS proof,
+         pos // 16 AS pos, (n + 15) // 16 AS n
+  FROM {name}{k} a JOIN {name}g{k} b ON pos // 16 = g{" AND a.source IS NOT DISTINCT FROM b.source" if by else ""})""")
+
+    for k in range(levels):
+        climb("s", k, "source")
+    out.append(f"""t0 AS (
+  SELECT * EXCLUDE (pos, n), node AS subroot, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS pos,
+         (SELECT count(*) FROM (SELECT DISTINCT source FROM d)) AS n FROM s{levels})""")
+    for k in range(levels):
+        climb("t", k, "")
+    return ",\n".join(out) + f"""
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = node AS verified
+FROM t{levels}
+"""
+
+
+PHRASES = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3, 4]) AS k)
+  WHERE i + k - 1 <= len(words)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND a >= 30),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, c.k, j, l.a AS l, r.a AS r,
+         (2000000::HUGEINT * c.a) // (l.a + r.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[:j], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[j + 1:], ' ')),
+low AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+part AS (
+  SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k + 1)) AS i FROM c), (SELECT unnest([2, 3]) AS m)
+  WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (
+  SELECT low.* FROM low LEFT JOIN part USING (lang, phrase)
+  WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * low.a::HUGEINT)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN t USING (lang)
+QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL = {
+    "op5_substring": SUBSTRING,
+    "op7_warc": WARC,
+    "op6_mixing": MIXING,
+    "op10_topk": TOPK,
+    "op11_merkle": _merkle(),
+    "op12_phrases": PHRASES,
+}

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from sellerdesk.llm import (
     language_model,
+    merkle,
     mixing,
     packing,
+    pattern_packing,
+    phrases,
     quality,
     sharding,
     simhash,
@@ -78,6 +81,20 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_proofs(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    return pattern_packing.pack(table(spark, sf_dir, "documents"), public.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_line_cleaning": op1_line_cleaning,
     "op2_packing": op2_packing,
@@ -89,4 +106,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_language_model": op9_language_model,
     "op10_topk": op10_topk,
+    "op11_merkle": op11_merkle,
+    "op12_phrases": op12_phrases,
+    "op13_pattern_packing": op13_pattern_packing,
 }
