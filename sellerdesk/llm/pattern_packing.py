@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,23 +40,42 @@ IN_PATTERN = 3  # documents of a pattern, at most
 
 # ------------------------------------------------------------------- tokens
 
-# the ASCII white space at which a text is cut into chunks
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
+# ASCII white space cuts a text into chunks; a chunk's closing punctuation is one of its own
+SOLID, CLOSING, ALNUM = np.zeros((3, 256), bool)
+SOLID[:] = True
+SOLID[[9, 10, 11, 12, 13, 32]] = False
+CLOSING[[*b".,;:!?"]] = True
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of set flags start and end."""
+    edges = np.flatnonzero(flags[1:] != flags[:-1]) + 1
+    if len(flags) and flags[0]:
+        edges = np.append(0, edges)
+    if len(edges) % 2:
+        edges = np.append(edges, len(flags))
+    return edges[::2], edges[1::2]
 
 
 def chunks_of(raw: bytes) -> tuple[pa.Array, np.ndarray]:
-    """The chunks of ``raw`` between white space, and where they start."""
+    """The chunks of ``raw``, and where they start.
+
+    ASCII letters are lower-cased unless a byte beyond ASCII follows (a mark might
+    compose with them) or the name of a special token may stand in ``raw``.
+    """
     data = np.frombuffer(raw, np.uint8)
-    solid = ~BLANK[data]
-    edge = np.diff(solid.view(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
-    values = pa.py_buffer(np.ascontiguousarray(data[solid]))
-    array = pa.Array.from_buffers(
-        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), values]
-    )
-    return array, starts
+    solid = SOLID[data]
+    (starts, ends), (cut, to) = runs_of(solid), runs_of(CLOSING[data])
+    cut = cut[np.append(~solid, True)[to] & (cut > 0) & ALNUM[data[cut - 1]]]
+    starts, ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    if b"<" not in raw:
+        upper = (data >= 65) & (data <= 90)
+        upper[:-1] &= data[1:] < 128
+        data = data + (upper.view(np.uint8) << 5)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), buffers), starts
 
 
 def ragged(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -66,39 +86,89 @@ def ragged(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarr
 
 
 class ChunkEncoder:
-    """Token ids of texts under a tokenizer that drops white space.
-
-    Such a tokenizer's ids of a text are those of its chunks between ASCII white
-    space, one after the other, so each distinct chunk is encoded once a batch.
+    """Token ids of texts under a tokenizer of lower-cased words that drops white space.
+
+    Such a tokenizer (canonical composition, lower case, then runs of letters,
+    single digits, runs of other characters) has no token across ASCII white
+    space, nor across an ASCII letter or digit and the punctuation that closes a
+    chunk.  So the ids of a text are those of its chunks, one after the other, and
+    a chunk is encoded once for as long as it is held (``HELD`` chunks at most).
+    Chunks of plain lower-case letters, which are one such run and which no
+    normalisation changes, are encoded together without it: each ends in the one
+    token that closes a word.
     """
 
+    HELD = 500_000
+    ACCENTED = "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)  # precomposed, lower case
+    PLAIN = f"^[a-z{ACCENTED}]+$"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelled = {ord(c): spell(c)[0][0] for c in self.ACCENTED}  # as the model knows bytes
+        suffix = self.plain.model.end_of_word_suffix
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.closes[number] = token.endswith(suffix)
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids = np.array([END_ID], self.kind)  # the end, then the chunks
+        self.sizes = np.array([1])
+
+    def encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = [w if w.isascii() else w.translate(self.spelled) for w in words]
+        text = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        found = self.plain.encode_batch_fast(text, add_special_tokens=False)
+        ids = np.array(list(itertools.chain.from_iterable(f.ids for f in found)), self.kind)
+        return ids, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+
+    def encode_other(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [f.ids for f in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        ids = np.array(list(itertools.chain.from_iterable(found)), self.kind)
+        return ids, np.array([len(f) for f in found], np.int64)
+
+    def places(self, chunks: pa.Array) -> np.ndarray:
+        """Where each of the distinct ``chunks`` stands among those held."""
+        if len(self.place) + len(chunks) > self.HELD:
+            self.clear()
+        names = chunks.to_pylist()
+        place = np.array([self.place.get(c, -1) for c in names], np.int64)
+        plain = pc.match_substring_regex(chunks, self.PLAIN).to_numpy(zero_copy_only=False)
+        for own, encode in ((plain, self.encode_plain), (~plain, self.encode_other)):
+            new = np.flatnonzero((place < 0) & own)
+            if len(new):
+                words = [names[i] for i in new.tolist()]
+                ids, sizes = encode(words)
+                place[new] = np.arange(len(self.sizes), len(self.sizes) + len(new))
+                self.place.update(zip(words, place[new].tolist(), strict=True))
+                self.ids, self.sizes = np.append(self.ids, ids), np.append(self.sizes, sizes)
+        return place
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids per text), each text closed by the end id."""
         raws = [t.encode() for t in texts]
         chunks, starts = chunks_of(b"\n".join(raws))
         coded = chunks.dictionary_encode()
-        distinct = [c.decode() for c in coded.dictionary.to_pylist()]
-        known = [e.ids for e in self.tokenizer.encode_batch([*distinct, ""], add_special_tokens=False)]
-        known[-1] = [END_ID]  # the end stands behind each text's chunks
-        sizes = np.array([len(k) for k in known])
-        flat = np.array(list(itertools.chain.from_iterable(known)), self.kind)
+        place = self.places(coded.dictionary.cast(pa.large_string()))
+        sizes = self.sizes
         begin = np.cumsum([len(r) + 1 for r in raws])
         n_chunks = np.diff(np.searchsorted(starts, begin), prepend=0)
-        which = np.empty(len(chunks) + len(texts), np.int64)
+        which = np.zeros(len(chunks) + len(texts), np.int64)
         ends = np.cumsum(n_chunks + 1) - 1
         inside = np.ones(len(which), bool)
         inside[ends] = False
-        which[inside], which[ends] = coded.indices.to_numpy(), len(known) - 1
-        ids = ragged(flat, (np.cumsum(sizes) - sizes)[which], sizes[which])
-        totals = np.add.reduceat(sizes[which], ends - n_chunks) if len(texts) else np.empty(0, np.int64)
-        return ids, totals
+        which[inside] = place[coded.indices.to_numpy()]
+        ids = ragged(self.ids, (np.cumsum(sizes) - sizes)[which], sizes[which])
+        return ids, np.add.reduceat(sizes[which], ends - n_chunks)
 
 
 PIECE = (
@@ -117,8 +187,8 @@ def piece_table(docs: DataFrame, path: str, size: int) -> DataFrame:
         for batch in batches:
             doc_ids, texts = (c.to_pylist() for c in batch.columns)
             lo = 0
-            while lo < len(texts):  # about 4 MB of texts at a time
-                hi, room = lo, 1 << 22
+            while lo < len(texts):  # about 8 MB of texts at a time
+                hi, room = lo, 1 << 23
                 while hi < len(texts) and (room > 0 or hi == lo):
                     room -= len(texts[hi] or "")
                     hi += 1
