@@ -2,24 +2,30 @@
 
 Frequent phrases are closed: the words of a frequent phrase that stand together
 are frequent.  A sample of the rows, mined with a lowered threshold, proposes a
-closed set of phrases.  One pass over all rows counts exactly every occurring
-phrase that is proposed or on the negative border of the proposals, which is one
-whose shorter parts (without its first, without its last word) are all
-proposed; single words always are.  A frequent phrase of the border that was not
-proposed is a border failure: what it may extend to was not counted.  Failures
-join the proposals, and a further pass counts the phrases that are on the border
-only now, until no failure is left.  Then every frequent phrase has been counted
-exactly, whatever the sample was; the sample decides only how many passes it takes.
-
-A task knows the proposals through a bit table of fixed size (``MAX_BITS``),
+closed set of phrases.  Passes over all rows then count every occurring phrase
+that is proposed or on the negative border of the proposals, which is one whose
+shorter parts (without its first, without its last word) are all proposed;
+single words always are.  A frequent phrase of the border that was not proposed
+is a border failure: what it may extend to was not counted.  Failures join the
+proposals, and a further pass counts the phrases that are on the border only
+now, and whatever longer phrases these begin, until no failure is left (the
+longest phrase is short, so one such pass closes).  Then every frequent phrase
+has been counted exactly, whatever the sample was; it decides only the cost.
+
+Most of the border occurs a few times only, so it is counted in two steps.  First
+by 64-bit hashes, sorted and delta-coded in blocks: phrases of equal hash count
+together, so this bounds each count from above.  Then, for the phrases whose
+bound reaches the threshold, by their words: the counts that are returned.
+
+A task knows sets of phrases through bit tables of fixed size (``MAX_BITS``),
 marked at the phrases' hashes: a false mark makes a phrase be counted that need
 not be, never the reverse, and each pass counts what its table admits and the
-table before it did not.  Tasks count with integer keys (words are numbered
-exactly in each batch) and send words and counts, so no hash decides a result.
+table before it did not.  No hash decides a result.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sellerdesk.llm.common import bounded_batches, drop_used_shuffles
+from sellerdesk.llm.common import bounded_batches, drop_used_shuffles, planes, unplanes
 from sellerdesk.session import stage
 
 LONGEST = 4  # words of a phrase
 MIN_COUNT = 30
 SAMPLE = 8  # one row of so many is in the sample
-LOWER = 0.6  # the sample's threshold over what it would expect of a phrase of MIN_COUNT
+LOWER = 0.8  # the sample's threshold over what it would expect of a phrase of MIN_COUNT
 BITS_PER_PHRASE, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 28  # of the bit table: 32 MB at most
+BUCKET_BYTES = 8 << 20  # of texts whose hashes one task merges, about
+BLOCK_TYPES = (pa.int32(), pa.binary(), pa.binary())
 
 # kinds of bytes: 0 of a word, 1 between words, 2 between pieces
 KIND = np.zeros(256, np.uint8)
@@ -99,20 +107,9 @@ class Marks:
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
 
 
-def marked(phrases: DataFrame, n_bits: int) -> np.ndarray:
-    """The bit table of ``phrases`` (lang, phrase), made in parts by the tasks that hold them."""
-    shift, n_parts = 64 - n_bits.bit_length() + 1, 16
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = hashes([x.encode() for x in batch.column(0).to_pylist()])
-            split = [p.encode().split(b" ") for p in batch.column(1).to_pylist()]
-            h = langs.copy()
-            for k in range(max(map(len, split), default=0)):
-                own = np.array([i for i, w in enumerate(split) if len(w) > k])
-                h[own] = extended(h[own], hashes([split[i][k] for i in own]))
-            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(shift)).view(np.int64))], names=["slot"])
-
+def marked(found: DataFrame, n_bits: int) -> np.ndarray:
+    """The bit table of hashes (hash long), made in parts by the tasks that hold them."""
+    n_parts = 16
     width = n_bits // n_parts
 
     def part(table: pa.Table) -> pa.Table:
@@ -121,14 +118,37 @@ def marked(phrases: DataFrame, n_bits: int) -> np.ndarray:
         own[at % width] = True
         return pa.table({"n": pa.array([n], pa.int32()), "bits": [np.packbits(own, bitorder="little").tobytes()]})
 
-    found = phrases.select("lang", "phrase").mapInArrow(slots, "slot long").distinct()
-    parts = found.groupBy(F.expr(f"slot div {width}")).applyInArrow(part, "n int, bits binary")
+    slot = F.shiftrightunsigned("hash", 64 - n_bits.bit_length() + 1).alias("slot")
+    slots = found.select(slot).distinct()
+    parts = slots.groupBy(F.expr(f"slot div {width}")).applyInArrow(part, "n int, bits binary")
     bits = np.zeros(n_bits // 8, np.uint8)
     for r in parts.collect():  # n_bits / 8 bytes in all
         bits[r.n * width // 8 : (r.n + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
     return bits
 
 
+def phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
+    h = hashes([x.encode() for x in langs])
+    split = [p.encode().split(b" ") for p in phrases]
+    for k in range(max(map(len, split), default=0)):
+        own = np.array([i for i, w in enumerate(split) if len(w) > k])
+        h[own] = extended(h[own], hashes([split[i][k] for i in own]))
+    return h
+
+
+def unmarked(phrases: DataFrame, marks: np.ndarray) -> DataFrame:
+    """The hashes of the ``phrases`` (lang, phrase) that the bit table does not hold."""
+    sent = phrases.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Marks(sent.value)
+        for batch in batches:
+            h = phrase_hashes(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(h[~known.has(h)].view(np.int64))], names=["hash"])
+
+    return phrases.select("lang", "phrase").mapInArrow(run, "hash long")
+
+
 # --------------------------------------------------------------- counting
 
 
@@ -140,133 +160,188 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, position, np.bincount(codes, minlength=len(values))
 
 
-def count_batch(
-    langs: list[str], texts: list[bytes], new: Marks | None, old: Marks | None, lengths: range
-) -> Iterator[tuple[pa.Array, int, pa.Array, np.ndarray]]:
-    """(langs, length, phrases, counts) of the phrases that ``new`` admits and ``old`` does not.
+class Batch:
+    """The words of a batch of texts, numbered exactly."""
 
-    Single words are admitted always, by any table.
-    """
-    words, text, joined = words_of(texts)
-    if not len(words):
-        return
-    coded = words.dictionary_encode()
-    number = coded.indices.to_numpy().astype(np.int64)
-    word_hash = hashes(coded.dictionary.to_pylist())
-    names, lang_of = np.unique(langs, return_inverse=True)
-    lang_hash = hashes([n.encode() for n in names.tolist()])
-    lang = lang_of[text]
-    gram = np.full(len(words), -1, np.int64)  # the phrase that begins at each word
-    codes, at, n = _numbered(lang * len(word_hash) + number)
-    single, n_single = codes, len(at)
-    gram[:] = codes
-    h = extended(lang_hash[lang[at]], word_hash[number[at]])
-    counted = np.full(len(at), old is not None)  # by an earlier pass
-    for k in range(1, lengths.stop):
-        if k in lengths:
-            send = np.flatnonzero(~counted)
-            if len(send):
-                first = at[send]
-                columns = [coded.dictionary.take(pa.array(number[first + j])) for j in range(k)]
-                phrase = columns[0] if k == 1 else pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary()))
-                yield pa.array(names[lang[first]]), k, phrase, n[send]
-        if new is None or k + 1 == lengths.stop:
+    def __init__(self, langs: list[str], texts: list[bytes]):
+        words, text, self.joined = words_of(texts)
+        coded = words.dictionary_encode()
+        self.words, self.number = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.langs, lang_of = np.unique(langs, return_inverse=True)
+        self.lang = lang_of[text]
+
+    def admitted(
+        self, longest: int, new: Marks | None, old: Marks | None
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, positions, counts, hashes) of the phrases that ``new`` admits and ``old`` does not.
+
+        Single words are admitted always, by any table; with ``old``, so is what extends
+        only phrases that are marked or that it did not admit.
+        """
+        if not len(self.number):
             return
-        good = new.has(h)
-        good_old = counted & old.has(h) if old is not None else np.zeros(len(h), bool)
-        admitted = np.zeros(len(words), bool)
-        has = gram >= 0
-        admitted[has] = good[gram[has]]
-        pair = np.flatnonzero(admitted[:-1] & admitted[1:] & joined[:-1])
-        codes, first, n = _numbered(gram[pair] * n_single + single[pair + k])
-        at = pair[first]
-        counted = good_old[gram[at]] & good_old[gram[at + 1]]
-        h = extended(h[gram[at]], word_hash[number[at + k]])
-        gram = np.full(len(words), -1, np.int64)
-        gram[pair] = codes
+        word_hash = hashes(self.words.to_pylist())
+        lang_hash = hashes([x.encode() for x in self.langs.tolist()])
+        gram, at, n = _numbered(self.lang * len(word_hash) + self.number)
+        single, n_single = gram, len(at)
+        h = extended(lang_hash[self.lang[at]], word_hash[self.number[at]])
+        before = np.full(len(at), old is not None)  # counted by an earlier pass
+        for k in range(1, longest + 1):
+            yield k, at[~before], n[~before], h[~before]
+            if new is None or k == longest or not len(h):
+                return
+            good, good_old = new.has(h), np.zeros(len(h), bool)
+            if old is not None:  # extend what this pass counts as if it were frequent
+                good_old = before & old.has(h)
+                good |= ~before
+            has = (gram >= 0) & good[gram]
+            pair = np.flatnonzero(has[:-1] & has[1:] & self.joined[:-1])
+            codes, first, n = _numbered(gram[pair] * n_single + single[pair + k])
+            at = pair[first]
+            before = good_old[gram[at]] & good_old[gram[at + 1]]
+            h = extended(h[gram[at]], word_hash[self.number[at + k]])
+            gram = np.full(len(gram), -1, np.int64)
+            gram[pair] = codes
+
+    def phrase(self, at: np.ndarray, k: int) -> pa.Array:
+        """The phrases of ``k`` words at positions."""
+        columns = [self.words.take(pa.array(self.number[at + j])) for j in range(k)]
+        if k > 1:
+            columns = [pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary()))]
+        return columns[0].cast(pa.binary()).cast(pa.string())
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
+    for batch in batches:
+        yield Batch(batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()])
+
+
+def text_bytes(texts: DataFrame) -> int:
+    return texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+
+
+def bounded_hashes(texts: DataFrame, n_bytes: int, lengths: range, least: int, marks: np.ndarray | None) -> DataFrame:
+    """The hashes (hash long) whose phrases of ``lengths`` words, admitted by ``marks``, occur
+    ``least`` times in ``texts`` (lang, text as binary) together."""
+    sent = None if marks is None else texts.sparkSession.sparkContext.broadcast(marks)
+    n_buckets = max(16, -(-n_bytes // BUCKET_BYTES))
+    width = -(-(1 << 64) // n_buckets)
+    edges = np.array([i * width for i in range(1, n_buckets) if i * width < 1 << 64], np.uint64)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        admit = None if sent is None else Marks(sent.value)
+        for batch in _batches(batches):
+            found = [(n, h) for k, _, n, h in batch.admitted(lengths[-1], admit, None) if k in lengths]
+            if not sum(len(n) for n, _ in found):
+                continue
+            n, h = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(h)
+            n, h = n[order], h[order]
+            cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
+            rows = []
+            for bucket, (lo, hi) in enumerate(itertools.pairwise(cuts)):
+                if lo < hi:
+                    steps = np.diff(h[lo:hi], prepend=np.uint64(0))
+                    rows.append((bucket, planes(steps), planes(n[lo:hi].astype(np.uint32))))
+            arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), BLOCK_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "hashes", "counts"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        h = np.concatenate([np.cumsum(unplanes(b, np.uint64), dtype=np.uint64) for b in table.column("hashes").to_pylist()])
+        n = np.concatenate([unplanes(b, np.uint32) for b in table.column("counts").to_pylist()]).astype(np.int64)
+        order = np.argsort(h, kind="stable")
+        h, n = h[order], n[order]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        h = h[start][np.add.reduceat(n, start) >= least]
+        return pa.table({"hash": pa.array(h.view(np.int64))})
+
+    found = texts.mapInArrow(blocks, "bucket int, hashes binary, counts binary")
+    return found.groupBy("bucket").applyInArrow(merge, "hash long")
 
 
 COUNT = "lang string, k int, phrase string, n long"
 
 
 def count_phrases(
-    texts: DataFrame, lengths: range, new: np.ndarray | None = None, old: np.ndarray | None = None
+    texts: DataFrame, lengths: range, new: np.ndarray, old: np.ndarray | None = None, maybe: np.ndarray | None = None
 ) -> DataFrame:
     """Counts of the phrases of ``texts`` (lang, text as binary) with ``lengths`` words.
 
-    Counted are those that the bit table ``new`` admits and ``old`` does not;
-    with ``lengths`` from 1 on, length 0 counts all words of a language.
+    Counted are those that the bit table ``new`` admits and ``old`` does not, and
+    that ``maybe`` holds; with ``lengths`` from 1 on, length 0 counts all words of
+    a language.
     """
     context = texts.sparkSession.sparkContext
-    sent_new, sent_old = (None if b is None else context.broadcast(b) for b in (new, old))
+    sent = [None if b is None else context.broadcast(b) for b in (new, old, maybe)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [None if b is None else Marks(b.value) for b in (sent_new, sent_old)]
+        admit, skip, only = (None if b is None else Marks(b.value) for b in sent)
 
-        def out(lang: pa.Array, k: int, phrase: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            arrays = [lang, pa.array(np.full(len(n), k, np.int32)), phrase.cast(pa.binary()).cast(pa.string()), pa.array(n)]
+        def out(lang: np.ndarray, k: int, phrase: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            arrays = [pa.array(lang, pa.string()), pa.array(np.full(len(n), k, np.int32)), phrase, pa.array(n)]
             whole = pa.RecordBatch.from_arrays(arrays, names=["lang", "k", "phrase", "n"])
             for lo in range(0, len(n), 1 << 16):
                 yield whole.slice(lo, 1 << 16)
 
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            raws = [t or b"" for t in batch.column(1).to_pylist()]
-            for lang, k, phrase, n in count_batch(langs, raws, *tables, lengths):
-                if k == 1:
-                    totals = pd.Series(n).groupby(lang.to_pandas()).sum()
-                    empty = pa.array([b""] * len(totals), pa.large_binary())
-                    yield from out(pa.array(totals.index, pa.string()), 0, empty, totals.to_numpy())
-                yield from out(lang, k, phrase, n)
-
-    bounded_batches(texts.sparkSession, 16)
+        for batch in _batches(batches):
+            if 1 in lengths:
+                n = np.bincount(batch.lang, minlength=len(batch.langs))
+                yield from out(batch.langs, 0, pa.array([""] * len(n)), n)
+            for k, at, n, h in batch.admitted(lengths[-1], admit, skip):
+                if k in lengths:
+                    if only is not None:
+                        likely = only.has(h)
+                        at, n = at[likely], n[likely]
+                    yield from out(batch.langs[batch.lang[at]], k, batch.phrase(at, k), n)
+
     counted = texts.mapInArrow(run, COUNT)
     return counted.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
+def bits_for(n: int) -> int:
+    bits = MIN_BITS
+    while bits < min(MAX_BITS, BITS_PER_PHRASE * n):
+        bits *= 2
+    return bits
+
+
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample: int = SAMPLE) -> DataFrame:
     """lang, k, phrase, n of all phrases of 1 to 4 words that occur ``min_count`` times in a
     language, and (k = 0) the words of each language."""
     drop_used_shuffles(docs.sparkSession)
-    texts = docs.select(
-        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
-        F.col("text").cast("binary").alias("text"),
-    )
+    bounded_batches(docs.sparkSession, 8)
     drawn = F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit(12))
-    few = docs.where(F.pmod(drawn, F.lit(sample)) == 0).select(
-        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
-        F.col("text").cast("binary").alias("text"),
+    texts, few = (
+        rows.select(
+            F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
+            F.col("text").cast("binary").alias("text"),
+        )
+        for rows in (docs, docs.where(F.pmod(drawn, F.lit(sample)) == 0))
     )
     # 1. the sample proposes
     few = stage(few, "phrases-sample")
-    low = max(2, int(LOWER * min_count / sample))
-    proposed, n_bits, marks = None, MIN_BITS, None
+    few_bytes, low = text_bytes(few), max(2, int(LOWER * min_count / sample))
+    proposed, marks = None, None
     for k in range(1, LONGEST):
-        found = count_phrases(few, range(k, k + 1), marks).where((F.col("n") >= low) & (F.col("k") > 0))
-        found = stage(found, f"phrases-proposed-{k}")
+        found = stage(bounded_hashes(few, few_bytes, range(k, k + 1), low, marks), f"phrases-proposed-{k}")
         proposed = found if proposed is None else proposed.unionByName(found)
-        size = proposed.count()
-        while n_bits < min(MAX_BITS, BITS_PER_PHRASE * size):
-            n_bits *= 2
+        n_bits = bits_for(proposed.count())
         marks = marked(proposed, n_bits)
-    # 2. all rows: the proposals and their border
-    counted = stage(
-        count_phrases(texts, range(1, LONGEST + 1), marks).where((F.col("n") >= min_count) | (F.col("k") == 0)),
-        "phrases-counted",
-    )
+    # 2. all rows: the proposals and their border, bounded, then counted
+    every = range(1, LONGEST + 1)
+    likely = stage(bounded_hashes(texts, text_bytes(texts), every, min_count, marks), "phrases-likely")
+    maybe = marked(likely, bits_for(likely.count()))
+    counted = count_phrases(texts, every, marks, maybe=maybe)
+    counted = stage(counted.where((F.col("n") >= min_count) | (F.col("k") == 0)), "phrases-counted")
     frequent = counted
-    known = proposed.select("lang", "phrase")
-    failures = counted.where(f"k > 0 and k < {LONGEST}").join(known, ["lang", "phrase"], "left_anti")
-    # 3. what border failures may extend to, until there are none
-    while True:
-        failures = stage(failures, "phrases-failures")
-        if failures.isEmpty():
-            return frequent
+    # 3. all that border failures may extend to
+    failures = counted.where(f"k > 0 and k < {LONGEST}")
+    failures = stage(unmarked(failures, marks), "phrases-failures")
+    if not failures.isEmpty():
         wider = marks | marked(failures, n_bits)
         counted = count_phrases(texts, range(2, LONGEST + 1), wider, marks)
-        counted = stage(counted.where(F.col("n") >= min_count), "phrases-counted")
-        frequent = frequent.unionByName(counted)
-        failures, marks = counted.where(f"k < {LONGEST}"), wider
+        frequent = frequent.unionByName(stage(counted.where(F.col("n") >= min_count), "phrases-expanded"))
+    return frequent
 
 
 # ----------------------------------------------------------------- scores
