@@ -31,10 +31,9 @@ def div(a: str, b: str) -> str:
 def msum(x: str) -> str:
     """Money sum without order effects, 0 over no values; NaN is skipped.
 
-    Fixed point of 9 decimals, entered and left through text: both conversions
-    then round the written number once, whatever its size."""
-    value = f"CASE WHEN NOT isnan(CAST({x} AS DOUBLE)) THEN CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,9)) END"
-    return f"CAST(CAST(coalesce(sum({value}), 0) AS VARCHAR) AS DOUBLE)"
+    Whole numbers of 2^-64 in 128 bits, left through text, which rounds once."""
+    value = f"CASE WHEN NOT isnan(CAST({x} AS DOUBLE)) THEN CAST(CAST({x} AS DOUBLE) * 18446744073709551616.0 AS HUGEINT) END"
+    return f"(CAST(CAST(coalesce(sum({value}), 0) AS VARCHAR) AS DOUBLE) / 18446744073709551616.0)"
 
 
 def on(a: str, b: str, keys: list[str]) -> str:
@@ -873,6 +872,17 @@ for _name, _keys in MARGIN_GROUPINGS.items():
     _src = "campaigns" if "campaign_name" in _keys else "item_report_margin"
     ORACLE_SQL[_name] = one_query(CAMPAIGN_CTE, select=margin_sql(_keys, _src))
 
+_ROWS = f"WHERE {grepl('shop_name', 'for t10 july (16|30)')}"
+for _name, _grouping, _table in (
+    ("margin_by_mc_rows", "margin_by_mc", "item_report_margin"),
+    ("campaign_report_rows", "campaign_report", "campaigns"),
+):
+    ORACLE_SQL[_name] = one_query(
+        CAMPAIGN_CTE,
+        f"found AS (SELECT * FROM {_table} {_ROWS})",
+        select=margin_sql(MARGIN_GROUPINGS[_grouping], "found"),
+    )
+
 ORACLE_SQL["campaign_tag"] = one_query(CAMPAIGN_CTE, select="SELECT * FROM campaigns")
 ORACLE_SQL["group_total"] = one_query(
     CAMPAIGN_CTE,

@@ -33,32 +33,86 @@ def na_sum(c: Column | str) -> Column:
     return F.coalesce(F.sum(_col(c)), F.lit(0.0))
 
 
-# Money sums run in fixed point: 9 decimals and 38 digits, so a sum does not
-# depend on row order or partitioning; what does not fit raises.
-MONEY = "decimal(38,9)"
-# A value that counts several times: the product still has 38 digits.
-MONEY_ONCE, TIMES = "decimal(27,9)", "decimal(10,0)"
+# Money sums are exact and so do not depend on row order or partitioning.  A
+# double splits without loss into a whole number of 2^-30 and a rest that is a
+# whole number of 2^-92; both are summed as integers of 38 digits and rounded to
+# a double once, at the end.  The rest of a number under 2^-40 (1e-12) may have
+# bits below 2^-92 (2e-28), which are rounded; what does not fit raises.
+COARSE, FINE = 30, 92
+COARSE_PART, FINE_PART, TIMES = "decimal(28,0)", "decimal(19,0)", "decimal(10,0)"
+WHOLE = "decimal(38,0)"
 
 
-def fixed(c: Column | str, kind: str = MONEY) -> Column:
-    """A double in fixed point; NaN is missing, what does not fit raises (ANSI)."""
+def _whole(power: int) -> Column:
+    return F.lit(str(1 << power)).cast(WHOLE)
+
+
+def _integer(whole: Column) -> Column:
+    """A whole double as a decimal, through longs: a direct cast goes by its shortest text."""
+    small = F.abs(whole) < F.lit(2.0**62)
+    high = F.rint(whole * F.lit(2.0**-40))
+    low = whole - high * F.lit(2.0**40)
+    long = high.cast("bigint").cast("decimal(19,0)") * F.lit(str(1 << 40)).cast("decimal(13,0)")
+    long = (long + low.cast("bigint").cast("decimal(19,0)")).cast(COARSE_PART)
+    return F.when(small, whole.cast("bigint").cast(COARSE_PART)).otherwise(long)
+
+
+def exact_parts(c: Column | str, times: Column | str | None = None) -> tuple[Column, Column]:
+    """The two whole numbers of a double (``times`` that number); NaN is missing."""
     v = _col(c).cast("double")
-    return F.when(~F.isnan(v), v).cast(kind)
+    v = F.when(~F.isnan(v), v)
+    coarse = F.rint(v * F.lit(float(1 << COARSE)))
+    rest = v - coarse * F.lit(2.0**-COARSE)
+    fine = F.rint(rest * F.lit(2.0**COARSE) * F.lit(2.0 ** (FINE - COARSE)))
+    fine, coarse = fine.cast("bigint").cast(FINE_PART), _integer(coarse)
+    if times is None:
+        return coarse, fine
+    n = _col(times).cast(TIMES)
+    return coarse * n, fine * n
+
+
+def exact_total(coarse: Column, fine: Column) -> Column:
+    """The double next to ``coarse * 2^-30 + fine * 2^-92``; 0 over no values.
+
+    A total that fits is one whole number of 2^-92.  A larger one is a whole number of
+    2^-31 whose last bit says whether anything lies below, which is enough to round.
+    """
+    coarse = F.coalesce(coarse, F.lit(0)).cast(WHOLE)
+    fine = F.coalesce(fine, F.lit(0)).cast(WHOLE)
+    unit = _whole(FINE - COARSE)
+    near = F.try_add(F.try_multiply(coarse, unit), fine).cast("double") * F.lit(2.0**-FINE)
+    far = (coarse + _div(fine, unit)) * F.lit(2) + F.signum((fine % unit).cast("double")).cast("bigint")
+    return F.coalesce(near, far.cast("double") * F.lit(2.0 ** -(COARSE + 1)))
+
+
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
+def exact_state(c: Column | str, name: str, times: Column | str | None = None) -> list[Column]:
+    """Aggregates: the partial sum of a column, as two columns that ``merged_state`` adds up."""
+    coarse, fine = exact_parts(c, times)
+    return [F.sum(coarse).alias(f"{name}__c"), F.sum(fine).alias(f"{name}__f")]
+
+
+def merged_state(name: str) -> list[Column]:
+    return [F.sum(f"{name}__{x}").cast(WHOLE).alias(f"{name}__{x}") for x in "cf"]
+
+
+def state_total(name: str) -> Column:
+    return exact_total(F.col(f"{name}__c"), F.col(f"{name}__f"))
 
 
 def money_sum(c: Column | str, times: Column | str | None = None) -> Column:
     """Aggregate: exact sum of a money column, 0 over no values.
 
-    ``times`` weights each row by a count of identical rows it stands for;
-    in fixed point ``n * v`` equals ``v`` summed n times exactly, so rows can
-    be pre-aggregated before a join without changing the result.  NaN is
-    skipped, as the reference's ``na.rm`` skips it; infinite values and
-    overflow raise.
+    ``times`` weights each row by a count of identical rows it stands for:
+    ``n * v`` equals ``v`` summed n times exactly, so rows can be pre-aggregated
+    before a join without changing the result.  NaN is skipped, as the
+    reference's ``na.rm`` skips it; infinite values and overflow raise.
     """
-    v = fixed(c)
-    if times is not None:
-        v = fixed(c, MONEY_ONCE) * _col(times).cast(TIMES)
-    return F.coalesce(F.sum(v), F.lit(0).cast(MONEY)).cast("double")
+    coarse, fine = exact_parts(c, times)
+    return exact_total(F.sum(coarse), F.sum(fine))
 
 
 def count_where(cond: Column) -> Column:
@@ -128,9 +182,16 @@ def weighted_share(x: Column, w: Column, den: Column) -> Column:
     and null here (D17); a zero term over a zero denominator is NaN there
     and dropped, so only non-zero terms count.
     """
-    term = x * w
-    live = F.count_if(term.isNotNull() & (w != F.lit(0.0)) & (x != F.lit(0.0)))
-    return F.when(live == 0, F.lit(0.0)).otherwise(F.try_divide(money_sum(term), den))
+    return share_of(live_terms(x, w), money_sum(x * w), den)
+
+
+def live_terms(x: Column, w: Column) -> Column:
+    """Aggregate: the terms of a weighted share that are not zero."""
+    return F.count_if((x * w).isNotNull() & (w != F.lit(0.0)) & (x != F.lit(0.0)))
+
+
+def share_of(live: Column, total: Column, den: Column) -> Column:
+    return F.when(live == 0, F.lit(0.0)).otherwise(F.try_divide(total, den))
 
 
 # Stands for a missing shop or item inside a plan (keys never hold a NUL), so
@@ -186,3 +247,21 @@ def null_safe_join(
     rest = [F.col(c) for c in left.columns if c not in keys]
     rest += [F.col(c) for c in r.columns if c not in renamed.values()]
     return joined.select(*key_cols, *rest)
+
+
+SALTS = 16
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """Join rows of ``left`` with those of ``right`` by a key that may be hot on the left.
+
+    The key gets a salt from the column ``spread``, and the right side, a row or
+    few per key, is there once per salt, so a key's rows are dealt to ``salts`` tasks
+    whatever their number.  Neither side's key may be missing (``with_keys``).
+    """
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    every = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
+    joined = left.withColumn("__salt", salt).join(right.withColumn("__salt", every), [key, "__salt"], how)
+    return joined.drop("__salt")

@@ -127,11 +127,20 @@ def _margin_ratios(df: DataFrame) -> DataFrame:
     )
 
 
-def margin_report(item_report: DataFrame, keys: Sequence[str]) -> DataFrame:
+def margin_report(
+    item_report: DataFrame, keys: Sequence[str], row_pattern: str | None = None
+) -> DataFrame:
     """19 sums and 7 ratios of sums per grouping.
 
+    ``row_pattern`` (F8) keeps the rows whose shop name it finds, case-sensitive;
+    a missing name is not found.  The report's joins and aggregations below carry
+    the shop, so the filter reaches the scans of the order lines and of the prices.
+
+
     Shop payments repeat on every item row of a shop and are summed as such
     (D5, kept; see ``margin_report_shop_grain``)."""
+    if row_pattern is not None:
+        item_report = item_report.where(matches("shop_name", row_pattern))
     aggs = [money_sum(c).alias(n) for n, c in MARGIN_SUMS.items()]
     out = item_report.groupBy(*keys).agg(*aggs)
     return _margin_ratios(out).select(*keys, *MARGIN_REPORT_COLUMNS)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sellerdesk.functions.nulls import null_safe_join
+from sellerdesk.functions.nulls import salted_join
 from sellerdesk.sources.fixtures import ORDER_KEY
 
 
@@ -40,9 +40,15 @@ def campaign_dates(unq_sales: DataFrame) -> DataFrame:
     )
 
 
+def first_order_date() -> Column:
+    """Aggregate: the order date of the first row.  File order begins with the order date
+    (missing dates first), so it is the least date, or missing if any is."""
+    return F.when(F.count_if(F.col("order_date").isNull()) == 0, F.min("order_date"))
+
+
 def sales_with_campaign(sales: DataFrame, unq_shop: DataFrame) -> DataFrame:
     """Order lines with their shop's campaign date (outer merge = left join)."""
-    return null_safe_join(sales, unq_shop, ["shop_name"], "left")
+    return salted_join(sales, unq_shop, "shop_name", "invoice", "left")
 
 
 def e_price(sales: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sellerdesk.functions.nulls import MONEY, capped, fixed, matches, money_sum, null_safe_join, ratio
+from sellerdesk.functions.nulls import capped, exact_parts, exact_total, matches, money_sum, null_safe_join, ratio, salted_join
 from sellerdesk.operators.status import BASIC
 
 SHOP_ITEM = ["shop_name", "order_item"]
@@ -55,7 +55,7 @@ def delivery_aggs() -> list[Column]:
 def delivery_days_from(per_item: DataFrame, unq_shop: DataFrame) -> DataFrame:
     """Finish ``delivery_days`` from per shop-item ``delivery_aggs`` columns."""
     per_item = per_item.where(F.col("__n_lines") > 0).select(*SHOP_ITEM, "__lu_days", "__n")
-    j = null_safe_join(per_item, unq_shop, ["shop_name"], "left")
+    j = salted_join(per_item, unq_shop, "shop_name", "order_item", "left")
     days = F.col("__lu_days") - F.col("__n") * F.unix_date("campaign_date")
     return j.select(
         *SHOP_ITEM,
@@ -89,7 +89,7 @@ def capped_rebate(
     are counted per (shop, item, quantity) first, with map-side partial
     aggregation, and only that small table meets the price table: the join
     never sees line grain, and a hot shop costs one row per quantity value.
-    The fixed-point sum makes ``n * rebate`` exactly the sum of n rebates.
+    The exact sum makes ``n * rebate`` the sum of n rebates.
     """
     lines = sales.where(matches("payment_method", method, ignore_case=True))
     per_qty = lines.groupBy(*SHOP_ITEM, "order_quantity").agg(F.count(F.lit(1)).alias("__n"))
@@ -144,8 +144,8 @@ def item_cost(df: DataFrame, name: str = "cost") -> DataFrame:
     w = Window.partitionBy(*SHOP_ITEM)
 
     def part(c: str) -> Column:
-        exact = F.sum(fixed(c)).over(w)
-        return F.coalesce(exact, F.lit(0).cast(MONEY)).cast("double")
+        coarse, fine = exact_parts(c)
+        return exact_total(F.sum(coarse).over(w), F.sum(fine).over(w))
 
     total = (
         part("delivered_and_shipped_seller_price")

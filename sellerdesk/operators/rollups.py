@@ -3,19 +3,28 @@
 Hierarchy: category head > BDM > KAM > mother company > shop, each level
 reported per campaign month.  Weighted averages use the factored form
 ``sum(x * w) / sum(w)`` (``weighted_share``), so no group total is merged
-back onto the rows.  All four levels can be computed in one pass with
-GROUPING SETS: one Expand before the partial aggregate and one exchange;
-levels are told apart by ``grouping_id``, never by a key being null (N4).
+back onto the rows.  All four levels come from one aggregation of the report to
+exact states of the finest level, over which GROUPING SETS run; levels are told
+apart by ``grouping_id``, never by a key being null (N4).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sellerdesk.functions.nulls import money_sum, null_safe_join, ratio, weighted_share
+from sellerdesk.functions.nulls import (
+    exact_state,
+    live_terms,
+    merged_state,
+    null_safe_join,
+    ratio,
+    share_of,
+    state_total,
+)
 
 LEVELS: dict[str, list[str]] = {
     "mc": ["cat_head", "bdm", "kam", "mother_company", "month"],
@@ -70,50 +79,82 @@ LEVEL_REPORT_COLUMNS = [
 ]
 
 
-def invoice_aggs() -> list[Column]:
-    """Invoice and payment sums of the shop invoice report."""
-    src = {
-        "total_invoice": "total_invoice",
-        "processing_invoice": "processing_invoice",
-        "picked_invoice": "picked_invoice",
-        "delivered_and_shipped_invoice": "delivered_and_shipped_inv",
-        "refunded_invoice": "refunded_invoice",
-        "submitted": "corporate_submitted",
-        "approved": "corporate_approved",
-        "paid": "corporate_paid",
-        "due": "corporate_due",
-    }
-    return [money_sum(c).alias(n) for n, c in src.items()]
-
-
-def item_aggs() -> list[Column]:
-    """Value sums and value-weighted rates of the item report."""
-    tov = F.col("total_order_value")
-    return [
-        money_sum(tov).alias("revenue"),
-        money_sum("delivered_and_shipped_value").alias("delivered_and_shipped_value"),
-        money_sum("undelivered_value").alias("undelivered_value"),
-        money_sum("delivered_and_shipped_seller_price").alias("delivered_and_shipped_seller_price"),
-        money_sum("undelivered_seller_price").alias("undelivered_seller_price"),
-        money_sum("cost").alias("cost"),
-        weighted_share(F.col("commission"), tov, money_sum(tov)).alias("avg_commission"),
-        weighted_share(F.col("cost_ratio"), tov, money_sum(tov)).alias("avg_cost_ratio"),
-        weighted_share(
-            F.col("avg_deli_time"), tov, money_sum("delivered_and_shipped_value")
-        ).alias("avg_deli_time"),
-    ]
+# Sums of the shop invoice report (A11) and of the item report (A12): name, source column.
+INVOICE_SUMS = {
+    "total_invoice": "total_invoice",
+    "processing_invoice": "processing_invoice",
+    "picked_invoice": "picked_invoice",
+    "delivered_and_shipped_invoice": "delivered_and_shipped_inv",
+    "refunded_invoice": "refunded_invoice",
+    "submitted": "corporate_submitted",
+    "approved": "corporate_approved",
+    "paid": "corporate_paid",
+    "due": "corporate_due",
+}
+ITEM_SUMS = {
+    "revenue": "total_order_value",
+    "delivered_and_shipped_value": "delivered_and_shipped_value",
+    "undelivered_value": "undelivered_value",
+    "delivered_and_shipped_seller_price": "delivered_and_shipped_seller_price",
+    "undelivered_seller_price": "undelivered_seller_price",
+    "cost": "cost",
+}
+# Rates weighted by order value (A13, A14): name, source column, the sum that divides.
+ITEM_RATES = {
+    "avg_commission": ("commission", "revenue"),
+    "avg_cost_ratio": ("cost_ratio", "revenue"),
+    "avg_deli_time": ("avg_deli_time", "delivered_and_shipped_value"),
+}
+
+
+@dataclass(frozen=True)
+class Measures:
+    """Sums and weighted rates with states that merge: a report is aggregated once, to the
+    finest level, and coarser levels add up its exact states."""
+
+    sums: dict[str, str]
+    rates: dict[str, tuple[str, str]]
+
+    def states(self) -> list[Column]:
+        """Aggregates over report rows."""
+        weight = F.col("total_order_value")
+        aggs = [s for n, c in self.sums.items() for s in exact_state(c, n)]
+        for n, (x, _) in self.rates.items():
+            aggs += exact_state(F.col(x) * weight, n)
+            aggs.append(live_terms(F.col(x), weight).alias(f"{n}__n"))
+        return aggs
+
+    def merged(self) -> list[Column]:
+        """Aggregates over states."""
+        aggs = [s for n in (*self.sums, *self.rates) for s in merged_state(n)]
+        return aggs + [F.sum(f"{n}__n").alias(f"{n}__n") for n in self.rates]
+
+    def values(self) -> list[Column]:
+        rates = [
+            share_of(F.col(f"{n}__n"), state_total(n), state_total(den)).alias(n)
+            for n, (_, den) in self.rates.items()
+        ]
+        return [state_total(n).alias(n) for n in self.sums] + rates
+
+
+INVOICE = Measures(INVOICE_SUMS, {})
+ITEM = Measures(ITEM_SUMS, ITEM_RATES)
 
 
 def _with_refund_ratio(df: DataFrame) -> DataFrame:
     return df.withColumn("avg_refund_ratio", ratio("refunded_invoice", "total_invoice"))
 
 
+def _rollup(report: DataFrame, measures: Measures, keys: Sequence[str]) -> DataFrame:
+    return report.groupBy(*keys).agg(*measures.states()).select(*keys, *measures.values())
+
+
 def invoice_rollup(shop_report: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return _with_refund_ratio(shop_report.groupBy(*keys).agg(*invoice_aggs()))
+    return _with_refund_ratio(_rollup(shop_report, INVOICE, keys))
 
 
 def item_rollup(item_report: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return item_report.groupBy(*keys).agg(*item_aggs())
+    return _rollup(item_report, ITEM, keys)
 
 
 def level_report(shop_report: DataFrame, item_report: DataFrame, level: str) -> DataFrame:
@@ -136,23 +177,29 @@ def _level_name(gid: Column) -> Column:
     return expr
 
 
-def rollup_sets(df: DataFrame, aggs: list[Column]) -> DataFrame:
-    """All four levels in one aggregation (GROUPING SETS), tagged by level."""
+def rollup_sets(df: DataFrame, measures: Measures) -> DataFrame:
+    """All four levels, tagged by level.
+
+    Report rows are aggregated once, to exact states of the finest level; the
+    grouping sets run over those states (one row per mother company and month).
+    """
+    finest = df.groupBy(*ALL_LEVEL_KEYS).agg(*measures.states())
     sets = [[F.col(k) for k in keys] for keys in LEVELS.values()]
-    out = df.groupingSets(sets, *[F.col(k) for k in ALL_LEVEL_KEYS]).agg(
-        *aggs, F.grouping_id().alias("__gid")
+    out = finest.groupingSets(sets, *[F.col(k) for k in ALL_LEVEL_KEYS]).agg(
+        *measures.merged(), F.grouping_id().alias("__gid")
     )
-    return out.withColumn("level", _level_name(F.col("__gid"))).drop("__gid")
+    level = _level_name(F.col("__gid")).alias("level")
+    return out.select(level, *ALL_LEVEL_KEYS, *measures.values())
 
 
 def invoice_rollup_sets(shop_report: DataFrame) -> DataFrame:
-    return _with_refund_ratio(rollup_sets(shop_report, invoice_aggs())).select(
+    return _with_refund_ratio(rollup_sets(shop_report, INVOICE)).select(
         "level", *ALL_LEVEL_KEYS, *INVOICE_MEASURES, "avg_refund_ratio"
     )
 
 
 def item_rollup_sets(item_report: DataFrame) -> DataFrame:
-    return rollup_sets(item_report, item_aggs()).select("level", *ALL_LEVEL_KEYS, *ITEM_MEASURES)
+    return rollup_sets(item_report, ITEM).select("level", *ALL_LEVEL_KEYS, *ITEM_MEASURES)
 
 
 def level_reports(shop_report: DataFrame, item_report: DataFrame) -> DataFrame:
@@ -180,18 +227,13 @@ def hierarchy_totals(item_report: DataFrame) -> DataFrame:
     join on the five keys (broadcast by AQE when the totals are small), so
     the report rows are never shuffled onto the few category-head keys.
     """
-    value, delivered = "total_order_value", "delivered_and_shipped_value"
-    totals = item_report.groupBy(*LEVELS["mc"]).agg(
-        money_sum(value).alias("mc_total_value"), money_sum(delivered).alias("mc_delivered_value")
-    )
-    finer = totals
-    prev = "mc"
-    for level in ("kam", "bdm", "cathead"):
-        keys = LEVELS[level]
-        up = finer.groupBy(*keys).agg(
-            money_sum(f"{prev}_total_value").alias(f"{level}_total_value"),
-            money_sum(f"{prev}_delivered_value").alias(f"{level}_delivered_value"),
-        )
-        totals = null_safe_join(totals, up, keys, "left")
-        finer, prev = up, level
+    sums = {"total_value": "total_order_value", "delivered_value": "delivered_and_shipped_value"}
+    states = [s for n, c in sums.items() for s in exact_state(c, n)]
+    finer = item_report.groupBy(*LEVELS["mc"]).agg(*states)
+    totals = None
+    for level, keys in LEVELS.items():
+        if level != "mc":
+            finer = finer.groupBy(*keys).agg(*[s for n in sums for s in merged_state(n)])
+        up = finer.select(*keys, *[state_total(n).alias(f"{level}_{n}") for n in sums])
+        totals = up if totals is None else null_safe_join(totals, up, keys, "left")
     return null_safe_join(item_report, totals, LEVELS["mc"], "left")

@@ -99,13 +99,16 @@ def invoice_status(
     policy: str | Policy = "basic",
     buckets: Sequence[str] = BUCKETS,
     with_ratio: bool = True,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """Invoice counts per bucket over invoice-first rows (A2, A4, A5)."""
+    """Invoice counts per bucket over invoice-first rows (A2, A4, A5).
+
+    ``extra`` aggregates over the same rows join the same pass."""
     p = _policy(policy)
     df = unq_sales if p.keep is None else unq_sales.where(p.keep())
     aggs = [F.count(F.lit(1)).cast("double").alias(INVOICE_NAMES["total"])]
     aggs += [bucket_count(p.buckets[b]()).alias(INVOICE_NAMES[b]) for b in buckets]
-    out = df.groupBy(*keys).agg(*aggs)
+    out = df.groupBy(*keys).agg(*aggs, *extra)
     if with_ratio:
         out = out.withColumn(
             "refund_ratio", ratio(F.col("refunded_invoice"), F.col("total_invoice"))

@@ -63,7 +63,7 @@ def _shop_invoice_status(r: Reporting) -> DataFrame:
     return r.shop_invoice_status
 
 
-@query("shop_invoice_report", staged=False)
+@query("shop_invoice_report", staged=False, stage_first=False)
 def _shop_invoice_report(r: Reporting) -> DataFrame:
     return r.shop_invoice_report
 
@@ -331,7 +331,7 @@ def _hierarchy_totals(r: Reporting) -> DataFrame:
     return rollups.hierarchy_totals(r.item_report_basic)
 
 
-@query("invoice_rollup_sets", staged=False)
+@query("invoice_rollup_sets", staged=False, stage_first=False)
 def _invoice_rollup_sets(r: Reporting) -> DataFrame:
     return rollups.invoice_rollup_sets(r.shop_invoice_report)
 
@@ -376,6 +376,21 @@ def _campaign_report_shop_grain(r: Reporting) -> DataFrame:
 for _name in campaigns.MARGIN_GROUPINGS:
     query(_name)(lambda r, _n=_name: r.margin_grouping(_n))
 
+# A priority filter as in the original: rows of one kind of shop, before the grouping (F8).
+ROW_PATTERN = "for t10 july (16|30)"
+
+
+@query("margin_by_mc_rows")
+def _margin_by_mc_rows(r: Reporting) -> DataFrame:
+    """F8: the mother-company margins of the shops whose name the pattern finds."""
+    return r.margin_grouping("margin_by_mc", ROW_PATTERN)
+
+
+@query("campaign_report_rows")
+def _campaign_report_rows(r: Reporting) -> DataFrame:
+    """F8 on the campaign comparison: the pattern thins the tagged rows."""
+    return r.margin_grouping("campaign_report", ROW_PATTERN)
+
 
 
 # ---- sources and sinks ---------------------------------------------------------
@@ -521,8 +536,9 @@ def _sink_report(r: Reporting, folder: str) -> DataFrame:
     """The basic item report written as CSV ('NA' for missing) and
     read back with its own schema."""
     report = r.item_report_basic
-    sinks.write_report(report, folder)
-    return files.scan_csv(r.spark, folder, report.schema, null_value=sinks.REPORT_NULL)
+    sinks.publish(report, folder)
+    current = sinks.current_version(r.spark, folder)
+    return files.scan_csv(r.spark, current, report.schema, null_value=sinks.REPORT_NULL)
 
 
 def _bdm_targets(r: Reporting) -> DataFrame:
@@ -559,16 +575,18 @@ def _level_reports_sink(r: Reporting, folder: str) -> DataFrame:
     """The reports of all four levels, computed in one plan, written in a folder
     per level and read back."""
     report = r.level_reports
-    sinks.write_partitioned(report, "level", folder)
-    return r.spark.read.schema(report.schema).parquet(folder).select(*report.columns)
+    sinks.publish(report, folder, lambda df, path: sinks.write_partitioned(df, "level", path))
+    current = sinks.current_version(r.spark, folder)
+    return r.spark.read.schema(report.schema).parquet(current).select(*report.columns)
 
 
 @source_query("campaign_report_sink")
 def _campaign_report_sink(r: Reporting, folder: str) -> DataFrame:
     """The campaign report written as CSV and read back."""
     report = r.margin_grouping("campaign_report")
-    sinks.write_report(report, folder)
-    return files.scan_csv(r.spark, folder, report.schema, null_value=sinks.REPORT_NULL)
+    sinks.publish(report, folder)
+    current = sinks.current_version(r.spark, folder)
+    return files.scan_csv(r.spark, current, report.schema, null_value=sinks.REPORT_NULL)
 
 
 __all__ = ["QUERIES", "SHOP_ITEM"]

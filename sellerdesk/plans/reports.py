@@ -20,6 +20,7 @@ from sellerdesk.functions.nulls import (
     matches,
     null_safe_join,
     ratio,
+    salted_join,
     with_keys,
     without_keys,
 )
@@ -212,8 +213,9 @@ class Reporting:
     @cached_property
     def shop_invoice_report(self) -> DataFrame:
         # unq_shop and the status table cover the same shops (both come from
-        # the invoice-first rows), so the full outer merge is an inner join.
-        j = null_safe_join(self.shop_invoice_status, self.unq_shop, SHOP, "inner")
+        # the invoice-first rows), so one aggregation gives both.
+        date = grains.first_order_date().alias("campaign_date")
+        j = status.invoice_status(self.unq_sales, SHOP, "basic", extra=[date])
         j = null_safe_join(j, self.commercial, SHOP, "left")
         j = null_safe_join(j, self.payments, SHOP, "left")
         j = j.withColumn("month", month_of("campaign_date"))
@@ -232,8 +234,8 @@ class Reporting:
         j = null_safe_join(j, self.catalog_basic.drop("part_key"), SHOP_ITEM, "left")
         j = measures.item_values(j, margin=False)
         j = measures.item_cost(j)
-        j = null_safe_join(j, self.unq_shop, SHOP, "left")
-        j = null_safe_join(j, self.commercial, SHOP, "left")
+        shops = null_safe_join(self.unq_shop, self.commercial, SHOP, "full")
+        j = salted_join(j, shops, "shop_name", "order_item", "left")
         j = j.withColumns(
             {
                 "month": month_of("campaign_date"),
@@ -262,8 +264,8 @@ class Reporting:
         j = measures.item_values(j, margin=True)
         j = measures.item_cost(j)
         shops = null_safe_join(self.unq_shop, self.payments, SHOP, "left")
-        j = null_safe_join(j, shops, SHOP, "inner")
-        j = null_safe_join(j, self.commercial, SHOP, "left")
+        shops = null_safe_join(shops, self.commercial, SHOP, "left")
+        j = salted_join(j, shops, "shop_name", "order_item", "inner")
         j = j.withColumns(
             {
                 "month": month_of("campaign_date"),
@@ -291,8 +293,9 @@ class Reporting:
     def tagged_margin(self) -> DataFrame:
         return campaigns.tag_campaigns(self.item_report_margin)
 
-    def margin_grouping(self, name: str) -> DataFrame:
+    def margin_grouping(self, name: str, row_pattern: str | None = None) -> DataFrame:
+        """One of ``MARGIN_GROUPINGS``; ``row_pattern``: of the rows whose shop name it finds (F8)."""
         keys = campaigns.MARGIN_GROUPINGS[name]
         src = self.tagged_margin if "campaign_name" in keys else self.item_report_margin
-        return campaigns.margin_report(src, keys)
+        return campaigns.margin_report(src, keys, row_pattern)
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +24,9 @@ DEFAULT_CONF = {
 }
 
 
+RUN: ContextVar[str | None] = ContextVar("scratch folder of the current run", default=None)
+
+
 def local_session(
     cores: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "12g", **conf: str
 ) -> SparkSession:
@@ -51,11 +57,28 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused location under the checkpoint folder."""
-    root = checkpoint_root(spark).rstrip("/")
+    """A fresh, never reused location under the checkpoint folder, or under that of the run."""
+    root = (RUN.get() or checkpoint_root(spark)).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """A scratch folder of one run: what is staged inside the block is deleted at its end.
+
+    For jobs that write their results (``sinks.publish``) inside the block; a
+    DataFrame that still reads staged tables must not outlive it.
+    """
+    folder = scratch_path(spark, "run")
+    token = RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        RUN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

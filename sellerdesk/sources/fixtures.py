@@ -19,6 +19,20 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROW_GROUP = 128 << 20  # bytes of a Parquet row group, by the writers' default
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if its files hold fewer row groups.
+
+    A row group is one task's scan, so a table of one would be parsed and
+    aggregated by one core.  Moves at most a row group per core; rows stay the same.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * ROW_GROUP else df
+
+
 # Columns that give the order-line export a total row order ("file order"
 # of the reference).  Unique on every row of the driver data.
 ORDER_KEY = ("order_date", "o_key", "line_no", "part_key", "supp_key", "qty_raw", "ext_price")
@@ -135,6 +149,11 @@ class RawInputs:
             cache[name] = self.spark.read.parquet(path)
         return cache[name]
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        """The line table, dealt over the cores where its files are too small to fill them."""
+        return spread(self.table("lineitem"))
+
     def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
         return self.spark.sql(text, **frames)
 
@@ -146,7 +165,7 @@ class RawInputs:
     def sales(self) -> DataFrame:
         return self._sql(
             SALES_SQL,
-            lineitem=self.table("lineitem"),
+            lineitem=self.lines,
             orders=self.table("orders"),
             shop=self.shop,
             part=self.table("part"),
@@ -166,7 +185,7 @@ class RawInputs:
         """Shop-part pairs that sold; source of the three price tables.  With
         ``staged`` it is written once to the shared folder (three readers)."""
         df = self._sql(
-            PAIRS_SQL, lineitem=self.table("lineitem"), shop=self.shop, part=self.table("part")
+            PAIRS_SQL, lineitem=self.lines, shop=self.shop, part=self.table("part")
         )
         if not self.staged:
             return df
@@ -188,5 +207,5 @@ class RawInputs:
 
     @cached_property
     def bills(self) -> DataFrame:
-        return self._sql(BILLS_SQL, lineitem=self.table("lineitem"), shop=self.shop)
+        return self._sql(BILLS_SQL, lineitem=self.lines, shop=self.shop)
 

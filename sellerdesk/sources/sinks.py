@@ -7,7 +7,10 @@ sheet writes per manager) are one partitioned write.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # How a missing value is spelled in written reports.
@@ -30,6 +33,75 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
     return path
 
 
+# ---- publishing ------------------------------------------------------------
+# A published report is a folder of versions and a small file that names the
+# current one.  The file is replaced by one rename after the version is whole,
+# so a run that dies at any point leaves the report as it was.
+CURRENT = "_CURRENT"
+
+
+def _filesystem(spark: SparkSession, path: str):
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    return jvm, jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.java.net.URI(path), conf)
+
+
+def _jpath(jvm, path: str):
+    return jvm.org.apache.hadoop.fs.Path(path)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of the published version of the report at ``path``; None before the first."""
+    jvm, files = _filesystem(spark, path)
+    name = _jpath(jvm, f"{path}/{CURRENT}")
+    if not files.util().exists(name):
+        return None
+    stream = files.open(name)
+    try:
+        return f"{path}/" + jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+
+
+def publish(
+    df: DataFrame,
+    path: str,
+    write: Callable[[DataFrame, str], object] = write_report,
+    keep: int = 2,
+) -> str:
+    """Write a new version of the report at ``path`` and switch to it.
+
+    Readers take :func:`current_version`.  ``keep`` versions stay, the published
+    one included, for readers that are not done with it; older ones, and what runs
+    that died have left, are deleted after the switch.
+    """
+    spark = df.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    before = current_version(spark, path)
+    write(df, f"{path}/{version}")
+    jvm, files = _filesystem(spark, path)
+    fresh = _jpath(jvm, f"{path}/{CURRENT}-{version}")
+    flags = jvm.java.util.EnumSet.of(jvm.org.apache.hadoop.fs.CreateFlag.CREATE)
+    no_options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.CreateOpts, 0)
+    out = files.create(fresh, flags, no_options)
+    out.write(bytearray(version.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(fresh, _jpath(jvm, f"{path}/{CURRENT}"), overwrite)
+    _delete_old(spark, path, version, before, keep)
+    return f"{path}/{version}"
+
+
+def _delete_old(spark: SparkSession, path: str, version: str, before: str | None, keep: int) -> None:
+    jvm, files = _filesystem(spark, path)
+    found = [s for s in files.util().listStatus(_jpath(jvm, path)) if s.getPath().getName().startswith("version-")]
+    found.sort(key=lambda s: s.getModificationTime(), reverse=True)
+    last = before.rsplit("/", 1)[1] if before else ""
+    order = sorted(found, key=lambda s: [version, last].index(s.getPath().getName()) if s.getPath().getName() in (version, last) else 2)
+    for s in order[max(keep, 1) :]:
+        files.delete(s.getPath(), True)
+
+
 def write_partitioned(df: DataFrame, column: str, path: str) -> str:
     """One folder per value of ``column``, Parquet; a hot value has several writers."""
     df.hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(path)
