@@ -56,6 +56,8 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.bits = (int(x) for x in arrays["shape"])
         self.low, self.upper, self.zeros = arrays["low"], arrays["upper"], arrays["zeros"]
+        self.ones = None
+        self.top = self.at(np.array([self.n - 1]))[0] if self.n else U64(0)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         at = i * self.bits
@@ -70,6 +72,15 @@ class EliasFano:
         rank = k - self.zeros[word].astype(np.int64)
         return word * 64 + _select_in_word(~self.upper[word], rank)
 
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The values at indices."""
+        i = np.asarray(i, np.int64)
+        ones = 64 * np.arange(len(self.zeros), dtype=np.int64) - self.zeros if self.ones is None else self.ones
+        self.ones = ones  # set bits before each word
+        word = np.searchsorted(ones, i, side="right") - 1
+        high = word * 64 + _select_in_word(self.upper[word], i - ones[word]) - i
+        return (high.astype(np.uint64) << U64(self.bits)) | self._low(i)
+
     def values(self) -> np.ndarray:
         """All values (for tests and small sequences)."""
         flags = np.unpackbits(np.asarray(self.upper).view(np.uint8), bitorder="little")

@@ -2,20 +2,26 @@
 
 Level 1 is the vocabulary: 64-bit word hashes in order; a word's id is its place.
 Level k holds, for each node of level k - 1 (a context), its successors by word
-id: the key of an n-gram is context * V + word, relative to the context, and the
-keys of a level increase.  Per node there are an exact count (levels that are
-contexts), and 8-bit codes of its smoothed log-probability and, as a context, of
-its back-off weight.  Monotone pointers give the range of a context's
-successors.  Smoothing is Dirichlet's,
-p(w | h) = (c(hw) + K p(w | h')) / (c(h) + K), down to add-one unigrams, so an
-unseen successor costs the factor K / (c(h) + K).
-
-A level is cut into shards of about ``SHARD_TOKENS`` training tokens by key (a
-hot context is cut among its successors), each built by one task and written as
-one file in the shared folder; the manifest that Spark commits names the files.
-Counting folds equal n-grams in the tasks that read the texts, which send sorted,
-delta-coded blocks to the shards.  Readers map the files, look n-grams up in
-sorted order, and hold in memory only what they touch.
+id.  Two monotone sequences, both Elias-Fano coded, make a level: pointers, which
+give the range of each context's successors, and the successors, each range
+lifted above the last value of the range before it.  A look-up takes the
+context's range from the pointers, the lift from the value before the range, and
+searches the lifted word id; a context without successors ends there.
+
+Per node there are an exact count (levels that are contexts), and 8-bit codes of
+its smoothed log-probability and, as a context, of its back-off weight.
+Smoothing is Dirichlet's, p(w | h) = (c(hw) + K p(w | h')) / (c(h) + K), down to
+add-one unigrams, so an unseen successor costs the factor K / (c(h) + K).
+
+A level is cut into shards of about ``SHARD_TOKENS`` training tokens by (context,
+word), a hot context among its successors; each shard is built by one task and
+written as one file in the shared folder, and the manifest that Spark commits
+names the files.  Counting folds equal n-grams in the tasks that read the texts,
+which send sorted, delta-coded blocks to the shards, with the coded probability
+of the shorter n-gram, whose node they have looked up anyway.  A run of texts is
+cut into words by whole arrays, and each distinct word is hashed and looked up
+once.  Readers map the files, ``OPEN`` shards of a level at a time, look n-grams
+up in sorted order, and hold in memory only what they touch.
 
 Words are told apart by 64-bit hashes.  Keys must fit 63 bits: V^2 for two levels.
 """
@@ -24,25 +30,26 @@ from __future__ import annotations
 
 import json
 import mmap
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from sellerdesk.llm.common import bounded_batches, drop_used_shuffles
+from sellerdesk.llm.common import bounded_batches, drop_used_shuffles, planes, unplanes
 from sellerdesk.llm.elias_fano import EliasFano, build
 from sellerdesk.session import scratch_path, stage
 
 SHARD_TOKENS = 2_000_000
-FLUSH_TOKENS = 2_000_000  # tokens that a task gathers before it counts or scores
+FLUSH_BYTES = 8 << 20  # of texts that a task gathers before it counts or scores
+OPEN = 64  # shards of a level that a reader holds mapped
 K = 4.0  # weight of the shorter context
 CODE = 12.0 / 255  # step of a code: log10 down to -12
 END = xxh3_64_intdigest(b"\n")  # no word holds white space
@@ -68,19 +75,14 @@ def write_arrays(folder: str, arrays: dict[str, np.ndarray]) -> str:
 
 
 def map_arrays(folder: str, path: str) -> dict[str, np.ndarray]:
-    """Memory-map a file of :func:`write_arrays`; from another store it is fetched first,
-    into a file that has no name and goes with the mapping."""
+    """Memory-map a file of :func:`write_arrays`; from a store without files it is read."""
     files, _ = pafs.FileSystem.from_uri(folder)
     if isinstance(files, pafs.LocalFileSystem):
-        source = open(path, "rb")  # noqa: SIM115
+        with open(path, "rb") as source:
+            raw = mmap.mmap(source.fileno(), 0, access=mmap.ACCESS_READ)
     else:
-        source = tempfile.TemporaryFile()  # noqa: SIM115
-        with files.open_input_stream(path, compression=None) as remote:
-            while part := remote.read(1 << 20):
-                source.write(part)
-        source.flush()
-    with source:
-        raw = mmap.mmap(source.fileno(), 0, access=mmap.ACCESS_READ)
+        with files.open_input_file(path) as source:
+            raw = source.read()
     size = int.from_bytes(raw[:8], "little")
     start = -(-(8 + size) // 64) * 64
     head = json.loads(raw[8 : 8 + size])
@@ -103,50 +105,84 @@ class Shard:
 
 
 class Level:
-    """The shards of a level, mapped when first used."""
+    """The shards of a level; the ``OPEN`` last used are mapped."""
 
-    def __init__(self, folder: str, shards: list[Shard]):
-        self.folder, self.shards = folder, shards
+    def __init__(self, folder: str, shards: list[Shard], n_types: int = 0):
+        self.folder, self.shards, self.n_types = folder, shards, n_types
         self.firsts = np.array([s.first for s in shards], np.uint64)
-        self.open: dict[int, tuple[EliasFano, dict]] = {}
+        self.ends = np.array([s.offset + s.size for s in shards], np.int64)
+        self.open: OrderedDict[int, tuple[EliasFano, EliasFano | None, dict]] = OrderedDict()
 
-    def shard(self, i: int) -> tuple[EliasFano, dict]:
+    def shard(self, i: int) -> tuple[EliasFano, EliasFano | None, dict]:
         if i not in self.open:
             arrays = map_arrays(self.folder, self.shards[i].path)
-            self.open[i] = EliasFano(arrays), arrays
+            own = {n.removeprefix("pointer_"): a for n, a in arrays.items() if n.startswith("pointer_")}
+            self.open[i] = EliasFano(arrays), EliasFano(own) if own else None, arrays
+            if len(self.open) > OPEN:
+                self.open.popitem(last=False)
+        self.open.move_to_end(i)
         return self.open[i]
 
-    def _parts(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
-        """The shard of each run of sorted keys."""
-        cuts = np.searchsorted(keys, self.firsts[1:], side="left")
-        edges = np.concatenate(([0], cuts, [len(keys)]))
-        for i in np.flatnonzero(np.diff(edges)):
-            yield int(i), slice(int(edges[i]), int(edges[i + 1]))
-
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(node, found) of sorted keys."""
+        """(node, found) of sorted keys: word hashes, or context * V + word."""
         node, found = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         if not self.shards:
             return node, found
-        for i, part in self._parts(keys):
-            s, own = self.shards[i], keys[part]
+        cuts = np.searchsorted(keys, self.firsts[1:], side="left")
+        edges = np.concatenate(([0], cuts, [len(keys)]))
+        for i in np.flatnonzero(np.diff(edges)):
+            s, part = self.shards[i], slice(int(edges[i]), int(edges[i + 1]))
+            own = keys[part]
             inside = (own >= np.uint64(s.first)) & (own - np.uint64(s.first) <= np.uint64(s.universe - 1))
-            at, hit = self.shard(i)[0].find(own[inside] - np.uint64(s.first))
+            successors, pointers, _ = self.shard(int(i))
+            if pointers is None:
+                at, hit = successors.find(own[inside] - np.uint64(s.first))
+            else:
+                at, hit = self._successor(successors, pointers, s.first, own[inside])
             n, f = np.zeros(len(own), np.int64), np.zeros(len(own), bool)
             n[inside], f[inside] = at + s.offset, hit
             node[part], found[part] = n, f
         return node, found
 
+    def _successor(
+        self, successors: EliasFano, pointers: EliasFano, first: int, keys: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Search each word in its context's range."""
+        context, word = np.divmod(keys, np.uint64(self.n_types))
+        contexts, back = np.unique(context, return_inverse=True)
+        c = (contexts - np.uint64(first // self.n_types)).astype(np.int64)
+        lo = pointers.at(c).astype(np.int64) - c
+        hi = pointers.at(c + 1).astype(np.int64) - c - 1
+        lift = np.zeros(len(c), np.uint64)
+        held = np.flatnonzero((lo > 0) & (lo < hi))
+        lift[held] = successors.at(lo[held] - 1) + np.uint64(1)
+        lo, hi, lift = lo[back], hi[back], lift[back]
+        at, hit = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        some = np.flatnonzero(lo < hi)
+        top = successors.top
+        lifted = lift[some] + word[some]
+        some, lifted = some[lifted <= top], lifted[lifted <= top]
+        at[some], hit[some] = successors.find(lifted)
+        return at, hit & (at >= lo) & (at < hi)
+
     def get(self, name: str, nodes: np.ndarray) -> np.ndarray:
         """Array ``name`` at sorted nodes."""
         parts = []
-        edges = np.searchsorted(nodes, [s.offset + s.size for s in self.shards], side="left")
+        edges = np.searchsorted(nodes, self.ends, side="left")
         for i in np.flatnonzero(np.diff(np.concatenate(([0], edges)))):
             own = nodes[0 if i == 0 else edges[i - 1] : edges[i]]
-            parts.append(self.shard(int(i))[1][name][own - self.shards[i].offset])
+            parts.append(self.shard(int(i))[2][name][own - self.shards[i].offset])
         return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
+def lifted_ranges(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Word ids of sorted (context, word), each context's above the last of the context before."""
+    start = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    last = np.append(start[1:], len(word)) - 1
+    lifts = np.cumsum(word[last] + np.uint64(1)) - (word[last] + np.uint64(1))
+    return word + np.repeat(lifts, np.diff(np.append(start, len(word))))
+
+
 def code_of(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(p) / CODE), 0, 255).astype(np.uint8)
 
@@ -159,14 +195,18 @@ class Model:
     levels: list[list[Shard]]
 
     def opened(self) -> list[Level]:
-        return [Level(self.folder, shards) for shards in self.levels]
+        return [Level(self.folder, shards, self.n_types) for shards in self.levels]
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return (count + 1) / (self.n_tokens + self.n_types + 1)
 
 
 def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_inverse=True)
+    codes, values = pd.factorize(keys)
+    order = np.argsort(values)
+    place = np.empty(len(values), np.int64)
+    place[order] = np.arange(len(values))
+    return values[order], place[codes]
 
 
 class Reader:
@@ -198,15 +238,13 @@ class Reader:
         keys, back = _unique(nodes)
         return self.levels[k].get(name, keys)[back]
 
-    def log_probabilities(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(count, unigram log10 p, model log10 p) of tokens; ``first``: begins a text."""
-        word, count = self.words(hashes)
+    def log_probabilities(self, run: Run) -> tuple[np.ndarray, ...]:
+        """(count, unigram log10 p, model log10 p) of the tokens of a run."""
+        word, count = (a[run.codes] for a in self.words(run.words))
         base = np.log10(self.model.unigram(count))
         score, node = base, word
-        begin = np.flatnonzero(first)
         for k in range(1, len(self.levels)):
-            context = np.concatenate(([-1], node[:-1]))
-            context[begin] = -1
+            context = run.before(node)
             found = self.step(k, context, word)
             lower = score.copy()
             has = np.flatnonzero(context >= 0)
@@ -220,39 +258,58 @@ class Reader:
 # --------------------------------------------------------------- counting
 
 
-def token_hashes(text: bytes | None) -> np.ndarray:
-    words = text.lower().split() if text else []
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-    out[-1] = END
-    return out
-
+SOLID = np.ones(256, bool)
+SOLID[[9, 10, 11, 12, 13, 32]] = False
+LOWER_CASE = np.arange(256, dtype=np.uint8)
+LOWER_CASE[65:91] += 32
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(ids, lengths, hashes) of runs of texts of about FLUSH_TOKENS tokens."""
-    ids, runs, size = [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(doc_id)
-            runs.append(token_hashes(text))
-            size += len(runs[-1])
-            if size >= FLUSH_TOKENS:
-                yield ids, np.array([len(r) for r in runs]), np.concatenate(runs)
-                ids, runs, size = [], [], 0
-    if ids:
-        yield ids, np.array([len(r) for r in runs]), np.concatenate(runs)
 
+class Run:
+    """The tokens of a run of texts: distinct ``words`` (hashes, the end first) and ``codes`` into them."""
 
-def _planes(a: np.ndarray) -> bytes:
-    """Compressed byte planes: the high bytes of small numbers cost nothing."""
-    raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T)
-    return zstandard.ZstdCompressor(level=1).compress(raw.tobytes())
+    def __init__(self, tags: list, texts: list[bytes]):
+        self.tags = tags
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        solid = SOLID[raw]
+        edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+        edges = np.append(0, edges) if solid[0] else edges
+        starts, ends = edges[::2], edges[1::2]
+        offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(LOWER_CASE[raw[solid]])]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.words = np.empty(len(distinct) + 1, np.uint64)
+        self.words[0] = END
+        self.words[1:] = np.fromiter(map(xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+        own = np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])), prepend=0)
+        self.lengths = own + 1
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        inside = np.ones(len(starts) + len(texts), bool)
+        inside[self.begin + own] = False
+        self.codes = np.zeros(len(inside), np.int64)
+        self.codes[inside] = coded.indices.to_numpy() + 1
+
+    def before(self, node: np.ndarray) -> np.ndarray:
+        """The node before each token, -1 where a text begins."""
+        out = np.concatenate(([-1], node[:-1]))
+        out[self.begin] = -1
+        return out
 
 
-def _unplanes(raw: bytes, kind: type) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(flat.reshape(width, -1).T).view(kind).ravel()
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
+    """Runs of about FLUSH_BYTES of texts; tags are the other columns."""
+    tags, texts, size = [], [], 0
+    for batch in batches:
+        text, *rest = (c.to_pylist() for c in batch.columns)
+        for t, *tag in zip(text, *rest, strict=True):
+            tags.append(tag)
+            texts.append(t or b"")
+            size += len(texts[-1])
+            if size >= FLUSH_BYTES:
+                yield Run(tags, texts)
+                tags, texts, size = [], [], 0
+    if texts:
+        yield Run(tags, texts)
 
 
 def _signed(hashes: np.ndarray) -> np.ndarray:
@@ -304,8 +361,8 @@ def _shards(manifest: DataFrame, n_types: int) -> tuple[list[Shard], list[int]]:
 
 def _vocabulary(train: DataFrame, folder: str) -> tuple[DataFrame, int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, hashes in _gathered(batches):
-            word, n = np.unique(hashes, return_counts=True)
+        for run in _runs(batches):
+            word, n = run.words, np.bincount(run.codes, minlength=len(run.words))
             for lo in range(0, len(word), 1 << 16):
                 part = slice(lo, lo + (1 << 16))
                 yield pa.RecordBatch.from_arrays(
@@ -350,43 +407,36 @@ def _next_level(train: DataFrame, model: Model, firsts: list[int], order: int) -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
-        for _, lengths, hashes in _gathered(batches):
-            begin = np.cumsum(lengths) - lengths
-            first = np.zeros(len(hashes), bool)
-            first[begin] = True
-            word, n = reader.words(hashes)
-            context = np.concatenate(([-1], word[:-1]))
-            context[begin] = -1
-            lower = None
-            if k > 1:  # the context's node, and the probability after the shorter context
-                node = word
-                for i in range(1, k):
-                    node = reader.step(i, context, word)
-                    context = np.concatenate(([-1], node[:-1]))
-                    context[begin] = -1
-                lower = reader.log_probabilities(hashes, first)[2]
+        for run in _runs(batches):
+            word = reader.words(run.words)[0][run.codes]
+            node, context = word, run.before(word)
+            for i in range(1, k):
+                node = reader.step(i, context, word)
+                context = run.before(node)
             use = np.flatnonzero(context >= 0)
             keys = context[use].astype(np.uint64) * np.uint64(model.n_types) + word[use].astype(np.uint64)
             keys, at, n = np.unique(keys, return_index=True, return_counts=True)
+            low = None  # the n-gram without its first word was counted, so it has a node
+            if k > 1:
+                low = reader.get(k - 1, "prob", node[use[at]])
             cuts = np.searchsorted(keys, edges, side="left").tolist() + [len(keys)]
             for shard in range(len(edges)):
                 part = slice(cuts[shard], cuts[shard + 1])
                 if part.start < part.stop:
-                    low = b"" if lower is None else _planes(lower[use][at[part]].astype(np.float32))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([shard], pa.int32()),
-                            pa.array([_planes(np.diff(keys[part], prepend=np.uint64(0)))], pa.binary()),
-                            pa.array([_planes(n[part].astype(np.uint32))], pa.binary()),
-                            pa.array([low], pa.binary()),
+                            pa.array([planes(np.diff(keys[part], prepend=np.uint64(0)))], pa.binary()),
+                            pa.array([planes(n[part].astype(np.uint32))], pa.binary()),
+                            pa.array([b"" if low is None else planes(low[part])], pa.binary()),
                         ],
                         names=["shard", "keys", "counts", "lower"],
                     )
 
     def make(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        keys = np.concatenate([np.cumsum(_unplanes(b, np.uint64), dtype=np.uint64) for b in table.column("keys").to_pylist()])
-        n = np.concatenate([_unplanes(b, np.uint32) for b in table.column("counts").to_pylist()])
+        keys = np.concatenate([np.cumsum(unplanes(b, np.uint64), dtype=np.uint64) for b in table.column("keys").to_pylist()])
+        n = np.concatenate([unplanes(b, np.uint32) for b in table.column("counts").to_pylist()])
         by = np.argsort(keys, kind="stable")
         keys, n = keys[by], n[by].astype(np.uint64)
         start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -397,16 +447,19 @@ def _next_level(train: DataFrame, model: Model, firsts: list[int], order: int) -
         if k == 1:
             lower = model.unigram(reader.get(0, "count", word.astype(np.int64)))
         else:
-            parts = [_unplanes(b, np.float32) for b in table.column("lower").to_pylist()]
-            lower = 10.0 ** np.concatenate(parts)[by][start].astype(np.float64)
+            parts = [unplanes(b, np.uint8) for b in table.column("lower").to_pylist()]
+            lower = 10.0 ** (np.concatenate(parts)[by][start] * -CODE)
         before = reader.get(k - 1, "count", context.astype(np.int64)).astype(np.float64)
         first = firsts[shard]
         universe = (firsts[shard + 1] if shard + 1 < len(firsts) else end) - first
-        arrays = build(keys - np.uint64(first), universe)
+        values = lifted_ranges(context, word)
+        arrays = build(values, int(values[-1]) + 1)
         arrays["prob"] = code_of((n + K * lower) / (before + K))
-        head = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-        # monotone pointers: the first successor of each context of the shard
-        arrays |= {f"pointer_{x}": a for x, a in build(head, len(keys) + 1).items()}
+        # the first successor of each context that the shard may hold, and the end
+        origin = first // model.n_types
+        held = np.arange((first + universe - 1) // model.n_types - origin + 2, dtype=np.uint64)
+        pointers = np.searchsorted(context, held + np.uint64(origin)).astype(np.uint64) + held
+        arrays |= {f"pointer_{x}": a for x, a in build(pointers, int(pointers[-1]) + 1).items()}
         if not last_level:
             arrays |= {"count": n, "back": code_of(K / (n + K))}
         path = write_arrays(model.folder, arrays)
@@ -417,7 +470,7 @@ def _next_level(train: DataFrame, model: Model, firsts: list[int], order: int) -
 
 
 def train_model(texts: DataFrame, order: int = 2) -> Model:
-    """Fit the trie on ``texts(doc_id, text)``, text as binary; no rows give an empty model."""
+    """Fit the trie on ``texts(text)``, text as binary; no rows give an empty model."""
     spark: SparkSession = texts.sparkSession
     bounded_batches(spark, 8)
     drop_used_shuffles(spark)
@@ -439,17 +492,9 @@ def score_texts(texts: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
-
-        def tagged() -> Iterator[pa.RecordBatch]:
-            for batch in batches:  # the id and the flag travel as one value
-                pair = [*zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-                yield _Tagged(pair, batch.column(1))
-
-        for pairs, lengths, hashes in _gathered(tagged()):
-            begin = np.cumsum(lengths) - lengths
-            first = np.zeros(len(hashes), bool)
-            first[begin] = True
-            count, base, score = reader.log_probabilities(hashes, first)
+        for texts_run in _runs(batches):
+            count, base, score = reader.log_probabilities(texts_run)
+            pairs, lengths, begin = texts_run.tags, texts_run.lengths, texts_run.begin
             arrays = [
                 pa.array([p[0] for p in pairs], pa.int64()),
                 pa.array([p[1] for p in pairs], pa.bool_()),
@@ -460,21 +505,7 @@ def score_texts(texts: DataFrame, model: Model) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return texts.select("doc_id", "text", "held_out").mapInArrow(run, schema)
-
-
-class _Tagged:
-    """Two columns as :func:`_gathered` reads them."""
-
-    def __init__(self, tags: list, texts: pa.Array):
-        self.columns = (self, texts)
-        self.tags = tags
-
-    def column(self, i: int):
-        return self.columns[i]
-
-    def to_pylist(self) -> list:
-        return self.tags
+    return texts.select("text", "doc_id", "held_out").mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, order: int = 2, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -492,6 +523,6 @@ def score_documents(docs: DataFrame, order: int = 2, folds: int = 7, fold: int =
         F.col("text").cast("binary").alias("text"),
         F.coalesce(remainder == fold, F.lit(False)).alias("held_out"),
     )
-    model = train_model(texts.where(~F.col("held_out")).select("doc_id", "text"), order)
+    model = train_model(texts.where(~F.col("held_out")).select("text"), order)
     scored = score_texts(texts, model)
     return scored.withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
