@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sellerdesk.llm.common import DRAW_RANGE, draw, n_words
+from sellerdesk.llm.common import DRAW_RANGE, draw, n_words, row_of
 from sellerdesk.session import stage
 
 BUCKET_ROWS = 4096
@@ -180,7 +180,7 @@ def mixed_documents(docs: DataFrame, max_epochs: int = 3, seed: int = SEED) -> D
     rows = stage(narrow(docs, seed), "mix-rows")
     plan = mixing_plan(rows, max_epochs)
     keyed = docs.select(  # the row apart, as its columns may have any names
-        F.struct(*docs.columns).alias("row"),
+        row_of(docs).alias("row"),
         "source",
         draw(seed, F.col("doc_id"), F.col("text")).alias("draw"),
     )

@@ -26,10 +26,10 @@ BUCKET_ROWS = 4096
 
 
 def _bucket_starts(counts: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Exclusive prefix sum of ``n`` over buckets (one row per bucket)."""
+    """Exclusive prefix sum of ``_n`` over buckets (one row per bucket)."""
     w = Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
     w = w.rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
+    return counts.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
 
 
 def interleave_shards(
@@ -71,16 +71,16 @@ def interleave_shards(
     )
     # 2. rank inside the source: rows of earlier buckets + place in the own bucket
     starts = _bucket_starts(
-        placed.groupBy(F.col(strata).alias("_s"), F.col("_b").alias("_sb")).agg(F.count("*").alias("n")),
+        placed.groupBy(F.col(strata).alias("_s"), F.col("_b").alias("_sb")).agg(F.count("*").alias("_n")),
         ["_s"],
         "_sb",
     )
     placed = placed.join(starts, same(strata, "_s") & (F.col("_b") == F.col("_sb")), "left")
     ties = [c for c in ("_draw", key, digest) if c]
     inside = Window.partitionBy(strata, "_b").orderBy(*ties)
-    rank = F.col("start") + F.row_number().over(inside)
+    rank = F.col("_start") + F.row_number().over(inside)
     placed = placed.withColumn("_frac", (rank - F.lit(1) + F.col("_phase")) / F.col("_size"))
-    placed = placed.drop("_s", "_sb", "_b", "start", "_size", "_phase")
+    placed = placed.drop("_s", "_sb", "_b", "_start", "_size", "_phase")
     # 3. global place by fractional rank, again in buckets
     n_buckets = -(-total // BUCKET_ROWS)
     placed = stage(
@@ -90,18 +90,18 @@ def interleave_shards(
         "shard-ranks",
     )
     starts = _bucket_starts(
-        placed.groupBy(F.col("_b").alias("_sb")).agg(F.count("*").alias("n")), [], "_sb"
+        placed.groupBy(F.col("_b").alias("_sb")).agg(F.count("*").alias("_n")), [], "_sb"
     )
     placed = placed.join(starts, F.col("_b") == F.col("_sb"), "left")
     inside = Window.partitionBy("_b").orderBy("_frac", strata, *ties)
-    place = F.col("start") + F.row_number().over(inside) - F.lit(1)
+    place = F.col("_start") + F.row_number().over(inside) - F.lit(1)
     placed = placed.withColumn("_place", place)
     # 4. equal cuts
     shard = F.expr(f"_place * {n_shards} div {total}")
     placed = placed.withColumn("shard", shard.cast("int"))
     first = F.expr(f"(cast(shard as bigint) * {total} + {n_shards - 1}) div {n_shards}")
     return placed.withColumn("slot", F.col("_place") - first).drop(
-        "_draw", "_frac", "_b", "_sb", "start", "_place"
+        "_draw", "_frac", "_b", "_sb", "_start", "_place"
     )
 
 

@@ -49,10 +49,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents without passages of 35 words and more that occur elsewhere.
 
     Texts that lose words are joined by single spaces and counted anew; a
-    document that loses all of them stays, with an empty text.
+    document that loses all of them stays, with an empty text.  A table without
+    ``n_chars`` stays without it.
     """
     cut = substring.deduped_text(docs, min_words=35)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    kinds = {f.name: f.dataType for f in docs.schema if f.name.lower() == "n_chars"}
+    return cut.withColumns({name: F.length("text").cast(kind) for name, kind in kinds.items()})
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

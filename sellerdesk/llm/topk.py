@@ -6,9 +6,12 @@ matrix product, of which only the k best candidates per query leave the task.
 The lists are merged as a tree: inside tasks (the rank limit below the
 exchange), then over groups of candidate blocks, then per query.
 
-Query blocks are copied to ``salts`` groups of candidate blocks, candidate
-blocks to each query block, and both meet by an equality join on (query block,
-salt): nothing is broadcast, and a tile's memory is bounded by two blocks.
+Tiles lie on a grid.  Query blocks are dealt to its rows, candidate blocks to its
+columns, ``EDGE`` blocks to each or fewer where that gives the cores too few cells;
+a query block is copied to every column and a candidate block to every row, and
+both meet by an equality join on the cell.  So a block is copied once per ``EDGE``
+blocks of the other side, nothing is broadcast, and a tile's memory is bounded by
+two blocks.  Cells are held in the narrowest integers that are exact.
 """
 
 from __future__ import annotations
@@ -24,7 +27,15 @@ from pyspark.sql import functions as F
 from sellerdesk.llm.common import bounded_batches
 from sellerdesk.session import stage
 
-BLOCK = "block long, n int, dim int, ids binary, cells binary"
+EDGE = 32  # blocks of a row or column of the grid
+BLOCK = "block long, n int, dim int, width int, ids binary, cells binary"
+
+
+def narrowest(cells: np.ndarray) -> np.ndarray:
+    """The cells in 2, 4 or 8 bytes each, whichever holds them all first."""
+    top = int(np.abs(cells).max(initial=0))
+    kind = np.int16 if top < 1 << 15 else np.int32 if top < 1 << 31 else np.int64
+    return np.ascontiguousarray(cells, kind)
 
 
 def _packer(rows: int):
@@ -37,14 +48,16 @@ def _packer(rows: int):
         def block(ids: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
             nonlocal seq
             order = np.argsort(ids, kind="stable")
+            narrow = narrowest(cells[order])
             seq += 1
             return pa.RecordBatch.from_pydict(
                 {
                     "block": [(part << 32) + seq - 1],
                     "n": pa.array([len(ids)], pa.int32()),
                     "dim": pa.array([cells.shape[1]], pa.int32()),
+                    "width": pa.array([narrow.itemsize], pa.int32()),
                     "ids": [ids[order].tobytes()],
-                    "cells": [np.ascontiguousarray(cells[order]).tobytes()],
+                    "cells": [narrow.tobytes()],
                 }
             )
 
@@ -111,15 +124,17 @@ def _tiles(k: int):
             for t in batch.to_pylist():
                 q_ids = np.frombuffer(t["q_ids"], np.int64)
                 c_ids = np.frombuffer(t["c_ids"], np.int64)
-                q = np.frombuffer(t["q_cells"], np.int64).reshape(len(q_ids), t["dim"])
-                c = np.frombuffer(t["c_cells"], np.int64).reshape(len(c_ids), t["dim"])
+                q, c = (
+                    np.frombuffer(t[f"{x}_cells"], f"i{t[f'{x}_width']}").astype(np.int64).reshape(len(i), t["dim"])
+                    for x, i in (("q", q_ids), ("c", c_ids))
+                )
                 for lo in range(0, len(q_ids), 256):  # bounds the scores held at once
                     part = slice(lo, lo + 256)
                     scores = inner_products(q[part], c)
                     row, col = tile_top(scores, q_ids[part][:, None] != c_ids[None, :], k)
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "qn": pa.array(np.full(len(row), t["qn"]), pa.int64()),
+                            "qb": pa.array(np.full(len(row), t["qb"]), pa.int64()),
                             "q_row": pa.array(row + lo, pa.int64()),
                             "query_id": pa.array(q_ids[part][row], pa.int64()),
                             "vec_id": pa.array(c_ids[col], pa.int64()),
@@ -137,7 +152,7 @@ def exact_top_k(
     k: int = 5,
     query_rows: int = 1024,
     candidate_rows: int = 4096,
-    salts: int = 16,
+    edge: int = EDGE,
 ) -> DataFrame:
     """Each query's k candidates with the highest integer inner products.
 
@@ -163,32 +178,32 @@ def exact_top_k(
     )
     queries = clean.where(is_query).mapInArrow(_packer(query_rows), BLOCK)
     queries = stage(queries, "topk-queries")
-    numbered = F.row_number().over(Window.orderBy("block")) - 1
-    ids = queries.select(
-        numbered.cast("long").alias("qn"),
-        F.col("dim").alias("qdim"),
-        F.col("ids").alias("q_ids"),
-        F.col("cells").alias("q_cells"),
-    ).withColumn("qsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    n_blocks = queries.count()
-    numbers = F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))
-    blocks = clean.mapInArrow(_packer(candidate_rows), BLOCK).select(
-        F.col("block").alias("cb"),
-        "dim",
-        F.col("ids").alias("c_ids"),
-        F.col("cells").alias("c_cells"),
-        F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"),
-        F.explode(numbers if n_blocks else F.array().cast("array<bigint>")).alias("cqn"),
-    )
-    same_tile = (F.col("cqn") == F.col("qn")) & (F.col("salt") == F.col("qsalt"))
-    tiles = blocks.join(ids, same_tile & (F.col("dim") == F.col("qdim"))).select(
-        "qn", "cb", "dim", "q_ids", "q_cells", "c_ids", "c_cells"
-    )
+    cores = spark.sparkContext.defaultParallelism
+    n_queries = max(1, queries.count())  # blocks
+    n_rows = -(-n_queries // edge)
+    n_candidates = max(1, -(-vectors.count() // candidate_rows))
+    n_columns = max(-(-n_candidates // edge), min(n_candidates, -(-cores // n_rows)))
+
+    def place(n: int, seed: int):
+        return F.pmod(F.xxhash64("block", F.lit(seed)), F.lit(n)).cast("int")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def side(blocks: DataFrame, x: str) -> DataFrame:
+        names = {"block": f"{x}b", "dim": f"{x}_dim", "width": f"{x}_width", "ids": f"{x}_ids", "cells": f"{x}_cells"}
+        return blocks.select(*(F.col(a).alias(b) for a, b in names.items()), "row", "column")
+
+    asked = side(queries.withColumn("row", place(n_rows, 1)).withColumn("column", every(n_columns)), "q")
+    blocks = clean.mapInArrow(_packer(candidate_rows), BLOCK)
+    held = side(blocks.withColumn("column", place(n_columns, 2)).withColumn("row", every(n_rows)), "c")
+    tiles = held.join(asked, ["row", "column"]).where("q_dim = c_dim").withColumnRenamed("q_dim", "dim")
+    tiles = tiles.select("qb", "cb", "dim", "q_width", "q_ids", "q_cells", "c_width", "c_ids", "c_cells")
     lists = tiles.mapInArrow(
-        _tiles(k), "qn long, q_row long, query_id long, vec_id long, score long, cb long"
+        _tiles(k), "qb long, q_row long, query_id long, vec_id long, score long, cb long"
     )
     best = [F.desc("score"), F.asc("vec_id")]
-    query = ["qn", "q_row", "query_id"]
+    query = ["qb", "q_row", "query_id"]
     lists = lists.withColumn("_group", F.pmod(F.xxhash64("cb"), F.lit(64)))
     place = F.row_number().over(Window.partitionBy(*query, "_group").orderBy(*best))
     lists = lists.withColumn("_place", place).where(F.col("_place") <= k)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sellerdesk.llm.common import bounded_batches, draw
+from sellerdesk.llm.common import bounded_batches, draw, row_of
 from sellerdesk.session import stage
 
 SEEDS = {  # weak labels of the categories before the last
@@ -217,14 +217,13 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
-    """The rows of ``docs``, all columns, that the chain does not call toxic."""
+    """The rows of ``docs``, all columns (of any names), that the chain does not call toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            p = chain.probabilities(texts)[:, -1]
-            yield batch.filter(pa.array(~(p > chain.threshold), pa.bool_()))
+            p = chain.probabilities(batch.column(1).to_pylist())[:, -1]
+            yield batch.filter(pa.array(~(p > chain.threshold), pa.bool_())).select(["row"])
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(row_of(docs).alias("row"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")

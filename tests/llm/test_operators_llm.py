@@ -465,7 +465,7 @@ def test_topk(spark):
             found = [(-sum(map(lambda x, y: x * y, a, b)), c) for c, b in clean if c != q and len(a) == len(b)]
             want += [(q, k, c, -s) for k, (s, c) in enumerate(sorted(found)[:5], 1)]
     for size in (4096, 16):
-        got = topk.exact_top_k(table, query_rows=3, candidate_rows=size, salts=3).collect()
+        got = topk.exact_top_k(table, query_rows=3, candidate_rows=size, edge=2).collect()
         same_rows([tuple(x) for x in got], want)
     assert topk.exact_top_k(table.limit(0)).collect() == []
 

@@ -2,9 +2,11 @@
 
 import collections
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from sellerdesk.llm import stages
+from sellerdesk.llm import mixing, packing, stages, toxicity
+from sellerdesk.llm.queries import byte_bpe
 
 from .conftest import DOCS, doc_rows
 from .test_operators_llm import slow_classes, slow_fingerprint
@@ -45,13 +47,74 @@ def test_near_duplicates_keep_one_row_of_each_group(spark, docs, no_docs, sf):
     assert stages.drop_near_duplicates(spark, no_docs, sf).collect() == []
 
 
+NAMES = ["_kept", "_key", "_k", "_spans", "row", "id", "hash", "place", "kept_id", "spans", "k", "a.b", "start", "copy"]
+
+
+def with_names(docs):
+    for i, n in enumerate(NAMES):
+        docs = docs.withColumn(n, F.lit(f"{i}"))
+    return docs.withColumnRenamed("lang", "Lang")
+
+
 def test_stages_take_columns_of_any_names(spark, docs, sf):
-    names = ["_kept", "_key", "_k", "_spans", "row", "id", "hash", "place", "kept_id", "spans", "k", "a.b"]
-    wide = docs
-    for i, n in enumerate(names):
-        wide = wide.withColumn(n, F.lit(f"{i}"))
-    for step in (stages.drop_near_duplicates, stages.drop_repeated_passages):
+    wide = with_names(docs)
+    steps = (stages.drop_toxic, stages.drop_near_duplicates, stages.drop_repeated_passages, stages.mix_sources)
+    for step in steps:
         plain, found = step(spark, docs, sf), step(spark, wide, sf)
         assert found.columns == wide.columns
-        values = tuple(f"{i}" for i in range(len(names)))
+        values = tuple(f"{i}" for i in range(len(NAMES)))
         assert rows_of(found) == collections.Counter({r + values: n for r, n in rows_of(plain).items()})
+    assert stages.pack_sequences(spark, wide, sf).count() == stages.pack_sequences(spark, docs, sf).count()
+
+
+def test_stages_without_n_chars_and_with_other_spelling(spark, docs, sf):
+    plain = stages.drop_repeated_passages(spark, docs, sf)
+    bare = stages.drop_repeated_passages(spark, docs.drop("n_chars"), sf)
+    assert rows_of(bare) == rows_of(plain.drop("n_chars"))
+    spelled = docs.withColumnRenamed("text", "Text")
+    for step in (stages.drop_toxic, stages.mix_sources):
+        assert rows_of(step(spark, spelled, sf)) == rows_of(step(spark, docs, sf))
+
+
+def test_toxicity_stage_keeps_what_the_chain_does_not_call_toxic(spark, docs, no_docs, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    known = spark.read.parquet(f"{sf}/documents.parquet")
+    chain = toxicity.fit_chain(known, labels)
+    verdict = chain.probabilities([None if r[1] is None else r[1].encode() for r in ROWS])[:, -1] > chain.threshold
+    want = collections.Counter(r for r, bad in zip(ROWS, verdict, strict=True) if not bad)
+    assert rows_of(toxicity.without_toxic(docs, chain)) == want
+    assert stages.drop_toxic(spark, no_docs, sf).collect() == []
+
+
+def test_passage_stage_against_brute_force(spark, docs, no_docs, sf):
+    words = [(r[1] or "").encode().split() for r in ROWS]
+    seen = collections.Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    want = collections.Counter()
+    for r, w in zip(ROWS, words, strict=True):
+        gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        text = b" ".join(x for j, x in enumerate(w) if j not in gone).decode() if gone else r[1]
+        want[(r[0], text, *r[2:4], None if text is None else len(text), *r[5:])] += 1
+    assert rows_of(stages.drop_repeated_passages(spark, docs, sf)) == want
+    assert stages.drop_repeated_passages(spark, no_docs, sf).collect() == []
+
+
+def test_mixing_stage_repeats_as_the_mix_says(spark, docs, no_docs, sf):
+    taken = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id, r.source, r["size"]] += r.times
+    found = collections.Counter()
+    for r, n in rows_of(stages.mix_sources(spark, docs, sf)).items():
+        found[r[0], r[3], len((r[1] or "").encode().split())] += n
+    assert found == +taken
+    assert stages.mix_sources(spark, no_docs, sf).collect() == []
+
+
+def test_packing_stage_holds_every_document_once(spark, docs, no_docs, sf):
+    pieces = stages.pack_sequences(spark, docs, sf).collect()
+    want, encoder = collections.Counter(), packing.Encoder(byte_bpe())
+    for r in ROWS:
+        ids = np.frombuffer(encoder.encode(r[1] or ""), encoder.kind).tolist() + [packing.END_ID]
+        want.update([(r[0], len(ids))])
+    assert collections.Counter((p.doc_id, p.doc_tokens) for p in pieces if p.start == 0) == want
+    assert sum(p.length for p in pieces) == sum(n * k for (_, n), k in want.items())
+    assert stages.pack_sequences(spark, no_docs, sf).collect() == []
