@@ -7,17 +7,22 @@ import numpy as np
 U64 = np.uint64
 
 
+# the place of the r-th set bit of each byte
+SELECT = np.zeros((256, 8), np.int64)
+for _byte in range(256):
+    _set = [i for i in range(8) if _byte >> i & 1]
+    SELECT[_byte, : len(_set)] = _set
+
+
 def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Place of the rank-th (from 0) set bit of each 64-bit word."""
-    words, rank = words.copy(), rank.astype(np.uint8)
-    place = np.zeros(len(words), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(words & U64((1 << width) - 1))
-        up = rank >= low
-        rank = np.where(up, rank - low, rank)
-        words = np.where(up, words >> U64(width), words)
-        place += up * np.int64(width)
-    return place
+    parts = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
+    upto = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.uint8)
+    rank = rank.astype(np.uint8)
+    part = np.minimum((upto <= rank[:, None]).sum(1), 7)
+    row = np.arange(len(parts))
+    before = np.where(part > 0, upto[row, part - 1], 0)
+    return part * 8 + SELECT[parts[row, part], np.minimum(rank - before, 7)]
 
 
 def pack_bits(values: np.ndarray, bits: int) -> np.ndarray:
@@ -94,8 +99,17 @@ class EliasFano:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         high = (x >> U64(self.bits)).astype(np.int64)
         want = x & U64((1 << self.bits) - 1)
-        left = np.where(high > 0, self._select0(np.maximum(high - 1, 0)) - (high - 1), 0)
-        stop = self._select0(high) - high
+        # values with equal high bits are a run of set bits, between two zeros
+        begin = np.where(high > 0, self._select0(np.maximum(high - 1, 0)) + 1, 0)
+        left = begin - high
+        word, shift = begin >> 6, (begin & 63).astype(np.uint64)
+        bits = self.upper[word] >> shift
+        after = self.upper[np.minimum(word + 1, len(self.upper) - 1)]
+        bits |= (after << U64(1)) << (U64(63) - shift)
+        run = np.bitwise_count(bits & ~(bits + U64(1))).astype(np.int64)
+        full = np.flatnonzero((run >= 64) | (begin + run >= 64 * len(self.upper)))
+        stop = left + run
+        stop[full] = self._select0(high[full]) - high[full]
         right = stop.copy()
         open_ = np.flatnonzero(left < right)
         while len(open_):  # binary search among the values with equal high bits

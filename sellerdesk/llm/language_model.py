@@ -148,9 +148,12 @@ class Level:
         self, successors: EliasFano, pointers: EliasFano, first: int, keys: np.ndarray
     ) -> tuple[np.ndarray, np.ndarray]:
         """Search each word in its context's range."""
-        context, word = np.divmod(keys, np.uint64(self.n_types))
-        contexts, back = np.unique(context, return_inverse=True)
-        c = (contexts - np.uint64(first // self.n_types)).astype(np.int64)
+        keys = keys.view(np.int64)  # below 2^63
+        context = keys // self.n_types
+        word = (keys - context * self.n_types).astype(np.uint64)
+        fresh = np.append(True, context[1:] != context[:-1])[: len(context)]
+        back = np.cumsum(fresh) - 1
+        c = context[fresh] - first // self.n_types
         lo = pointers.at(c).astype(np.int64) - c
         hi = pointers.at(c + 1).astype(np.int64) - c - 1
         lift = np.zeros(len(c), np.uint64)
