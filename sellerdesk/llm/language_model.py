@@ -218,24 +218,31 @@ class Reader:
     def __init__(self, model: Model):
         self.model, self.levels = model, model.opened()
 
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id or -1, count) of each hash."""
+    def _values(self, k: int, names: tuple[str, ...], node: np.ndarray, found: np.ndarray) -> list[np.ndarray]:
+        """Arrays of level k at the found ones of sorted nodes, 0 elsewhere."""
+        out = [np.zeros(len(node), np.int64) for _ in names]
+        for a, name in zip(out, names, strict=True):
+            a[found] = self.levels[k].get(name, node[found])
+        return out
+
+    def words(self, hashes: np.ndarray, *names: str) -> tuple[np.ndarray, ...]:
+        """Id (or -1) of each hash and ``names`` of its node."""
         keys, back = _unique(hashes)
         node, found = self.levels[0].find(keys)
-        count = np.zeros(len(keys), np.int64)
-        count[found] = self.levels[0].get("count", node[found])
-        return np.where(found, node, -1)[back], count[back]
+        values = self._values(0, names, node, found)
+        return (np.where(found, node, -1)[back], *(a[back] for a in values))
 
-    def step(self, k: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Node on level k (0-based) of each (context node, word id); -1 if there is none."""
-        out = np.full(len(context), -1, np.int64)
+    def step(self, k: int, context: np.ndarray, word: np.ndarray, *names: str) -> tuple[np.ndarray, ...]:
+        """Node on level k (0-based) of each (context node, word id), -1 if there is none, and
+        ``names`` of it, read with the same look-up."""
         known = np.flatnonzero((context >= 0) & (word >= 0))
-        keys, back = _unique(
-            context[known].astype(np.uint64) * np.uint64(self.model.n_types) + word[known].astype(np.uint64)
-        )
-        node, found = self.levels[k].find(keys)
-        out[known] = np.where(found, node, -1)[back]
-        return out
+        keys, back = _unique(context[known] * self.model.n_types + word[known])
+        node, found = self.levels[k].find(keys.view(np.uint64))
+        values = [np.where(found, node, -1), *self._values(k, names, node, found)]
+        out = [np.full(len(context), -1, np.int64), *(np.zeros(len(context), np.int64) for _ in names)]
+        for a, v in zip(out, values, strict=True):
+            a[known] = v[back]
+        return tuple(out)
 
     def get(self, k: int, name: str, nodes: np.ndarray) -> np.ndarray:
         keys, back = _unique(nodes)
@@ -243,18 +250,16 @@ class Reader:
 
     def log_probabilities(self, run: Run) -> tuple[np.ndarray, ...]:
         """(count, unigram log10 p, model log10 p) of the tokens of a run."""
-        word, count = (a[run.codes] for a in self.words(run.words))
+        last = len(self.levels) - 1
+        found = self.words(run.words, "count", *["back"][:last])
+        word, count, *backs = (a[run.codes] for a in found)
         base = np.log10(self.model.unigram(count))
         score, node = base, word
-        for k in range(1, len(self.levels)):
+        for k in range(1, last + 1):
             context = run.before(node)
-            found = self.step(k, context, word)
-            lower = score.copy()
-            has = np.flatnonzero(context >= 0)
-            lower[has] -= self.get(k - 1, "back", context[has]) * CODE
-            seen = np.flatnonzero(found >= 0)
-            lower[seen] = self.get(k, "prob", found[seen]) * -CODE
-            score, node = lower, found
+            lower = score - np.where(context >= 0, run.before(backs[0]) * CODE, 0)
+            node, prob, *backs = self.step(k, context, word, "prob", *["back"][: k < last])
+            score = np.where(node >= 0, prob * -CODE, lower)
         return count, base, score
 
 
@@ -412,16 +417,16 @@ def _next_level(train: DataFrame, model: Model, firsts: list[int], order: int) -
         reader = Reader(model)
         for run in _runs(batches):
             word = reader.words(run.words)[0][run.codes]
-            node, context = word, run.before(word)
+            context, prob = run.before(word), None
             for i in range(1, k):
-                node = reader.step(i, context, word)
+                node, prob = reader.step(i, context, word, "prob")
                 context = run.before(node)
             use = np.flatnonzero(context >= 0)
             keys = context[use].astype(np.uint64) * np.uint64(model.n_types) + word[use].astype(np.uint64)
             keys, at, n = np.unique(keys, return_index=True, return_counts=True)
             low = None  # the n-gram without its first word was counted, so it has a node
             if k > 1:
-                low = reader.get(k - 1, "prob", node[use[at]])
+                low = prob[use[at]].astype(np.uint8)
             cuts = np.searchsorted(keys, edges, side="left").tolist() + [len(keys)]
             for shard in range(len(edges)):
                 part = slice(cuts[shard], cuts[shard + 1])
