@@ -15,26 +15,32 @@ for _byte in range(256):
 
 
 def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the rank-th (from 0) set bit of each 64-bit word."""
-    parts = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.uint8)
-    rank = rank.astype(np.uint8)
-    part = np.minimum((upto <= rank[:, None]).sum(1), 7)
-    row = np.arange(len(parts))
-    before = np.where(part > 0, upto[row, part - 1], 0)
-    return part * 8 + SELECT[parts[row, part], np.minimum(rank - before, 7)]
+    """Place of the rank-th (from 0) set bit of each 64-bit word, halving the word to a byte."""
+    rest, rank = words, rank.astype(np.uint8)
+    place = np.zeros(len(words), np.uint64)
+    for half in (32, 16, 8):
+        below = np.bitwise_count(rest & U64((1 << half) - 1))
+        upper = rank >= below
+        rank = rank - below * upper
+        shift = upper * U64(half)
+        rest = rest >> shift
+        place += shift
+    return place.view(np.int64) + SELECT[(rest & U64(255)).view(np.int64), np.minimum(rank, 7)]
 
 
 def pack_bits(values: np.ndarray, bits: int) -> np.ndarray:
-    """``values`` in ``bits`` bits each, as little-endian 64-bit words."""
-    out = []
-    at = np.arange(bits, dtype=np.uint64)
-    for lo in range(0, len(values), 1 << 18):  # a multiple of 64 values: whole words
-        part = values[lo : lo + (1 << 18)].astype(np.uint64)
-        flags = ((part[:, None] >> at) & U64(1)).astype(np.uint8)
-        out.append(np.packbits(flags.ravel(), bitorder="little"))
-    raw = np.concatenate(out) if out else np.empty(0, np.uint8)
-    return np.concatenate([raw, np.zeros(-len(raw) % 8 + 16, np.uint8)]).view(np.uint64)
+    """``values`` below 2^bits in ``bits`` bits each, as little-endian 64-bit words."""
+    out = np.zeros((len(values) * bits >> 6) + 3, np.uint64)
+    if not bits or not len(values):
+        return out
+    values = values.astype(np.uint64)
+    at = np.arange(len(values), dtype=np.int64) * bits
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    start = np.flatnonzero(np.diff(word, prepend=-1))
+    out[word[start]] = np.bitwise_or.reduceat(values << shift, start)
+    over = np.flatnonzero(shift + U64(bits) > U64(64))  # at most one value runs over the end of a word
+    out[word[over] + 1] |= values[over] >> (U64(64) - shift[over])
+    return out
 
 
 def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -77,14 +83,29 @@ class EliasFano:
         rank = k - self.zeros[word].astype(np.int64)
         return word * 64 + _select_in_word(~self.upper[word], rank)
 
+    def _place(self, i: np.ndarray) -> np.ndarray:
+        """The places of the i-th set bits."""
+        if self.ones is None:  # set bits before each word
+            self.ones = 64 * np.arange(len(self.zeros), dtype=np.int64) - self.zeros
+        word = np.searchsorted(self.ones, i, side="right") - 1
+        return word * 64 + _select_in_word(self.upper[word], i - self.ones[word])
+
+    def _value(self, i: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return ((place - i).astype(np.uint64) << U64(self.bits)) | self._low(i)
+
     def at(self, i: np.ndarray) -> np.ndarray:
         """The values at indices."""
         i = np.asarray(i, np.int64)
-        ones = 64 * np.arange(len(self.zeros), dtype=np.int64) - self.zeros if self.ones is None else self.ones
-        self.ones = ones  # set bits before each word
-        word = np.searchsorted(ones, i, side="right") - 1
-        high = word * 64 + _select_in_word(self.upper[word], i - ones[word]) - i
-        return (high.astype(np.uint64) << U64(self.bits)) | self._low(i)
+        return self._value(i, self._place(i))
+
+    def pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at indices and at the indices after them."""
+        place = self._place(i)
+        rest = self.upper[place >> 6] >> (place & 63).astype(np.uint64) >> U64(1)
+        after = place + 1 + np.bitwise_count((rest & -rest) - U64(1))
+        far = np.flatnonzero(rest == 0)  # the next set bit is in a later word
+        after[far] = self._place(i[far] + 1)
+        return self._value(i, place), self._value(i + 1, after)
 
     def values(self) -> np.ndarray:
         """All values (for tests and small sequences)."""

@@ -18,9 +18,11 @@ word), a hot context among its successors; each shard is built by one task and
 written as one file in the shared folder, and the manifest that Spark commits
 names the files.  Counting folds equal n-grams in the tasks that read the texts,
 which send sorted, delta-coded blocks to the shards, with the coded probability
-of the shorter n-gram, whose node they have looked up anyway.  A run of texts is
-cut into words by whole arrays, and each distinct word is hashed and looked up
-once.  Readers map the files, ``OPEN`` shards of a level at a time, look n-grams
+of the shorter n-gram, whose node they have looked up anyway.  Texts are cut into
+words once, by whole arrays, in runs of about ``FLUSH_BYTES``; a run's distinct word
+hashes and the codes of its tokens are written to the shared folder, one run a row
+group, and every later pass reads those.  Each distinct word of a run is hashed and
+looked up once.  Readers map the files, ``OPEN`` shards of a level at a time, look n-grams
 up in sorted order, and hold in memory only what they touch.
 
 Words are told apart by 64-bit hashes.  Keys must fit 63 bits: V^2 for two levels.
@@ -36,7 +38,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +49,7 @@ from sellerdesk.llm.elias_fano import EliasFano, build
 from sellerdesk.session import scratch_path, stage
 
 SHARD_TOKENS = 2_000_000
-FLUSH_BYTES = 8 << 20  # of texts that a task gathers before it counts or scores
+FLUSH_BYTES = 8 << 20  # of texts in a run
 OPEN = 64  # shards of a level that a reader holds mapped
 K = 4.0  # weight of the shorter context
 CODE = 12.0 / 255  # step of a code: log10 down to -12
@@ -154,8 +155,8 @@ class Level:
         fresh = np.append(True, context[1:] != context[:-1])[: len(context)]
         back = np.cumsum(fresh) - 1
         c = context[fresh] - first // self.n_types
-        lo = pointers.at(c).astype(np.int64) - c
-        hi = pointers.at(c + 1).astype(np.int64) - c - 1
+        lo, hi = (x.astype(np.int64) for x in pointers.pairs(c))
+        lo, hi = lo - c, hi - c - 1
         lift = np.zeros(len(c), np.uint64)
         held = np.flatnonzero((lo > 0) & (lo < hi))
         lift[held] = successors.at(lo[held] - 1) + np.uint64(1)
@@ -205,11 +206,12 @@ class Model:
 
 
 def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    codes, values = pd.factorize(keys)
-    order = np.argsort(values)
-    place = np.empty(len(values), np.int64)
-    place[order] = np.arange(len(values))
-    return values[order], place[codes]
+    order = np.argsort(keys)
+    keys = keys[order]
+    fresh = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return keys[fresh], place
 
 
 class Reader:
@@ -272,11 +274,19 @@ LOWER_CASE = np.arange(256, dtype=np.uint8)
 LOWER_CASE[65:91] += 32
 
 
+RUNS = "held_out boolean, doc_id array<long>, lengths binary, words binary, codes binary"
+
+
 class Run:
-    """The tokens of a run of texts: distinct ``words`` (hashes, the end first) and ``codes`` into them."""
+    """The tokens of a run of texts: distinct ``words`` (hashes, the end first), ``codes`` into
+    them, and the ``lengths`` of the texts in tokens."""
 
-    def __init__(self, tags: list, texts: list[bytes]):
-        self.tags = tags
+    def __init__(self, words: np.ndarray, codes: np.ndarray, lengths: np.ndarray):
+        self.words, self.codes, self.lengths = words, codes, lengths
+        self.begin = np.cumsum(lengths) - lengths
+
+    @classmethod
+    def cut(cls, texts: list[bytes]) -> Run:
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         solid = SOLID[raw]
         edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
@@ -286,16 +296,15 @@ class Run:
         buffers = [None, pa.py_buffer(offsets), pa.py_buffer(LOWER_CASE[raw[solid]])]
         coded = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        self.words = np.empty(len(distinct) + 1, np.uint64)
-        self.words[0] = END
-        self.words[1:] = np.fromiter(map(xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+        words = np.empty(len(distinct) + 1, np.uint64)
+        words[0] = END
+        words[1:] = np.fromiter(map(xxh3_64_intdigest, distinct), np.uint64, len(distinct))
         own = np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])), prepend=0)
-        self.lengths = own + 1
-        self.begin = np.cumsum(self.lengths) - self.lengths
-        inside = np.ones(len(starts) + len(texts), bool)
-        inside[self.begin + own] = False
-        self.codes = np.zeros(len(inside), np.int64)
-        self.codes[inside] = coded.indices.to_numpy() + 1
+        run = cls(words, np.zeros(len(starts) + len(texts), np.int64), own + 1)
+        inside = np.ones(len(run.codes), bool)
+        inside[run.begin + own] = False
+        run.codes[inside] = coded.indices.to_numpy() + 1
+        return run
 
     def before(self, node: np.ndarray) -> np.ndarray:
         """The node before each token, -1 where a text begins."""
@@ -304,20 +313,52 @@ class Run:
         return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
-    """Runs of about FLUSH_BYTES of texts; tags are the other columns."""
-    tags, texts, size = [], [], 0
+def token_runs(texts: DataFrame) -> DataFrame:
+    """Cut ``texts(doc_id, text, held_out)`` into words, once; a run holds texts of one side of the fold.
+
+    Written one run a row group, so that a reader holds few runs, and a lost
+    executor costs no second cutting of what was written.
+    """
+
+    def written(held_out: bool, pairs: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
+        run = Run.cut([text for _, text in pairs])
+        columns = [
+            pa.array([held_out], pa.bool_()),
+            pa.array([[i for i, _ in pairs]], pa.list_(pa.int64())),
+            pa.array([planes(run.lengths)], pa.binary()),
+            pa.array([run.words.tobytes()], pa.binary()),
+            pa.array([planes(run.codes.astype(np.uint32))], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RUNS.split(", ")])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered: dict[bool, list] = {False: [], True: []}
+        size = {False: 0, True: 0}
+        for batch in batches:
+            for i, text, held_out in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                gathered[held_out].append((i, text or b""))
+                size[held_out] += len(text or b"") + 8
+                if size[held_out] >= FLUSH_BYTES:
+                    yield written(held_out, gathered[held_out])
+                    gathered[held_out], size[held_out] = [], 0
+        for held_out, pairs in gathered.items():
+            if pairs:
+                yield written(held_out, pairs)
+
+    spark = texts.sparkSession
+    path = scratch_path(spark, "lm-runs")
+    runs = texts.select("doc_id", "text", "held_out").mapInArrow(cut, RUNS)
+    runs.write.option("parquet.block.row.count.limit", "1").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
+    """The runs of rows that end in lengths, words and codes."""
     for batch in batches:
-        text, *rest = (c.to_pylist() for c in batch.columns)
-        for t, *tag in zip(text, *rest, strict=True):
-            tags.append(tag)
-            texts.append(t or b"")
-            size += len(texts[-1])
-            if size >= FLUSH_BYTES:
-                yield Run(tags, texts)
-                tags, texts, size = [], [], 0
-    if texts:
-        yield Run(tags, texts)
+        for lengths, words, codes in zip(*(c.to_pylist() for c in batch.columns[-3:]), strict=True):
+            yield Run(
+                np.frombuffer(words, np.uint64), unplanes(codes, np.uint32).astype(np.int64), unplanes(lengths, np.int64)
+            )
 
 
 def _signed(hashes: np.ndarray) -> np.ndarray:
@@ -369,7 +410,7 @@ def _shards(manifest: DataFrame, n_types: int) -> tuple[list[Shard], list[int]]:
 
 def _vocabulary(train: DataFrame, folder: str) -> tuple[DataFrame, int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches):
+        for run in _stored(batches):
             word, n = run.words, np.bincount(run.codes, minlength=len(run.words))
             for lo in range(0, len(word), 1 << 16):
                 part = slice(lo, lo + (1 << 16))
@@ -415,7 +456,7 @@ def _next_level(train: DataFrame, model: Model, firsts: list[int], order: int) -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
-        for run in _runs(batches):
+        for run in _stored(batches):
             word = reader.words(run.words)[0][run.codes]
             context, prob = run.before(word), None
             for i in range(1, k):
@@ -423,10 +464,15 @@ def _next_level(train: DataFrame, model: Model, firsts: list[int], order: int) -
                 context = run.before(node)
             use = np.flatnonzero(context >= 0)
             keys = context[use].astype(np.uint64) * np.uint64(model.n_types) + word[use].astype(np.uint64)
-            keys, at, n = np.unique(keys, return_index=True, return_counts=True)
-            low = None  # the n-gram without its first word was counted, so it has a node
-            if k > 1:
-                low = prob[use[at]].astype(np.uint8)
+            low = None
+            if k > 1:  # the n-gram without its first word was counted, so it has a node
+                by = np.argsort(keys)
+                keys, low = keys[by], prob[use[by]].astype(np.uint8)
+            else:
+                keys.sort()
+            start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+            n = np.diff(np.append(start, len(keys)))
+            keys, low = keys[start], low if low is None else low[start]
             cuts = np.searchsorted(keys, edges, side="left").tolist() + [len(keys)]
             for shard in range(len(edges)):
                 part = slice(cuts[shard], cuts[shard + 1])
@@ -477,43 +523,44 @@ def _next_level(train: DataFrame, model: Model, firsts: list[int], order: int) -
     return stage(blocks.groupBy("shard").applyInArrow(make, MANIFEST), "lm-level")
 
 
-def train_model(texts: DataFrame, order: int = 2) -> Model:
-    """Fit the trie on ``texts(text)``, text as binary; no rows give an empty model."""
-    spark: SparkSession = texts.sparkSession
-    bounded_batches(spark, 8)
-    drop_used_shuffles(spark)
+def train_model(runs: DataFrame, order: int = 2) -> Model:
+    """Fit the trie on the runs of :func:`token_runs` that are not held out; none give an empty model."""
+    spark: SparkSession = runs.sparkSession
+    train = runs.where(~F.col("held_out")).select("lengths", "words", "codes")
     folder = scratch_path(spark, "lm")
-    manifest, n_types, n_tokens = _vocabulary(texts, folder)
+    manifest, n_types, n_tokens = _vocabulary(train, folder)
     shards, firsts = _shards(manifest, n_types)
     model = Model(folder, n_tokens, n_types, [shards])
     while len(model.levels) < order and n_tokens:
-        manifest = _next_level(texts, model, firsts, order)
+        manifest = _next_level(train, model, firsts, order)
         shards, firsts = _shards(manifest, n_types)
         model = Model(folder, n_tokens, n_types, [*model.levels, shards])
     return model
 
 
-def score_texts(texts: DataFrame, model: Model) -> DataFrame:
-    """n_tokens, n_known, base_score and score of ``texts(doc_id, text, held_out)``."""
+def score_runs(runs: DataFrame, model: Model) -> DataFrame:
+    """n_tokens, n_known, base_score and score of each text of the runs."""
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
-        for texts_run in _runs(batches):
-            count, base, score = reader.log_probabilities(texts_run)
-            pairs, lengths, begin = texts_run.tags, texts_run.lengths, texts_run.begin
-            arrays = [
-                pa.array([p[0] for p in pairs], pa.int64()),
-                pa.array([p[1] for p in pairs], pa.bool_()),
-                pa.array(lengths, pa.int64()),
-                pa.array(np.add.reduceat((count > 0).astype(np.int64), begin)),
-                pa.array(np.add.reduceat(base, begin)),
-                pa.array(np.add.reduceat(score, begin)),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return texts.select("text", "doc_id", "held_out").mapInArrow(run, schema)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                (run,) = _stored(iter([row]))
+                count, base, total = reader.log_probabilities(run)
+                arrays = [
+                    row.column("doc_id").flatten(),
+                    pa.array(np.full(len(run.lengths), row.column("held_out")[0].as_py())),
+                    pa.array(run.lengths),
+                    pa.array(np.add.reduceat((count > 0).astype(np.int64), run.begin)),
+                    pa.array(np.add.reduceat(base, run.begin)),
+                    pa.array(np.add.reduceat(total, run.begin)),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return runs.mapInArrow(score, schema)
 
 
 def score_documents(docs: DataFrame, order: int = 2, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -531,6 +578,8 @@ def score_documents(docs: DataFrame, order: int = 2, folds: int = 7, fold: int =
         F.col("text").cast("binary").alias("text"),
         F.coalesce(remainder == fold, F.lit(False)).alias("held_out"),
     )
-    model = train_model(texts.where(~F.col("held_out")).select("text"), order)
-    scored = score_texts(texts, model)
-    return scored.withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
+    bounded_batches(docs.sparkSession, 8)
+    drop_used_shuffles(docs.sparkSession)
+    runs = token_runs(texts)
+    model = train_model(runs, order)
+    return score_runs(runs, model).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))

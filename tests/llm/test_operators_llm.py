@@ -8,6 +8,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -413,6 +414,33 @@ def test_elias_fano(universe, n):
     q = np.unique(np.concatenate([v, more]))
     at, found = e.find(q)
     assert (found == np.isin(q, v)).all() and (at == np.searchsorted(v, q)).all()
+    i = np.arange(len(v) - 1)
+    this, following = e.pairs(i)
+    assert (this == v[:-1]).all() and (following == v[1:]).all() and (e.at(i) == v[:-1]).all()
+
+
+@pytest.mark.parametrize("bits", [0, 1, 13, 32, 47, 63])
+def test_pack_bits(bits):
+    values = [x * 0x9E3779B97F4A7C15 % (1 << bits) for x in range(1, 300)]
+    whole = sum(x << (i * bits) for i, x in enumerate(values))
+    packed = elias_fano.pack_bits(np.array(values, np.uint64), bits)
+    assert int.from_bytes(packed.tobytes(), "little") == whole
+    assert not len(elias_fano.pack_bits(np.empty(0, np.uint64), bits)[3:])
+
+
+def test_token_runs(docs, monkeypatch):
+    monkeypatch.setattr(language_model, "FLUSH_BYTES", 2000)
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), (F.col("doc_id") % 2 == 0).alias("held_out"))
+    rows = language_model.token_runs(texts.na.fill(False, "held_out")).collect()
+    got = []
+    for r in rows:
+        (run,) = language_model._stored(iter([pa.RecordBatch.from_pylist([r.asDict()])]))
+        hashes = run.words[run.codes].tolist()
+        assert len(run.lengths) == len(r.doc_id)
+        got += [(i, tuple(hashes[b : b + n])) for i, b, n in zip(r.doc_id, run.begin, run.lengths, strict=True)]
+    lower = {c: c + 32 for c in range(65, 91)}
+    h = language_model.xxh3_64_intdigest
+    same_rows(got, [(i, (*map(h, words((t or "").translate(lower))), language_model.END)) for i, t, *_ in ROWS])
 
 
 @pytest.mark.parametrize(("order", "shard"), [(2, 2_000_000), (3, 500)])
