@@ -51,6 +51,11 @@ def sales_with_campaign(sales: DataFrame, unq_shop: DataFrame) -> DataFrame:
     return salted_join(sales, unq_shop, "shop_name", "invoice", "left")
 
 
+def first_price() -> Column:
+    """Aggregate: W3, the order price of the first line, inside an aggregation by shop-item."""
+    return F.min_by("unit_order_price", F.struct(*ORDER_KEY)).alias("unit_order_price")
+
+
 def e_price(sales: DataFrame) -> DataFrame:
     """Order price of the first line of each shop-item."""
     return keep_first(sales, ["shop_name", "order_item"], ORDER_KEY).select(

@@ -41,6 +41,9 @@ def delivery_days(sales: DataFrame, unq_shop: DataFrame) -> DataFrame:
     return delivery_days_from(sales.groupBy(*SHOP_ITEM).agg(*delivery_aggs()), unq_shop)
 
 
+DELIVERY_SUMS = ("__lu_days", "__n", "__n_lines")
+
+
 def delivery_aggs() -> list[Column]:
     """Conditional aggregates behind ``delivery_days``, so they can ride along
     in another per shop-item aggregation over the same lines (one pass)."""
@@ -54,15 +57,16 @@ def delivery_aggs() -> list[Column]:
 
 def delivery_days_from(per_item: DataFrame, unq_shop: DataFrame) -> DataFrame:
     """Finish ``delivery_days`` from per shop-item ``delivery_aggs`` columns."""
-    per_item = per_item.where(F.col("__n_lines") > 0).select(*SHOP_ITEM, "__lu_days", "__n")
+    per_item = per_item.where(F.col("__n_lines") > 0).select(*SHOP_ITEM, *DELIVERY_SUMS)
     j = salted_join(per_item, unq_shop, "shop_name", "order_item", "left")
+    return j.select(*SHOP_ITEM, delivery_time().alias("shop_item_deli_time"))
+
+
+def delivery_time() -> Column:
+    """A6 from ``delivery_aggs`` and ``campaign_date`` of one row; missing without delivered lines."""
     days = F.col("__lu_days") - F.col("__n") * F.unix_date("campaign_date")
-    return j.select(
-        *SHOP_ITEM,
-        F.when((F.col("__n") == 0) | F.col("campaign_date").isNull(), F.lit(0.0))
-        .otherwise(days.cast("double"))
-        .alias("shop_item_deli_time"),
-    )
+    none = (F.col("__n") == 0) | F.col("campaign_date").isNull()
+    return F.when(F.col("__n_lines") > 0, F.when(none, F.lit(0.0)).otherwise(days.cast("double")))
 
 
 def avg_delivery_time(delivered_inv: DataFrame, deli_days: DataFrame) -> DataFrame:

@@ -174,16 +174,17 @@ class Reporting:
         return pricing.price_table(self.inp.sales, self.catalog_fallback, self.inp.override)
 
     # ---- measures -------------------------------------------------------
-    # One pass over the line table per policy: bucket quantities and the
-    # delivery-day sums share the shop-item aggregation.  Delivery lines are
-    # shipped or delivered, never cancelled, so either policy's row filter
-    # leaves their sums unchanged.
+    # One pass over the line table per policy: bucket quantities, the
+    # delivery-day sums and (basic, which keeps all lines) the first order price
+    # share the shop-item aggregation.  Delivery lines are shipped or delivered,
+    # never cancelled, so either policy's row filter leaves their sums unchanged.
     def line_facts(self, policy: str) -> DataFrame:
         cache = self.__dict__.setdefault("_line_facts", {})
         if policy not in cache:
-            cache[policy] = status.quantity_status(
-                self.inp.sales, SHOP_ITEM, policy, extra=measures.delivery_aggs()
-            )
+            extra = measures.delivery_aggs()
+            if policy == "basic":
+                extra.append(grains.first_price())
+            cache[policy] = status.quantity_status(self.inp.sales, SHOP_ITEM, policy, extra=extra)
         return cache[policy]
 
     def quantities(self, policy: str) -> DataFrame:
@@ -224,13 +225,13 @@ class Reporting:
     # ---- basic shop-item report ----------------------------
     @cached_property
     def item_report_basic(self) -> DataFrame:
-        q = self.quantities("basic")
         # Every shop of unq_shop has lines, so 'unq_shop full-join status'
         # is 'status left-join unq_shop'.
         # Shop-item tables first: they share the aggregation's partitioning, as
-        # does the cost window; then the shop-grain tables.
-        j = null_safe_join(q, self.avg_delivery_time, SHOP_ITEM, "left")
-        j = null_safe_join(j, grains.e_price(self.inp.sales), SHOP_ITEM, "left")
+        # does the cost window; then the shop-grain tables, whose campaign date
+        # turns the delivery sums into days.
+        delivered = status.delivered_invoices(self.unq_sales, SHOP_ITEM)
+        j = null_safe_join(self.line_facts("basic"), delivered, SHOP_ITEM, "left")
         j = null_safe_join(j, self.catalog_basic.drop("part_key"), SHOP_ITEM, "left")
         j = measures.item_values(j, margin=False)
         j = measures.item_cost(j)
@@ -240,6 +241,7 @@ class Reporting:
             {
                 "month": month_of("campaign_date"),
                 "cost_ratio": ratio("cost", "total_order_value"),
+                "avg_deli_time": ratio(measures.delivery_time(), "delivered_and_shipped_inv"),
             }
         )
         return without_keys(j.select(*ITEM_BASIC_COLUMNS))
@@ -257,9 +259,8 @@ class Reporting:
     def item_report_margin(self) -> DataFrame:
         # Shop-item tables first (they share the shop-item partitioning, as does
         # the cost window), then the shop-grain tables.
-        j = null_safe_join(self.item_quantity_strict, self.price_table, SHOP_ITEM, "inner")
+        j = null_safe_join(self.line_facts("strict"), self.price_table, SHOP_ITEM, "inner")
         j = null_safe_join(j, self.item_invoice_status, SHOP_ITEM, "inner")
-        j = null_safe_join(j, self.delivery_days_for("strict"), SHOP_ITEM, "left")
         j = null_safe_join(j, self.rebate, SHOP_ITEM, "left")
         j = measures.item_values(j, margin=True)
         j = measures.item_cost(j)
@@ -270,6 +271,7 @@ class Reporting:
             {
                 "month": month_of("campaign_date"),
                 "week": week_of("campaign_date", self.week_rule),
+                "shop_item_deli_time": measures.delivery_time(),
             }
         )
         j = measures.margin_rates(j)

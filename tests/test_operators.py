@@ -160,3 +160,24 @@ def test_margin_report_shop_grain_counts_payments_once(spark):
     naive = campaigns.margin_report(df, ["campaign_name"]).first()
     grain = campaigns.margin_report_shop_grain(df, ["campaign_name"]).first()
     assert naive.paid == 250.0 and grain.paid == 150.0   # D5
+
+
+def test_first_price_rides_on_the_line_facts(spark):
+    """The aggregate picks what the window picks: missing dates first, a missing price stays."""
+    rows = [
+        ("s", "a", None, 9, 2, 5.0),
+        ("s", "a", "2021-07-01", 1, 1, 7.0),
+        ("s", "b", "2021-07-02", 2, 1, 8.0),
+        ("s", "b", "2021-07-01", 3, 2, None),
+        ("t", "a", "2021-07-01", 4, 1, 2.0),
+        ("t", "a", "2021-07-01", 4, 0, 3.0),
+    ]
+    sales = spark.createDataFrame(
+        rows, "shop_name string, order_item string, d string, o_key long, line_no int, unit_order_price double"
+    ).selectExpr(
+        "*", "cast(d as date) order_date", "1L part_key", "1L supp_key", "1e0 qty_raw", "1e0 ext_price"
+    )
+    keys = ["shop_name", "order_item"]
+    riding = sales.groupBy(*keys).agg(grains.first_price()).collect()
+    assert {tuple(r) for r in riding} == {tuple(r) for r in grains.e_price(sales).collect()}
+    assert {tuple(r) for r in riding} == {("s", "a", 5.0), ("s", "b", None), ("t", "a", 3.0)}
