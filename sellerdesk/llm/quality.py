@@ -2,10 +2,11 @@
 
 Each line with a word is judged by itself: it must end a sentence and not be
 strewn with symbols, must not be a row of navigation links, and must hold no
-boilerplate phrase.  Failing lines are removed; a document is rejected if that
-removes too large a share of its words, or if it fails the base rules on the
-whole text (too few words, too much repetition).  One pass over the texts,
-no shuffle; a worker holds one Arrow batch, bounded by bytes.
+boilerplate phrase (English, German, French or Spanish).  Failing lines are
+removed; a document is rejected if that removes too large a share of its words,
+or if it fails the base rules on the whole text (too few words, too much
+repetition).  One pass over the texts, no shuffle; a worker holds one Arrow
+batch, bounded by bytes.
 """
 
 from __future__ import annotations
@@ -25,19 +26,63 @@ NOT_A_CODE_POINT = bytes(range(0x80, 0xC0))  # continuation bytes of UTF-8
 TERMINAL = tuple(x.encode() for x in ". ! ? … 。 ！ ？ : ; \" ' ” ’ » ) ]".split())
 SENTENCE_ENDS = (b". ", b"! ", b"? ")
 SEPARATORS = tuple(x.encode() for x in ("|", "»", "›", "•", "·", " > ", " / "))
-_LINKS = (
-    "home about contact login logout register search menu sitemap next previous back top "
-    "share print subscribe help faq shop cart account"
-).split()
-LINK_WORDS = frozenset(f(x).encode() for x in _LINKS for f in (str.lower, str.title, str.upper))
-PHRASES = tuple(
-    x.encode()
-    for x in (
+# Words of navigation links and phrases of boilerplate, per language.
+_LINKS = {
+    "en": (
+        "home about contact login logout register search menu sitemap next previous back top "
+        "share print subscribe help faq shop cart account"
+    ),
+    "de": (
+        "startseite kontakt anmelden abmelden registrieren suche menü impressum weiter zurück "
+        "teilen drucken abonnieren hilfe warenkorb konto datenschutz"
+    ),
+    "fr": (
+        "accueil connexion déconnexion inscription recherche suivant précédent retour partager "
+        "imprimer abonner aide boutique panier compte"
+    ),
+    "es": (
+        "inicio contacto acceder salir registro buscar menú siguiente anterior atrás compartir "
+        "imprimir suscribirse ayuda tienda carrito cuenta"
+    ),
+}
+LINK_WORDS = frozenset(
+    f(x).encode()
+    for words in _LINKS.values()
+    for x in words.split()
+    for f in (str.lower, str.title, str.upper)
+)
+_PHRASES = {
+    "en": (
         "cookie policy", "use of cookies", "privacy policy", "terms of use", "terms of service",
         "all rights reserved", "enable javascript", "javascript is disabled", "lorem ipsum",
         "click here", "sign up for our", "subscribe to our newsletter", "powered by",
         "skip to content", "skip to main content",
-    )
+    ),
+    "de": (
+        "cookie-richtlinie", "verwendung von cookies", "datenschutzerklärung", "nutzungsbedingungen",
+        "alle rechte vorbehalten", "javascript aktivieren", "hier klicken", "klicken sie hier",
+        "newsletter abonnieren", "zum inhalt springen", "zum hauptinhalt springen",
+    ),
+    "fr": (
+        "politique de cookies", "utilisation de cookies", "politique de confidentialité",
+        "conditions d'utilisation", "conditions d’utilisation", "tous droits réservés",
+        "activer javascript", "cliquez ici", "abonnez-vous à notre", "aller au contenu", "propulsé par",
+    ),
+    "es": (
+        "política de cookies", "uso de cookies", "política de privacidad", "condiciones de uso",
+        "términos de uso", "todos los derechos reservados", "habilitar javascript", "haga clic aquí",
+        "haz clic aquí", "suscríbase a nuestro", "saltar al contenido", "ir al contenido",
+    ),
+}
+
+
+def _spellings(phrase: str) -> tuple[str, str]:
+    """As searched in text whose ASCII letters are lower-case: other letters in either case."""
+    return phrase, "".join(c if c.isascii() else c.upper() for c in phrase)
+
+
+PHRASES = tuple(
+    dict.fromkeys(x.encode() for words in _PHRASES.values() for p in words for x in _spellings(p))
 )
 
 RESULT = (

@@ -5,6 +5,7 @@ import hashlib
 import io
 import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -83,6 +84,50 @@ def test_quality_lines():
     assert quality.clean_text(b"Kept.\n\nHome | About | Login | Search\nno end") == b"Kept.\n"
 
 
+LINE_TEXTS = [
+    "Startseite | Kontakt | Impressum | Suche\n" + "Ein ganzer Satz mit vielen Wörtern steht hier. " * 2,
+    "Accueil Connexion Panier Aide\nUne phrase entière avec assez de mots se trouve bien ici.",
+    "Inicio Contacto Buscar Ayuda\nUna frase entera con bastantes palabras está escrita aquí abajo.",
+    "POLÍTICA DE PRIVACIDAD.\nLa política de privacidad.\nTous droits réservés.\nAlle Rechte vorbehalten.",
+    "Lesen Sie unsere Datenschutzerklärung, bevor Sie weiter unten auf dieser Seite etwas bestellen.",
+    "Er ging weiter zur Suche nach dem Konto, und niemand konnte ihm dabei helfen.",
+    "no end of any sentence in this line of a good dozen words\nOnly this one ends.",
+    "a# b# c# d# e# f# g# h# i# j# k# l#.\nThis sentence is long enough to be kept by any rule at all.",
+]
+
+
+def slow_line_fault(line):
+    """The line rules on text, by regular expressions."""
+    w = re.findall(r"[^ \t\n\x0b\x0c\r]+", line)
+    known = {f(x) for ws in quality._LINKS.values() for x in ws.split() for f in (str.lower, str.title, str.upper)}
+    links = len([x for x in w if x in known])
+    seps = len(re.findall(r"[|»›•·]", line)) + line.count(" > ") + line.count(" / ")
+    if (seps >= 3 and seps + 1 >= len(w) / 4) or (links >= 3 and links >= len(w) / 2):
+        return 2
+    if any(re.search(re.escape(p), line, re.IGNORECASE) for ps in quality._PHRASES.values() for p in ps):
+        return 3
+    ends = re.search(r"""[.!?…。！？:;"'”’»)\]][ \t\n\x0b\x0c\r]*\Z|[.!?] """, line)
+    return int(not ends or len(re.findall(r"[#*$%&|<>]", line)) > len(w) / 2)
+
+
+def test_quality_verdict_against_slow_rules(docs, spark):
+    more = [(1000 + i, t) for i, t in enumerate(LINE_TEXTS)]
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    expected, found = [], set()
+    for doc_id, text in [(x[0], x[1] or "") for x in ROWS] + more:
+        lines = [x for x in text.split("\n") if words(x)]
+        faults = [slow_line_fault(x) for x in lines]
+        found.update(faults)
+        lost = sum(len(words(x)) for x, f in zip(lines, faults, strict=True) if f)
+        kept = not slow_quality(text)[-1] and lost <= len(words(text)) / 2
+        expected.append((doc_id, *(faults.count(k) for k in (1, 2, 3)), lost, kept))
+    names = ("bad_punctuation", "navigation", "boilerplate", "n_removed_words", "kept")
+    same_rows([(r.doc_id, *(r[n] for n in names)) for r in quality.judge(table).collect()], expected)
+    assert found == {0, 1, 2, 3} and {x[-1] for x in expected} == {True, False}
+    assert [slow_line_fault(x) for x in LINE_TEXTS[3].split("\n")] == [3, 3, 3, 3]
+    assert slow_line_fault(LINE_TEXTS[5]) == 0
+
+
 def test_quality_cleaned(docs):
     kept = {r.doc_id for r in quality.judge(docs).where("kept").collect()}
     assert {r.doc_id for r in quality.cleaned(docs).collect()} == kept
@@ -163,6 +208,50 @@ def test_chain_learns_held_out(spark):
     assert kept.count() == sum(not x.toxic for x in found)
 
 
+def slow_logistic(x, y, ridge=0.05):
+    """Reweighted least squares, the ridge as added rows."""
+    x = np.c_[x, np.ones(len(x))]
+    root = np.diag(np.sqrt([ridge] * (x.shape[1] - 1) + [1e-3]))
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        v = np.sqrt(np.maximum(p * (1 - p), 1e-12))
+        goal = v * (x @ w) + (y - p) / v
+        w = np.linalg.lstsq(np.r_[v[:, None] * x, root], np.r_[goal, np.zeros(len(w))], rcond=None)[0]
+    return w
+
+
+def test_links_against_slow_chain():
+    """Every link's weights, from earlier links' predictions of rows their fit did not see."""
+    r = np.random.default_rng(5)
+    x = (r.random((150, 6)) < 0.4).astype(float)
+    y = np.c_[x[:, 0] + x[:, 1] + r.normal(0, 1, 150) > 1, x[:, 2] + r.normal(0, 1, 150) > 0.5,
+              x[:, 0] + x[:, 2] + r.normal(0, 1, 150) > 1].astype(float)
+    folds = r.integers(0, toxicity.FOLDS, 150)
+    seen = x
+    for k, w in enumerate(toxicity.fit_links(x, y, folds)):
+        assert np.allclose(w, slow_logistic(seen, y[:, k]), atol=2e-3)
+        unseen = np.empty(150)
+        for f in range(toxicity.FOLDS):
+            v = slow_logistic(seen[folds != f], y[folds != f, k])
+            unseen[folds == f] = 1 / (1 + np.exp(-(seen[folds == f] @ v[:-1] + v[-1])))
+        p = np.clip(unseen, 1e-4, 1 - 1e-4)
+        seen = np.c_[seen, np.log(p / (1 - p))]
+
+
+def test_links_do_not_trust_memorised_categories():
+    """A category that the words cannot tell helps the next link only if predictions are in fold."""
+    r = np.random.default_rng(6)
+    x = (r.random((90, 200)) < 0.5).astype(float)
+    noise = (r.random(90) < 0.5).astype(float)
+    folds = np.arange(90) % toxicity.FOLDS
+    first, second = toxicity.fit_links(x, np.c_[noise, noise], folds)
+    fitted = toxicity.log_odds(toxicity.predict(x, first))
+    leaky = toxicity.fit_logistic(np.c_[x, fitted], noise)
+    assert ((fitted > 0) == (noise > 0)).mean() > 0.97
+    assert leaky[-2] > 0.2 and second[-2] < leaky[-2] / 4
+
+
 def test_chain_without_labels(docs, no_docs, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     chain = toxicity.fit_chain(docs, labels)
@@ -344,6 +433,46 @@ def test_sharding(docs, no_docs, bucket, monkeypatch):
     assert empty.collect() == [] and {"shard", "slot"} <= set(empty.columns)
 
 
+def slow_draw(seed, *values):
+    text = "|".join([str(seed), *("" if v is None else str(v) for v in values)])
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16)
+
+
+def slow_shards(rows, n_shards, seed=20240501):
+    """Places by one sort of all rows: (doc_id, source, size, crc) -> with shard and slot."""
+
+    def nulls_first(v):
+        return (v is not None, v.encode() if isinstance(v, str) else v or 0)
+
+    by_source = collections.defaultdict(list)
+    for r in rows:
+        by_source[r[1]].append((slow_draw(seed, r[0], r[3]), nulls_first(r[0]), r[3], r))
+    placed = []
+    for source, own in by_source.items():
+        phase = slow_draw(seed + 1, source) / 2.0**52
+        for k, x in enumerate(sorted(own, key=lambda x: x[:3])):
+            placed.append(((k + phase) / len(own), nulls_first(source), *x))
+    placed.sort(key=lambda x: x[:5])
+    out, start = [], {}
+    for at, x in enumerate(placed):
+        shard = at * n_shards // len(placed)
+        out.append((*x[-1], shard, at - start.setdefault(shard, at)))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [4096, 4])
+def test_sharding_against_one_sort(docs, bucket, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket)
+    rows = sharding.shard_rows(docs)
+    narrow = [(x[0], x[3], len((x[1] or "").encode()) + 1, zlib.crc32((x[1] or "").encode())) for x in ROWS]
+    for n_shards in (16, 7):
+        got = sharding.interleave_shards(rows, n_shards).collect()
+        same_rows(
+            [(r.doc_id, r.source, r["size"], r.text_crc32, r.shard, r.slot) for r in got],
+            slow_shards(narrow, n_shards),
+        )
+
+
 def test_shards_hold_the_mixture(spark):
     rows = spark.range(3200).selectExpr(
         "id as doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 7)) as source", "1L as size", "id as text_crc32"
