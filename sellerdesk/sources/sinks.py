@@ -17,13 +17,19 @@ from pyspark.sql import functions as F
 REPORT_NULL = "NA"
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> str:
-    """Write a report (CSV with header and 'NA' for missing, or Parquet)."""
+def write_report(
+    df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite", compression: str = "none"
+) -> str:
+    """Write a report (CSV with header and 'NA' for missing, or Parquet).
+
+    ``compression`` is of the CSV files: those of a report of many rows take a
+    fraction of their room as ``gzip``."""
     w = df.write.mode(mode)
     if fmt == "csv":
         (
             w.option("header", True)
             .option("nullValue", REPORT_NULL)
+            .option("compression", compression)
             .option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False)
             .csv(path)
