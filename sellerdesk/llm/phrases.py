@@ -44,6 +44,7 @@ MIN_COUNT = 30
 SAMPLE = 8  # one row of so many is in the sample
 LOWER = 0.8  # the sample's threshold over what it would expect of a phrase of MIN_COUNT
 BITS_PER_PHRASE, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 28  # of the bit table: 32 MB at most
+BATCH_MB = 4  # of texts that a task counts at once: a worker takes about 30 times that
 BUCKET_BYTES = 8 << 20  # of texts whose hashes one task merges, about
 BLOCK_TYPES = (pa.int32(), pa.binary(), pa.binary())
 
@@ -63,14 +64,14 @@ def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"\n".join(texts), np.uint8)
     kind = KIND[raw]
     solid = kind == 0
-    edge = np.diff(solid.view(np.int8), prepend=0, append=0)
+    edge = np.diff(solid.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
     values = np.ascontiguousarray(LOWER_CASE[raw[solid]])
     words = pa.Array.from_buffers(
         pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)]
     )
-    piece = np.cumsum(kind == 2, dtype=np.int64)[starts]
+    piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
     joined = np.zeros(len(starts), bool)
     joined[:-1] = piece[1:] == piece[:-1]
     begin = np.cumsum([len(t) + 1 for t in texts])
@@ -309,7 +310,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample: int =
     """lang, k, phrase, n of all phrases of 1 to 4 words that occur ``min_count`` times in a
     language, and (k = 0) the words of each language."""
     drop_used_shuffles(docs.sparkSession)
-    bounded_batches(docs.sparkSession, 8)
+    bounded_batches(docs.sparkSession, BATCH_MB)
     drawn = F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit(12))
     texts, few = (
         rows.select(
