@@ -144,3 +144,27 @@ def test_reports_may_be_written_compressed(spark, tmp_folder):
     assert glob.glob(f"{tmp_folder}/r/*.csv.gz")
     back = files.scan_csv(spark, f"{tmp_folder}/r", df.schema, null_value=sinks.REPORT_NULL)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
+def test_runs_of_spaces_collapse_whatever_their_length(spark):
+    names = [f"{' ' * i}a{' ' * i}b{' ' * j}c{' ' * j}" for i in range(1, 12) for j in (1, 2, 7)]
+    names += [" " * i for i in range(12)] + ["a \x01 b", "a \x7f  b", "é   b", "a  \t  b", "a    　 b", None]
+    df = spark.createDataFrame([(n,) for n in names], "v string")
+    slow = F.trim(F.regexp_replace("v", WHITESPACE_CLASS + "+", " "))
+    for r in df.select(squish("v").alias("a"), slow.alias("b")).collect():
+        assert r.a == r.b
+
+
+def test_report_inputs_join_by_hash(spark):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold")
+    before = [spark.conf.get(k) for k in keys]
+    spark.conf.set(keys[0], "-1")
+    spark.conf.set(keys[1], "0")
+    try:
+        lines = Reporting(inputs(spark, SF, staged=False)).inp.sales
+        assert lines.collect()
+        final = "\n".join(executed(lines)).split("== Initial Plan ==")[0]
+        assert "ShuffledHashJoin" in final
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
