@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sellerdesk.functions.nulls import line_sum, money_sum
 from sellerdesk.functions.text import WHITESPACE_CLASS, squish, truncate_at_newline
-from sellerdesk.operators import grains
+from sellerdesk.operators import grains, pricing
 from sellerdesk.plans.inputs import inputs
 from sellerdesk.plans.reports import Reporting
 from sellerdesk.sources import files, fixtures, landing, sinks
@@ -168,3 +168,32 @@ def test_report_inputs_join_by_hash(spark):
     finally:
         for k, v in zip(keys, before, strict=True):
             spark.conf.set(k, v)
+
+
+def test_fallback_prices_sort_nothing(spark):
+    prices = "shop_name string, order_item string, part_key long, unit_seller_price double, unit_mrp double"
+    catalog = [("a", "x", 7, 1.0, 2.0), ("a", "x", 3, None, 4.0), ("a", "y", 5, 5.0, 6.0), ("a", "y", None, 7.0, 8.0)]
+    orders = [("a", "x", 1, 9.0, 9.0), ("b", "x", 2, 10.0, 11.0), ("b", "x", -4, 12.0, None), ("b", "y", None, 13.0, 14.0)]
+    found = pricing.catalog_fallback(spark.createDataFrame(catalog, prices), spark.createDataFrame(orders, prices))
+    assert {tuple(r) for r in found.collect()} == {
+        ("a", "x", None, 4.0),
+        ("a", "y", 7.0, 8.0),
+        ("b", "x", 12.0, None),
+        ("b", "y", 13.0, 14.0),
+    }
+    assert not any("Sort" in x or "Window" in x for x in executed(found))
+
+
+def test_lines_are_staged_by_order_and_pairs_dealt_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        raw = RawInputs(spark, SF)
+        last = next(x for x in executed(raw.sales) if "Join" in x)
+        pairs = executed(raw.pairs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "l_orderkey" in last and "o_orderkey" in last
+    dealt = [re.search(r"hashpartitioning\((.*?)\)", x)[1] for x in pairs if "hashpartitioning" in x]
+    assert any(re.match(r"l_partkey#\w+, \d+$", x) for x in dealt)
+    assert not any("l_suppkey" in x and "l_partkey" in x for x in dealt)
