@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from sellerdesk.functions.nulls import line_sum, money_sum
 from sellerdesk.functions.text import WHITESPACE_CLASS, squish, truncate_at_newline
 from sellerdesk.operators import grains, pricing
-from sellerdesk.plans.inputs import inputs
+from sellerdesk.plans import inputs as plan_inputs
+from sellerdesk.plans import reports
+from sellerdesk.plans.inputs import Inputs, inputs
 from sellerdesk.plans.reports import Reporting
 from sellerdesk.sources import files, fixtures, landing, sinks
 from sellerdesk.sources.fixtures import RawInputs
@@ -197,3 +199,55 @@ def test_lines_are_staged_by_order_and_pairs_dealt_once(spark):
     dealt = [re.search(r"hashpartitioning\((.*?)\)", x)[1] for x in pairs if "hashpartitioning" in x]
     assert any(re.match(r"l_partkey#\w+, \d+$", x) for x in dealt)
     assert not any("l_suppkey" in x and "l_partkey" in x for x in dealt)
+
+
+def margin_tables(spark):
+    """Lines that meet in few shop-items, with orders that repeat or lack a date."""
+    orders = [(o, "POF"[o % 3], None if o == 11 else f"2021-07-{1 + o % 9:02d} 00:00:00", ("1-URGENT", "5-LOW", "3-MEDIUM")[o % 3]) for o in range(1, 40)]
+    orders += [(7, "O", "2021-06-30 00:00:00", "1-URGENT"), (12, "F", None, "1-URGENT"), (None, "O", None, None)]
+    rows = []
+    for i in range(400):
+        o, flag = 1 + i * 7 % 39, "NRA"[i % 3]
+        rows.append((o, 1 + i * i % 12, 1 + i * 5 % 8, 1 + i % 7, float(i % 9), 900.5 + i, i % 4 / 100, flag, "OF"[i % 2], f"2021-07-{10 + i % 20} 00:00:00"))
+    rows += rows[:20] + [(3, 2, 4, None, None, None, 0.0, None, None, None), (None, 1, 1, 1, 1.0, 1.0, 0.0, "N", "O", None)]
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate string"
+    tables = {
+        "lineitem": spark.createDataFrame(rows, line).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")),
+        "orders": spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderdate string, o_orderpriority string").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")),
+        "part": spark.createDataFrame([(p, f"Part  {p % 3}", "B", p, 10.0 + p) for p in range(1, 13)], "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double"),
+        "supplier": spark.createDataFrame([(s, s % 2, f"S {s % 3}") for s in range(1, 9)], "s_suppkey long, s_nationkey int, s_name string"),
+        "nation": spark.createDataFrame([(0, "N", 0), (1, "M", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string"),
+    }
+    raw = RawInputs(spark, "unused")
+    raw._tables = tables
+    raw.__dict__["lines"] = tables["lineitem"]
+    return raw
+
+
+def test_margin_report_aggregates_the_lines_once(spark, monkeypatch):
+    names = []
+    real = reports.stage
+    monkeypatch.setattr(reports, "stage", lambda df, name: names.append((name, df)) or real(df, name))
+    monkeypatch.setattr(plan_inputs, "stage", lambda df, name: names.append((name, df)) or real(df, name))
+    raw = margin_tables(spark)
+    now = Reporting(Inputs(raw, staged=True)).item_report_margin.collect()
+    staged = dict(names)
+    assert set(staged) == {"shop_item_lines", "price_table"}
+    before = Reporting(Inputs(raw, staged=False), stage_first=False).item_report_margin.collect()
+    assert len(now) > 5 and sorted(map(repr, now)) == sorted(map(repr, before))
+    plan = executed(staged["shop_item_lines"])
+    assert any("HashAggregate" in x for x in plan) and not any("SortAggregate" in x for x in plan)
+    # Sorted by the order only, for the place in it; never by shop or item.
+    assert not any("Sort" in x and "shop_name" in x for x in plan)
+
+
+def test_lines_keep_the_partitioning_of_their_orders(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = executed(grains.place_in_invoice(inputs(spark, SF).order_lines, "o_key"))
+        over = above([x for x in plan if re.match(r"[ :+-]*[A-Z]\w+", x)], "Join")  # patterns hold line breaks
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert any("Window" in x for x in over) and not any("Exchange" in x for x in over)
