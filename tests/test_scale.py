@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sellerdesk.functions.nulls import line_sum, money_sum
 from sellerdesk.functions.text import WHITESPACE_CLASS, squish, truncate_at_newline
-from sellerdesk.operators import grains, pricing
+from sellerdesk.operators import facts, grains, pricing
 from sellerdesk.plans import inputs as plan_inputs
 from sellerdesk.plans import reports
 from sellerdesk.plans.inputs import Inputs, inputs
@@ -251,3 +251,18 @@ def test_lines_keep_the_partitioning_of_their_orders(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert any("Window" in x for x in over) and not any("Exchange" in x for x in over)
+
+
+def test_places_are_in_file_order(spark):
+    days = ("0001-01-01", "2021-07-01", "9999-12-31", None)
+    keys = (1 - (1 << 63), -(10**12), -9 * 10**9 - 1, -9 * 10**9, -1, 0, 5, 9 * 10**9, 9 * 10**9 + 1, (1 << 63) - 1, None)
+    rows = [(d, o, p) for d in days for o in keys for p in (1, 2, 10**6)]
+    df = spark.createDataFrame(rows, "d string, o_key long, place int").withColumn("order_date", F.col("d").cast("date"))
+    got = df.select("d", "o_key", "place", facts.file_place().alias("at")).collect()
+    order = sorted(got, key=lambda r: (r.d or "", -(1 << 63) if r.o_key is None else r.o_key, r.place))
+    assert [r.at for r in order] == sorted(r.at for r in got) and len({r.at for r in got}) == len(rows)
+
+
+def test_plain_names_are_told_apart_without_a_pattern(spark):
+    plan = spark.range(1).select(squish(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert "RLIKE" not in plan and "octet_length" in plan
