@@ -148,7 +148,9 @@ def linked_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     )
     once = F.col("bit").isNotNull() | (F.col("u") < F.col("v"))
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits
-    return left.join(
+    # Spark sizes the exploded signatures like the fingerprints they come from, and would
+    # broadcast tens of them per fingerprint; so neither side may be broadcast.
+    return left.hint("merge").join(
         right, (F.col("ls") == F.col("rs")) & (F.col("lsub") == F.col("rsub")) & once & close
     ).select("u", "v")
 

@@ -326,6 +326,16 @@ def test_linked_pairs_lose_none(spark, heavy, monkeypatch):
     assert got == want
 
 
+def test_linked_pairs_broadcast_no_signatures(spark, tmp_path):
+    # the table is small, its signatures are 66 a row: sizes are guessed from the table
+    spark.range(500).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    found = simhash.linked_pairs(spark.read.parquet(str(tmp_path / "fps")))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("Initial Plan")[0].splitlines() if "Join [ls#" in line or "Join [rs#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_stars(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 7), (50, 60), (60, 50), (70, 70)]
     got = {(r.u, r.v) for r in components.stars(spark.createDataFrame(chain, "u long, v long")).collect()}
