@@ -7,6 +7,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sellerdesk.session import drop_used_shuffles  # noqa: F401 - the operators take it from here
+
 # A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,15 +36,6 @@ def bounded_batches(spark: SparkSession, mb: int = 16) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
-def drop_used_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete a query's shuffle files when the query has ended.
-
-    Operators of several written steps would else hold the shuffles of every
-    step on the executors' disks until the driver happens to collect garbage.
-    """
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-
-
 def draw(seed: int, *cols: Column) -> Column:
     """A seeded uniform draw per row: a long in [0, 2^52)."""
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in cols]
