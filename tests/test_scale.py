@@ -11,6 +11,7 @@ from sellerdesk.functions.text import WHITESPACE_CLASS, squish, truncate_at_newl
 from sellerdesk.operators import facts, grains, pricing
 from sellerdesk.plans import inputs as plan_inputs
 from sellerdesk.plans import reports
+from sellerdesk.plans.catalog import QUERIES
 from sellerdesk.plans.inputs import Inputs, inputs
 from sellerdesk.plans.reports import Reporting
 from sellerdesk.sources import files, fixtures, landing, sinks
@@ -266,3 +267,51 @@ def test_places_are_in_file_order(spark):
 def test_plain_names_are_told_apart_without_a_pattern(spark):
     plan = spark.range(1).select(squish(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().analyzed().toString()
     assert "RLIKE" not in plan and "octet_length" in plan
+
+
+def staged_names(monkeypatch):
+    names = []
+    real = reports.stage
+    for module in (reports, plan_inputs):
+        monkeypatch.setattr(module, "stage", lambda df, name: names.append(name) or real(df, name))
+    return names
+
+
+def test_campaign_dates_meet_lines_that_stay(spark, monkeypatch):
+    raw = margin_tables(spark)
+    want = Reporting(Inputs(raw, staged=False)).sales_with_campaign
+    names = staged_names(monkeypatch)
+    now = Reporting(Inputs(raw, staged=True)).sales_with_campaign
+    assert names == ["order_lines", "campaign_dates"]  # joined once, places taken as they lie
+    assert now.columns == want.columns
+    rows = sorted(map(repr, now.collect()))
+    assert len(rows) > 100 and rows == sorted(map(repr, want.collect()))
+    assert not any("Exchange hashpartitioning" in x for x in executed(now))
+    monkeypatch.setattr(grains, "BROADCAST_MB", 0)  # too many shops: neither they nor their copies
+    dealt = Reporting(Inputs(raw, staged=True)).sales_with_campaign
+    assert any("SortMergeJoin" in x for x in executed(dealt))
+    assert not any("Broadcast" in x for x in executed(dealt)) and rows == sorted(map(repr, dealt.collect()))
+
+
+def test_basic_reports_aggregate_the_lines_once(spark, monkeypatch):
+    raw = margin_tables(spark)
+    before = Reporting(Inputs(raw, staged=False), stage_first=False)
+    want = [sorted(map(repr, df.collect())) for df in (before.item_report_basic, before.shop_invoice_report)]
+    names = staged_names(monkeypatch)
+    now = Reporting(Inputs(raw, staged=True))
+    got = [sorted(map(repr, df.collect())) for df in (now.item_report_basic, now.shop_invoice_report)]
+    assert names == ["shop_item_lines"]
+    assert got == want and len(want[0]) > 5 and len(want[1]) > 1
+
+
+def test_totals_join_report_rows_that_stay(spark):
+    plan = executed(QUERIES["hierarchy_totals"](spark, SF))
+    assert any("BroadcastHashJoin" in x for x in plan)
+    assert not any("Exchange hashpartitioning" in x for x in plan)
+
+
+def test_used_shuffles_of_reports_are_dropped(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(key, "false")
+    Reporting(inputs(spark, SF, staged=False))
+    assert spark.conf.get(key) == "true"
