@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from sellerdesk.functions.dates import parse_dmy, parse_mdy
 from sellerdesk.functions.nulls import line_sum, money_sum
 from sellerdesk.functions.text import WHITESPACE_CLASS, squish, truncate_at_newline
 from sellerdesk.operators import facts, grains, pricing
@@ -315,3 +316,55 @@ def test_used_shuffles_of_reports_are_dropped(spark):
     spark.conf.set(key, "false")
     Reporting(inputs(spark, SF, staged=False))
     assert spark.conf.get(key) == "true"
+
+
+def test_dates_spell_their_patterns_out_once(spark):
+    texts = ["07-09-2021", "13-01-2021", "02-30-2021", "00-00-0000", "07-09-0000", "07-09-21", "7-9-2021", "July 9, 2021", "9July2021", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(parse_mdy("t").cast("string").alias("m"), parse_dmy("t").cast("string").alias("d")).collect()
+    other = df.select(  # with another separator no text is taken apart by place
+        parse_mdy(F.replace("t", F.lit("-"), F.lit("/"))).cast("string").alias("m"),
+        parse_dmy(F.replace("t", F.lit("-"), F.lit("/"))).cast("string").alias("d"),
+    ).collect()
+    assert got == other and (got[0].m, got[0].d, got[1].m, got[1].d) == ("2021-07-09", "2021-09-07", None, "2021-01-13")
+    plan = df.select(parse_mdy("t").alias("d"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert len(re.findall(r"regexp_|rlike", plan)) <= 8  # 68 where each use spelt them out
+
+
+def test_header_rows_are_told_by_one_field_first(spark):
+    rows = [("Shop", "a"), (None, None), (" Shop ", "a"), ("\ufeffShop", "a"), ("Shop", "b"), ("x", "a")]
+    df = spark.createDataFrame(rows, "c0 string, c1 string")
+    kept = df.where(~files._is_row(["c0", "c1"], ["Shop", "a"])).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, None), ("Shop", "b"), ("x", "a")], key=str)
+    blank = df.where(~files._is_row(["c0", "c1"], ["", ""])).count()
+    assert blank == 5
+
+
+def test_tops_of_small_files_are_found_in_one_look(spark, tmp_folder, monkeypatch):
+    def look(n):
+        for k in range(12):
+            with open(f"{tmp_folder}/f{k:02d}.csv", "w") as out:
+                out.write("title\n" * (k % 3 == 2) + ("b,a\n" if k % 2 else "a,b\n"))
+                out.writelines(f"{i},{k}\n" for i in range(k * 20))
+        found = files.file_layouts(spark, tmp_folder, ["a", "b"], ",", None)
+        return sorted((x.header, x.above, len(f)) for x, f in found.items())
+
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionNum", "2")  # files may share a task
+    try:
+        want = look(2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionNum")
+
+    def refused(lines):
+        raise AssertionError("looked twice")
+
+    monkeypatch.setattr(files, "split_heads", refused)
+    assert look(1) == want == [(("a", "b"), 0, 4), (("a", "b"), 1, 2), (("b", "a"), 0, 4), (("b", "a"), 1, 2)]
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+
+
+def test_reports_leave_no_method_to_the_interpreter(spark):
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    Reporting(inputs(spark, SF, staged=False))
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
